@@ -5,17 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
+from .language import add_language, held_out
 from .licenses import license_scan
+from .lines import MAX_SHARE, MIN_SITES, line_dedup
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return add_language(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op9_language_id": op9_language_id,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": f"""
+        WITH l AS (
+          SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line,
+                 generate_subscripts(string_split(text, chr(10)), 1) AS i
+          FROM documents),
+        b AS (SELECT line FROM l WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
+        m AS (SELECT l.*, b.line IS NOT NULL AS hit FROM l LEFT JOIN b ON l.line = b.line),
+        d AS (
+          SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hit) AS n_hit,
+                 coalesce(sum(length(line)) FILTER (WHERE hit), 0) AS gone,
+                 coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT hit), '') AS kept
+          FROM m GROUP BY doc_id)
+        SELECT o.doc_id, coalesce(d.n_lines, 0) AS n_lines,
+               CASE WHEN d.n_hit > 0 AND d.gone <= {MAX_SHARE} * length(o.text) THEN d.n_hit ELSE 0 END AS n_removed,
+               sha256(CASE WHEN d.n_hit > 0 AND d.gone <= {MAX_SHARE} * length(o.text) THEN d.kept ELSE coalesce(o.text, '') END) AS text_sha256
+        FROM documents o LEFT JOIN d ON o.doc_id = d.doc_id
+    """,
+}
