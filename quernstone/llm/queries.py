@@ -7,16 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_round_trip
 from .common import read_table
 from .language import add_language, held_out
 from .licenses import license_scan
 from .lines import MAX_SHARE, MIN_SITES, line_dedup
+from .tokenfile import token_file
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file, which every machine has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read_table(spark, sf_dir, "documents"))
 
 
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return add_language(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
@@ -29,6 +46,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op4_token_file": op4_token_file,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
