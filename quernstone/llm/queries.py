@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .common import read_table
+from .jaccard import jaccard_components
 from .language import add_language, held_out
 from .licenses import license_scan
 from .lines import MAX_SHARE, MIN_SITES, line_dedup
@@ -34,6 +35,10 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return add_language(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op4_token_file": op4_token_file,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
