@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .common import read_table
+from .decontaminate import contaminated
 from .jaccard import jaccard_components
 from .language import add_language, held_out
 from .licenses import license_scan
@@ -35,6 +36,10 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op4_token_file": op4_token_file,
+    "op5_decontaminate": op5_decontaminate,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
