@@ -14,7 +14,9 @@ from .jaccard import jaccard_components
 from .language import add_language, held_out
 from .licenses import license_scan
 from .lines import MAX_SHARE, MIN_SITES, line_dedup
+from .secrets import find_secrets
 from .tokenfile import token_file
+from .topk import K, QUERY_STEP, SCALE, exact_top_k
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,10 +42,18 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return add_language(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
@@ -59,12 +69,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op4_token_file": op4_token_file,
     "op5_decontaminate": op5_decontaminate,
+    "op6_secret_scan": op6_secret_scan,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_exact_top_k": op8_exact_top_k,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_exact_top_k": f"""
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+          FROM embeddings WHERE embedding IS NOT NULL),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x::DOUBLE[], c.x::DOUBLE[]) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % {QUERY_STEP} = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        WHERE rank <= {K}
+    """,
     "op10_line_dedup": f"""
         WITH l AS (
           SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line,
