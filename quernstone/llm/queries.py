@@ -15,6 +15,7 @@ from .language import add_language, held_out
 from .licenses import license_scan
 from .lines import MAX_SHARE, MIN_SITES, line_dedup
 from .secrets import find_secrets
+from .substrings import substring_dedup
 from .tokenfile import token_file
 from .topk import K, QUERY_STEP, SCALE, exact_top_k
 
@@ -34,6 +35,10 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
@@ -67,6 +72,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_token_file": op4_token_file,
     "op5_decontaminate": op5_decontaminate,
     "op6_secret_scan": op6_secret_scan,
