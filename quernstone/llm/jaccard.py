@@ -58,12 +58,11 @@ class Plan:
             s = self.start[-1]
             self.start.append(s * self.den * self.den // (self.num * self.num) + 1)
 
-    def partners(self, n: int) -> list[int]:
-        """Size classes of the larger member, over all sets that a set of size n may link with."""
+    def partners(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last size class of the larger member, over all sets that sets of sizes n may link with."""
         most = n * self.den // self.num
-        self._grow(most + 1)
-        first = int(np.searchsorted(self.start, n, "right")) - 1
-        return [i for i in range(first, len(self.start) - 1) if self.start[i] <= most]
+        self._grow(int(most.max(initial=1)) + 1)
+        return np.searchsorted(self.start, n, "right") - 1, np.searchsorted(self.start, most, "right") - 1
 
     def groups(self, i: int) -> tuple[int, int]:
         """(groups, empty groups that may be left out) for size class i."""
@@ -101,22 +100,29 @@ def class_of(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return mix(total[off[1:]] - total[off[:-1]] + n.astype(np.uint64))
 
 
-def tile_keys(h: np.ndarray, plan: Plan) -> np.ndarray:
-    """Keys of the tiles of one set."""
-    out = []
-    for i in plan.partners(len(h)):
-        groups, spare = plan.groups(i)
-        g = (mix(h + _SALT[1]) % np.uint64(groups)).astype(np.int64)
-        order = np.argsort(g, kind="stable")
-        g, v = g[order], mix(h ^ _SALT[2])[order]
-        first = np.flatnonzero(np.diff(g, prepend=-1))
-        content = np.add.reduceat(v, first)
-        named = mix(g[first].astype(np.uint64) + np.uint64(i << 40))
-        out.append(mix(content + named))
-        if groups - len(first) > spare:
-            empty = np.setdiff1d(np.arange(groups), g[first])
-            out.append(mix(mix(empty.astype(np.uint64) + np.uint64(i << 40)) ^ _SALT[3]))
-    return np.concatenate(out)
+def tile_keys(h: np.ndarray, off: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the set, key) of all tiles of non-empty sets; set i is h[off[i]:off[i + 1]]."""
+    n = np.diff(off)
+    first, last = plan.partners(n)
+    owner = np.repeat(np.arange(len(n)), last - first + 1)
+    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    size_class = first[owner] + nth
+    groups, spare = np.array([plan.groups(i) for i in range(int(size_class.max(initial=0)) + 1)]).T
+    g, m = groups[size_class], n[owner]
+    base, begun = np.cumsum(g) - g, np.cumsum(m) - m
+    at = np.repeat(off[:-1][owner] - begun, m) + np.arange(m.sum())
+    place = (mix(h + _SALT[1])[at] % np.repeat(g, m).astype(np.uint64)).astype(np.int64) + np.repeat(base, m)
+    content = np.zeros(g.sum(), np.uint64)
+    np.add.at(content, place, mix(h ^ _SALT[2])[at])
+    held = np.zeros(len(content), bool)
+    held[place] = True
+    pair = np.repeat(np.arange(len(owner)), g)
+    name = mix((np.arange(len(content)) - base[pair]).astype(np.uint64) + (size_class[pair].astype(np.uint64) << np.uint64(40)))
+    used = np.flatnonzero(held)
+    bare = g - np.bincount(pair[used], minlength=len(g)) > spare[size_class]
+    empty = np.flatnonzero(~held & bare[pair])
+    keys = np.concatenate([mix(content[used] + name[used]), mix(name[empty] ^ _SALT[3])])
+    return owner[pair[np.concatenate([used, empty])]], keys
 
 
 def _scan(k: int):
@@ -141,17 +147,17 @@ def _file(plan: Plan):
             for _, data, off in text_chunks(b.column(0)):
                 h, so = sets_of(data, off, plan.k)
                 cid = class_of(h, so)
-                keys, owners = [], []
+                fresh = np.zeros(len(cid), bool)
                 for r in np.flatnonzero(np.diff(so)):
                     c = int(cid[r])
-                    if c in seen:
-                        continue
+                    fresh[r] = c not in seen
                     seen.add(c)
-                    keys.append(tile_keys(h[so[r]:so[r + 1]], plan))
-                    owners.append(r)
-                if keys:
-                    cids = np.repeat(cid[owners], [len(x) for x in keys])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(cids.view(np.int64))], names=["key", "cid"])
+                if not fresh.any():
+                    continue
+                n = np.diff(so)
+                h = h[np.repeat(fresh, n)]
+                of, keys = tile_keys(h, np.concatenate([[0], np.cumsum(n[fresh])]), plan)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(cid[fresh][of].view(np.int64))], names=["key", "cid"])
 
     return run
 
