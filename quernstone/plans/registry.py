@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,29 +25,3 @@ def query(sql: str | None = None):
         return f
 
     return add
-
-
-@query("""
-    SELECT code, severity, count(*) AS n FROM (
-      SELECT 'MISSING_DECLARED' AS code, 'block' AS severity FROM orders o
-      WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)
-      UNION ALL
-      SELECT 'UNDECLARED', 'warning' FROM (SELECT DISTINCT l_orderkey FROM lineitem) l
-      WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)
-      UNION ALL
-      SELECT 'DUPLICATE_KEY', 'warning' FROM (
-        SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)
-    ) GROUP BY code, severity
-""")
-def finding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared orders against observed lines, with repeated line keys, counted by code."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    observed = lines.select("l_orderkey").distinct()
-    match = F.col("o_orderkey") == F.col("l_orderkey")
-    found = [
-        orders.join(observed, match, "left_anti").select(F.lit("MISSING_DECLARED").alias("code"), F.lit("block").alias("severity")),
-        observed.join(orders, match, "left_anti").select(F.lit("UNDECLARED").alias("code"), F.lit("warning").alias("severity")),
-        lines.groupBy("l_orderkey", "l_linenumber").count().where("count > 1").select(F.lit("DUPLICATE_KEY").alias("code"), F.lit("warning").alias("severity")),
-    ]
-    return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("code", "severity").agg(F.count("*").alias("n"))
