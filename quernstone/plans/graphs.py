@@ -83,18 +83,18 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DAG_SQL = "d AS (SELECT source, target FROM e WHERE source < target)"
 _PATHS_SQL = """
-    p(path, at) AS (
+    p(path, tip) AS (
       SELECT [source], source FROM (SELECT DISTINCT source FROM d WHERE source NOT IN (SELECT target FROM d))
-      UNION ALL SELECT list_append(p.path, x.target), x.target FROM p JOIN (SELECT DISTINCT source, target FROM d) x ON x.source = p.at)
+      UNION ALL SELECT list_append(p.path, x.target), x.target FROM p JOIN (SELECT DISTINCT source, target FROM d) x ON x.source = p.tip)
 """
 
 
-@query(f"WITH RECURSIVE {_EDGES_SQL}, {_DAG_SQL}, {_PATHS_SQL} SELECT array_to_string(path, '>') AS path FROM p WHERE at NOT IN (SELECT source FROM d) AND len(path) > 1")
+@query(f"WITH RECURSIVE {_EDGES_SQL}, {_DAG_SQL}, {_PATHS_SQL} SELECT array_to_string(path, '>') AS path FROM p WHERE tip NOT IN (SELECT source FROM d) AND len(path) > 1")
 def maximal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.maximal_paths(edges(spark, sf_dir).where("source < target")).select(F.array_join("path", ">").alias("path"))
 
 
-@query(f"""WITH RECURSIVE {_EDGES_SQL}, {_DAG_SQL}, {_PATHS_SQL}, f AS (SELECT id, 1 + id % 3 AS factor FROM nodes), m AS (SELECT path FROM p WHERE at NOT IN (SELECT source FROM d) AND len(path) > 1),
+@query(f"""WITH RECURSIVE {_EDGES_SQL}, {_DAG_SQL}, {_PATHS_SQL}, f AS (SELECT id, 1 + id % 3 AS factor FROM nodes), m AS (SELECT path FROM p WHERE tip NOT IN (SELECT source FROM d) AND len(path) > 1),
     x AS (SELECT array_to_string(path, '>') AS path, unnest(path) AS id FROM m)
     SELECT path, count(*) AS n, CAST(product(factor) AS DOUBLE) AS amplification FROM x JOIN f USING (id) WHERE factor > 1 GROUP BY path HAVING count(*) > 1 AND product(factor) > 3""")
 def maximal_paths_product(spark: SparkSession, sf_dir: str) -> DataFrame:
