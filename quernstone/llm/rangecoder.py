@@ -29,7 +29,9 @@ MAGIC = b"QRC1"
 LANES, LEAST = 4096, 256
 SLOTS = 512
 _BITS = 12
-_TOTAL = 1 << _BITS
+#: Order-0 counts are scaled to this total.
+_BITS0 = 11
+_TOTAL = 1 << _BITS0
 _WINDOW, _WORD = 60, 20
 _LEFT = 1 << (_WINDOW - _WORD)
 _CONTEXTS = 4
@@ -99,7 +101,7 @@ class _Model:
         """(predicted id or -1, probability of a hit out of 2**12) per lane."""
         if self.step == self.rebuild_at:
             self._rebuild()
-            self.rebuild_at *= 4
+            self.rebuild_at *= 8
         n = self.lanes
         np.bitwise_and(self.prev, SLOTS - 1, out=self.hash[:n])
         h = self.prev * np.int32(40503)
@@ -135,15 +137,15 @@ class _Model:
         n = self.lanes
         twice = np.concatenate([ids, ids])
         held = self.guess == twice
-        if not self.step & 1:
+        if not self.step & 3:
             change = held * np.int32(65535)
             change -= self.p
-            change >>= 4
+            change >>= 3
             change += self.p
             self.rate[self.cell] = change
-        if self.step & 3 == 1:
+        if self.step & 7 == 1:
             error = hit * np.int32(4096) - self.mixed
-            change = (self.st * np.concatenate([error, error])) >> 9
+            change = (self.st * np.concatenate([error, error])) >> 8
             change[:n] *= ~self.second | self.agree
             change[n:] *= self.second | self.agree
             self.weight += change
@@ -188,10 +190,10 @@ def encode_segment(ids: np.ndarray) -> bytes:
             upper = ids_m >> 8
             c = missed * (uppers + 1) + upper
             start = model.cum_upper.take(c)
-            r = size.take(missed) >> _BITS
+            r = size.take(missed) >> _BITS0
             lo = low.take(missed) + start * r
             r *= model.cum_upper.take(c + 1) - start
-            r >>= _BITS
+            r >>= _BITS0
             context, byte = missed * _CONTEXTS + np.minimum(upper, _CONTEXTS - 1), ids_m & 255
             c = context * 257 + byte
             start = model.cum_low.take(c)
@@ -276,7 +278,7 @@ def decode_segment(data: bytes) -> np.ndarray:
         now = cand.copy()
         missed = np.flatnonzero(~hit)
         if len(missed):
-            r = size.take(missed) >> _BITS
+            r = size.take(missed) >> _BITS0
             d = diff.take(missed)
             v = np.minimum(d // r, _TOTAL - 1)
             upper = model.inverse_upper.take(missed * _TOTAL + v).astype(np.int32)
@@ -284,7 +286,7 @@ def decode_segment(data: bytes) -> np.ndarray:
             start = model.cum_upper.take(c)
             d -= start * r
             r *= model.cum_upper.take(c + 1) - start
-            r >>= _BITS
+            r >>= _BITS0
             v = np.minimum(d // r, _TOTAL - 1)
             context = missed * _CONTEXTS + np.minimum(upper, _CONTEXTS - 1)
             byte = model.inverse_low.take(context * _TOTAL + v)

@@ -14,6 +14,7 @@ table gives no segment and no row.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +40,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def library_encoder(path: str) -> Encoder:
     """The worker's encoder by the tokenizers library: each distinct word is encoded once."""
     if path not in _ENCODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
