@@ -7,8 +7,8 @@ shorter document is one window). A document is contaminated by an item if the
 weighted Jaccard similarity of their shingles, counted with repeats, is at least
 THRESHOLD in some window.
 
-A window reaches that only if shingles of items hold THRESHOLD of the least
-item's weight; windows that do not are left out, which loses nothing. The others
+A window reaches that only if shingles of items of its length hold THRESHOLD of
+the least such item's weight; windows that do not are left out, which loses nothing. The others
 get a 64-bit SimHash. Fingerprints of windows and items are cut into RADIUS + 1
 blocks; two fingerprints within RADIUS agree in one of them, so a join on
 (length, block, value) finds all pairs within the radius, and exact similarity
@@ -92,12 +92,19 @@ _WINDOW = "_row long, doc_id long, first long, size int, fp long, grams binary,
 def _windows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
-        known = {k: np.unique(np.concatenate([h for _, n, h, _ in items if min(n, K) == k])) for k in {min(n, K) for _, n, _, _ in items}}
+        known, lengths = {}, sorted({n for _, n, _, _ in items})
+        bit = {n: np.uint64(1) << np.uint64(i % 64) for i, n in enumerate(lengths)}
+        for k in {min(n, K) for n in lengths}:
+            own = [(h, np.full(len(h), bit[n])) for _, n, h, _ in items if min(n, K) == k]
+            h, of = np.unique(np.concatenate([x for x, _ in own]), return_inverse=True)
+            masks = np.zeros(len(h), np.uint64)
+            np.bitwise_or.at(masks, of, np.concatenate([m for _, m in own]))
+            known[k] = h, masks
         least: dict[int, int] = {}
         for _, n, _, wt in items:
             least[n] = min(least.get(n, 1 << 60), int(wt.sum()))
         filters = {}
-        for k, h in known.items():
+        for k, (h, _) in known.items():
             filters[k] = np.zeros(1 << 22, bool)
             filters[k][h >> np.uint64(42)] = True
         for b in batches:
@@ -105,22 +112,23 @@ def _windows(shared):
             rid, ids = np.asarray(b.column(0)), b.column(1)
             for first, data, off in text_chunks(b.column(2)):
                 w = Words(data, off, ALNUM)
-                for k, set_ in known.items():
+                for k, (set_, masks) in known.items():
                     at, h = w.grams(k)
                     maybe = np.flatnonzero(filters[k][h >> np.uint64(42)])
                     hits = maybe[np.isin(h[maybe], set_)]
                     if not len(hits):
                         continue
                     weight = _weights(w, at, k)
-                    found = np.zeros(len(h), np.int64)
-                    found[hits] = weight[hits]
+                    mask = np.zeros(len(h), np.uint64)
+                    mask[hits] = masks[np.searchsorted(set_, h[hits])]
                     owner = w.row[at]
                     for r in np.unique(owner[hits]):
                         a, z = np.searchsorted(owner, [r, r + 1])
-                        total = np.concatenate([[0], np.cumsum(found[a:z])])
+                        here = np.bitwise_or.reduce(mask[a:z])
                         for n, floor in least.items():
-                            if min(n, K) != k:
+                            if min(n, K) != k or not here & bit[n]:
                                 continue
+                            total = np.concatenate([[0], np.cumsum(weight[a:z] * (mask[a:z] & bit[n] != 0))])
                             m = min(n - k + 1, z - a)
                             start = np.flatnonzero(total[m:] - total[:-m] >= THRESHOLD * floor)
                             if not len(start):
