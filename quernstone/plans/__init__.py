@@ -1,6 +1,6 @@
 """Queries over the fixture tables."""
 
-from . import catalogue, drift, graphs, records, reports, text  # noqa: F401  they register their queries
+from . import catalogue, drift, graphs, groups, records, reports, text  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
