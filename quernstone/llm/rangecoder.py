@@ -26,7 +26,7 @@ import numpy as np
 
 MAGIC = b"QRC1"
 #: Blocks side by side at most, and ids of a block at least.
-LANES, LEAST = 4096, 256
+LANES, LEAST = 2048, 256
 SLOTS = 512
 _BITS = 12
 #: Order-0 counts are scaled to this total.
@@ -86,9 +86,9 @@ class _Model:
             cum = np.zeros((*of.shape[:-1], n + 1), np.float32)
             np.cumsum(of, -1, out=cum[..., 1:])
             cum *= np.float32(_TOTAL - n) / cum[..., -1:]  # one correctly rounded division and product each: the same everywhere
-            cum = cum.astype(np.int32)
+            cum = cum.astype(np.int16)
             cum[..., -1] = _TOTAL - n
-            cum += np.arange(n + 1, dtype=np.int32)
+            cum += np.arange(n + 1, dtype=np.int16)
             if not self.step:
                 cum = np.tile(cum, (self.lanes, *[1] * (cum.ndim - 1)))
             setattr(self, f"cum_{kind}", cum.ravel())
