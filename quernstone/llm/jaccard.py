@@ -39,10 +39,14 @@ from pyspark.sql import functions as F
 from .common import NONSPACE, Words, gram_hash, mix, random_words, shared_folder, text_chunks, tune
 from .components import connected_components
 
-#: Groups of a count vector, and members of a leaf of the tree.
-VECTOR, LEAF = 256, 16
+#: Count vectors: shingles per group at most, and the least and most groups.
+PER_GROUP, LEAST_GROUPS, MOST_GROUPS = 16, 64, 8192
+#: Groups of a tree's points at most, members of one of its leaves, and cells of a tile that is small enough to be one leaf.
+VECTOR, LEAF, ONE_LEAF = 1024, 16, 1 << 20
 #: Members of one block of a large tile.
 BLOCK = 1024
+#: Documents whose ids may be broadcast to fetch their sets; more are joined by a shuffle.
+FETCH = 1_000_000
 _SALT = random_words(4, 77)
 
 
@@ -125,15 +129,26 @@ def tile_keys(h: np.ndarray, off: np.ndarray, plan: Plan) -> tuple[np.ndarray, n
     return owner[pair[np.concatenate([used, empty])]], keys
 
 
+def count_vectors(h: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Per set, shingles by hash group in as many groups as its size calls for, a power of two; 255 stands for at least as many."""
+    n = np.diff(off)
+    groups = np.clip(1 << np.ceil(np.log2(np.maximum(n / PER_GROUP, 1))).astype(np.int64), LEAST_GROUPS, MOST_GROUPS)
+    base = np.concatenate([[0], np.cumsum(groups)])
+    place = np.repeat(base[:-1], n) + (mix(h ^ _SALT[3]) & np.repeat(groups - 1, n).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(place, minlength=base[-1]), 255).astype(np.uint8).tobytes()
+    return [counts[i:j] for i, j in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
 def _scan(k: int):
-    """Rows (doc_id, n, cid) of all documents."""
+    """Rows (doc_id, n, cid, vec) of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, data, off in text_chunks(b.column(1)):
                 h, so = sets_of(data, off, k)
                 n = np.diff(so)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), pa.array(n), pa.array(class_of(h, so).view(np.int64), mask=n == 0)], names=["doc_id", "n", "cid"])
+                columns = [b.column(0).slice(first, len(n)), pa.array(n), pa.array(class_of(h, so).view(np.int64), mask=n == 0), pa.array(count_vectors(h, so), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cid", "vec"])
 
     return run
 
@@ -191,14 +206,8 @@ def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, cid, hub = k[-1], c[-1], h[-1]
 
 
-def count_vector(h: np.ndarray) -> np.ndarray:
-    """Shingles by hash group; 65535 stands for at least as many."""
-    counts = np.bincount((mix(h ^ _SALT[3]) % np.uint64(VECTOR)).astype(np.int64), minlength=VECTOR)
-    return np.minimum(counts, 65535).astype("<u2")
-
-
 def _sets(k: int):
-    """Rows (cid, n, vec, shingles) of documents."""
+    """Rows (cid, shingles) of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,9 +219,9 @@ def _sets(k: int):
                     continue
                 rows = [h[so[r]:so[r + 1]].view(np.int64) for r in some]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(class_of(h, so)[some].view(np.int64)), pa.array(n[some]), pa.array([count_vector(x.view(np.uint64)).tobytes() for x in rows], pa.binary()),
+                    [pa.array(class_of(h, so)[some].view(np.int64)),
                      pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[some])]).astype(np.int32)), pa.array(np.concatenate(rows)))],
-                    names=["cid", "n", "vec", "shingles"],
+                    names=["cid", "shingles"],
                 )
 
     return run
@@ -228,12 +237,17 @@ def _bounded(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            va, vb = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, VECTOR) for c in (4, 5))
-            na, nb = np.asarray(b.column(2)), np.asarray(b.column(3))
-            full = (va == 65535).any(1) | (vb == 65535).any(1)
-            ok = full | (np.minimum(va, vb).sum(1, dtype=np.int64) >= least_overlap(na, nb, num, den))
+            va, vb = b.column(4).to_pylist(), b.column(5).to_pylist()
+            least = least_overlap(np.asarray(b.column(2)), np.asarray(b.column(3)), num, den)
+            ok = np.zeros(b.num_rows, bool)
+            shapes: dict[tuple[int, int], list[int]] = {}
+            for i, (x, y) in enumerate(zip(va, vb, strict=True)):
+                shapes.setdefault((len(x), len(y)), []).append(i)
+            for (p, q), rows in shapes.items():
+                x, y = (np.frombuffer(b"".join(v[i] for i in rows), np.uint8).reshape(len(rows), d) for v, d in ((va, p), (vb, q)))
+                full = (x == 255).any(1) | (y == 255).any(1)
+                x, y = (v.reshape(len(rows), -1, min(p, q)).sum(1, dtype=np.int32) for v in (x, y))
+                ok[rows] = full | (np.minimum(x, y).sum(1) >= least[rows])
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
 
     return run
@@ -284,21 +298,36 @@ class CountTree:
         return rows[np.minimum(self.points[rows], q).sum(1, dtype=np.int64) >= least_overlap(np.int64(n), self.sizes[rows], num, den)]
 
 
+def _points(vectors: list[bytes]) -> np.ndarray:
+    """Count vectors of one tile, folded to as many groups as the shortest has; saturated groups bound nothing."""
+    groups = min(VECTOR, *map(len, vectors))
+    out = np.empty((len(vectors), groups), np.int32)
+    for i, v in enumerate(vectors):
+        x = np.frombuffer(v, np.uint8).astype(np.int32)
+        x[x == 255] = 1 << 20
+        out[i] = x.reshape(-1, groups).sum(0)
+    return out
+
+
 def _tree_pairs(num: int, den: int):
     """Candidate pairs (a, b) of one block pair of a tile, between components."""
 
     def run(table: pa.Table) -> pa.Table:
         out: set[tuple[int, int]] = set()
         cid, root, n, side = (np.asarray(table.column(c)) for c in ("cid", "root", "n", "side"))
-        points = np.frombuffer(b"".join(table.column("vec").to_pylist()), "<u2").reshape(-1, VECTOR)
+        points = _points(table.column("vec").to_pylist())
         inside = side.max() == side.min()
         mine = np.arange(len(cid)) if inside else np.flatnonzero(side == side.min())
         theirs = mine if inside else np.flatnonzero(side != side.min())
-        tree = CountTree(points[theirs], n[theirs])
-        for i in mine:
-            for j in theirs[tree.search(points[i], int(n[i]), num, den)]:
-                if root[i] != root[j]:
-                    out.add((max(cid[i], cid[j]), min(cid[i], cid[j])))
+        if len(mine) * len(theirs) * points.shape[1] <= ONE_LEAF:
+            overlap = np.minimum(points[mine][:, None], points[theirs][None]).sum(2)
+            hits = zip(*np.nonzero((overlap >= least_overlap(n[mine][:, None], n[theirs][None], num, den)) & (root[mine][:, None] != root[theirs][None])), strict=True)
+        else:
+            tree = CountTree(points[theirs], n[theirs])
+            hits = ((i, j) for i, at in enumerate(mine) for j in tree.search(points[at], int(n[at]), num, den) if root[at] != root[theirs[j]])
+        for i, j in hits:
+            x, y = cid[mine[i]], cid[theirs[j]]
+            out.add((max(x, y), min(x, y)))
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -310,36 +339,39 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     spark = tune(docs.sparkSession)
     plan = Plan(k, num, den)
     folder = shared_folder(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("d", F.coalesce("doc_id", F.lit(-1)))
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    base = stored(docs.mapInArrow(_scan(k), "doc_id long, n long, cid long"), "base")
+    base = stored(docs.mapInArrow(_scan(k), "doc_id long, n long, cid long, vec binary"), "base")
+    one = [F.max(c).alias(c) for c in ("n", "vec")]
+    classes = stored(base.where("cid is not null").groupBy("cid").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("place"), *one), "classes")
     keys = docs.select("text").mapInArrow(_file(plan), "key long, cid long")
     keys = keys.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "cid"), "cid")
     tiles = stored(keys.mapInArrow(_hubs, "key long, hub long, cid long"), "tiles")
-    star = stored(tiles.select(F.greatest("hub", "cid").alias("a"), F.least("hub", "cid").alias("b")).distinct(), "star")
 
-    # whole sets of the classes that some tile holds
-    met = star.select(F.col("a").alias("cid")).union(star.select("b")).distinct()
-    places = base.join(met, "cid").groupBy("cid").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    rows = docs.join(places, "doc_id", "left_semi").select("text")
-    sets = stored(rows.mapInArrow(_sets(k), "cid long, n long, vec binary, shingles array<long>").dropDuplicates(["cid"]), "sets")
-
-    def verified(pairs: DataFrame, name: str, *, bound: bool) -> DataFrame:
-        if bound:
-            vec = sets.select("cid", "n", "vec")
-            a, b = (vec.toDF(f"c{s}", f"n{s}", f"v{s}") for s in "ab")
-            pairs = pairs.join(a, F.col("a") == F.col("ca")).join(b, F.col("b") == F.col("cb")).select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bounded(num, den), "a long, b long")
-        whole = sets.select("cid", "shingles")
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that link, by their whole sets, which are fetched for the documents that take part."""
+        met = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+        places = stored(met.join(classes.select("cid", "place"), "cid").select(F.col("place").alias("d")).distinct(), f"{name}-places")
+        rows = docs.join(F.broadcast(places) if places.count() <= FETCH else places, "d", "left_semi")
+        rows = rows.dropDuplicates(["d", "text"]) if repeats else rows
+        whole = stored(rows.select("text").mapInArrow(_sets(k), "cid long, shingles array<long>"), f"{name}-sets")
         a, b = (whole.toDF(f"c{s}", f"s{s}") for s in "ab")
         both = pairs.join(a, F.col("a") == F.col("ca")).join(b, F.col("b") == F.col("cb"))
         inter = F.size(F.array_intersect("sa", "sb")).cast("long")
-        return stored(both.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t")).where(F.col("i") * den >= (F.col("t") - F.col("i")) * num).select("a", "b"), name)
+        both = both.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
+        return stored(both.where(F.col("i") * den >= (F.col("t") - F.col("i")) * num).select("a", "b"), name)
 
-    links = verified(star, "links", bound=True)
+    ids = base.agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("d")).first()
+    repeats = ids.n != ids.d
+    star = stored(tiles.select(F.greatest("hub", "cid").alias("a"), F.least("hub", "cid").alias("b")).distinct(), "star")
+    a, b = (classes.select("cid", "n", "vec").toDF(f"c{s}", f"n{s}", f"v{s}") for s in "ab")
+    sized = star.join(a, F.col("a") == F.col("ca")).join(b, F.col("b") == F.col("cb"))
+    near = sized.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b", "na", "nb", "va", "vb")
+    links = verified(stored(near.mapInArrow(_bounded(num, den), "a long, b long"), "near"), "links")
     roots = connected_components(links)
 
     # tiles of three or more whose members are not all connected
@@ -348,16 +380,16 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     marked = stored(marked, "marked")
     mixed = marked.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     mixed = mixed.where("m > 2 and lo <> hi").select(F.col("key").alias("tile"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    open_rows = marked.join(mixed, F.col("key") == F.col("tile")).join(sets.select(F.col("cid").alias("c"), "n", "vec"), F.col("cid") == F.col("c"))
+    open_rows = marked.join(mixed, F.col("key") == F.col("tile")).join(classes.select(F.col("cid").alias("c"), "n", "vec"), F.col("cid") == F.col("c"))
     open_rows = open_rows.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     dealt = open_rows.select("key", "cid", "root", "n", "vec", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     dealt = dealt.withColumn("lo", F.least("side", "with")).withColumn("hi", F.greatest("side", "with"))
     found = dealt.groupBy("key", "lo", "hi").applyInArrow(_tree_pairs(num, den), "a long, b long").distinct()
-    more = verified(found.join(star, ["a", "b"], "left_anti"), "more", bound=False)
-    if more.limit(1).count():
-        roots = connected_components(links.union(more))
+    found = stored(found.join(star, ["a", "b"], "left_anti"), "found")
+    if not found.isEmpty():
+        roots = connected_components(links.union(verified(found, "more")))
 
-    named = base.join(roots, F.col("cid") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "cid").alias("class"))
+    named = base.select("doc_id", "n", "cid").join(roots, F.col("cid") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "cid").alias("class"))
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).withColumnRenamed("class", "c")
     out = named.join(least, F.col("class") == F.col("c"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
