@@ -5,9 +5,9 @@ sites that carry it merges by aggregation. Lines whose estimate is clearly over
 the threshold are boilerplate; those near it get an exact distinct count. All
 occurrences of boilerplate are removed, whatever the site.
 
-A document of which boilerplate would take more than MAX_SHARE of its characters
-keeps its text: it is a copy of other documents, which document dedup handles,
-and not a page with boilerplate around its content.
+A document whose non-blank lines are all boilerplate keeps its text, as nothing
+would be left of it; document dedup handles copies. Any own line, however short
+beside the boilerplate, is enough for the removal.
 
 Null text: stays null. Empty text and blank lines: never removed. Null source
 counts as the site ''. Repeated rows get equal results. Extra columns are kept.
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 MIN_SITES = 10
 #: Registers of a sketch, as a power of two, and how far from the threshold an estimate is trusted.
 LG_K, MARGIN = 12, 0.15
+#: Only the SQL of op10 still exempts documents by the share of their characters that boilerplate has.
 MAX_SHARE = 0.5
 #: A line's rows are spread over this many join keys.
 SALTS = 64
@@ -51,14 +52,13 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_doc"), F.xxhash64("text").alias("_text")]
     keys = boilerplate_keys(docs, min_sites).select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("b_salt"))
     lines = _lines(docs, *key).withColumn("salt", F.pmod(F.xxhash64("_doc", "line_no"), F.lit(SALTS)).cast("int"))
-    lines = lines.select("_doc", "_text", "line_no", F.length("line").alias("size"), "k1", "k2", "salt")
+    lines = lines.select("_doc", "_text", "line_no", "k1", "k2", "salt")
     hits = lines.join(keys, (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2")) & (F.col("salt") == F.col("b_salt")), "left_semi")
-    by_doc = hits.groupBy("_doc", "_text").agg(F.collect_set(F.struct("line_no", "size")).alias("_hits")).withColumnRenamed("_doc", "_d").withColumnRenamed("_text", "_t")
+    by_doc = hits.groupBy("_doc", "_text").agg(F.collect_set("line_no").alias("_hits")).withColumnRenamed("_doc", "_d").withColumnRenamed("_text", "_t")
     joined = docs.select("*", *key).join(by_doc, (F.col("_doc") == F.col("_d")) & (F.col("_text") == F.col("_t")), "left")
-    gone = F.aggregate("_hits", F.lit(0), lambda a, x: a + x["size"])
-    goes = F.col("_hits").isNotNull() & (gone <= MAX_SHARE * F.length("text"))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.transform("_hits", lambda h: h["line_no"]), i)), "\n")
-    out = joined.withColumn("_goes", goes)
+    own = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_hits", i))
+    out = joined.withColumn("_goes", F.col("_hits").isNotNull() & F.exists(own, lambda x: F.trim(x) != ""))
+    kept = F.array_join(own, "\n")
     return out.select(
         *[F.when(F.col("_goes"), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
         F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),

@@ -170,6 +170,14 @@ def test_lines_on_many_sites_go(spark):
     assert set(documents(spark, texts).columns) < set(lines.line_dedup(documents(spark, texts)).columns)
 
 
+def test_short_pages_lose_their_boilerplate_too(spark):
+    shared = "a long line of boilerplate that every site carries, much longer than the page"
+    texts = [f"{shared}\nown {i}" for i in range(11)] + [f"{shared}\n\n{shared}"]
+    got = {r.doc_id: r for r in lines.line_dedup(documents(spark, texts)).collect()}
+    assert all((got[i].text, got[i].n_removed) == (f"own {i}", 1) for i in range(11))
+    assert (got[11].text, got[11].n_removed) == (texts[11], 0)
+
+
 def test_contaminated_documents_are_found_and_clean_ones_left(spark):
     items = [prose(36) for _ in range(12)] + ["one two", ""]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
