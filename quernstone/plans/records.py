@@ -176,7 +176,9 @@ def same_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_EFFECTS} SELECT action, resource, count(DISTINCT unit) AS n FROM e WHERE target IS NULL AND unit % 20 = 0 GROUP BY 1, 2 HAVING count(DISTINCT unit) BETWEEN 2 AND 8")
 def similar_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.same_outcome(_effects(spark, sf_dir).where("target is null and unit % 20 = 0"), "unit", ["action", "resource"], most=8)
+    e = table(spark, sf_dir, "events").where("event_id % 4 <> 0")
+    effects = e.select(F.col("user_id").alias("unit"), F.col("event_type").alias("action"), F.floor("value").alias("resource"))
+    return analysis.same_outcome(effects, "unit", ["action", "resource"], most=8)
 
 
 @query("""

@@ -17,3 +17,14 @@ def test_profiles_take_all_words_of_all_documents(spark, tmp_path):
     want = {(i, lang): sum({1: 2.0, 2: 5.0, 3: 8.0}[g[0]] * min(c, p[g]) for g, c in grams[i].items()) for i in grams for lang, p in profile.items()}
     got = {(r.doc_id, r.lang): r.score for r in QUERIES["profile_ranking"](spark, str(tmp_path)).collect()}
     assert got == {k: v for k, v in want.items() if v >= 6}
+
+
+def test_similar_outcomes_look_at_every_unit(spark, tmp_path):
+    rows = [(i, u, a, v) for i, (u, a, v) in enumerate([(1, "x", 3.5), (2, "x", 3.1), (3, "x", 3.9), (4, "x", 4.0)] * 4 + [(u, "y", 7.0) for u in range(30)] + [(5, "x", 4.2), (6, "x", None)])]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    units = defaultdict(set)
+    for i, u, a, v in rows:
+        if i % 4:
+            units[a, v if v is None else int(v)].add(u)
+    got = {(r.action, r.resource): r.n for r in QUERIES["similar_outcome"](spark, str(tmp_path)).collect()}
+    assert got == {k: len(u) for k, u in units.items() if 2 <= len(u) <= 8} and got
