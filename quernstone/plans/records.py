@@ -204,6 +204,12 @@ def nested_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.scan_values(table(spark, sf_dir, "events"), "event_id", "props").select("event_id", "value")
 
 
+@query()
+def nested_secret_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = F.to_json(F.struct(F.struct("source", F.array(F.struct(F.split("text", "\n").alias("lines"))).alias("parts")).alias("page")))
+    return analysis.scan_values(table(spark, sf_dir, "documents").select("doc_id", nested.alias("doc")), "doc_id", "doc", words=True)
+
+
 @query("""
     WITH t AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: regexp_matches(x, '^[a-z][a-z0-9]*$'))[1:40] AS w FROM documents),
     g AS (SELECT lang, w, count(*) AS pw FROM (SELECT lang, unnest(w) AS w FROM t WHERE doc_id % 2 = 1) GROUP BY 1, 2),
