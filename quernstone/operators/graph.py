@@ -64,11 +64,13 @@ def path_exists(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(reach, ["source", "target"], "left").select("source", "target", (F.coalesce("_r", F.lit(False)) | (F.col("source") == F.col("target"))).alias("exists"))
 
 
-def shortest_paths(edges: DataFrame, start: DataFrame, *, max_depth: int = MAX_DEPTH) -> DataFrame:
+def shortest_paths(edges: DataFrame, start: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """(origin, node, path): a shortest path to each node; ties follow the edges' `ord`."""
     steps = edges.groupBy("source", "target").agg(F.min("ord").alias("ord"))
     known = frontier = _cut(start.select(F.col("id").alias("origin"), F.col("id").alias("node"), F.array("id").alias("path"), F.array().cast("array<long>").alias("ords")).distinct())
-    for _ in range(max_depth):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         ahead = frontier.join(steps, F.col("node") == F.col("source")).select("origin", F.col("target").alias("node"), F.array_append("path", F.col("target")).alias("path"), F.array_append("ords", F.col("ord").cast("long")).alias("ords"))
         ahead = ahead.join(known.select("origin", "node"), ["origin", "node"], "left_anti")
         frontier = _cut(ahead.groupBy("origin", "node").agg(F.min(F.struct("ords", "path")).alias("b")).select("origin", "node", "b.path", "b.ords"))

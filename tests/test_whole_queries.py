@@ -1,7 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
-from quernstone.operators import analysis
+from quernstone.operators import analysis, graph
 from quernstone.plans import QUERIES
 
 R = random.Random(3)
@@ -44,3 +44,9 @@ def test_nested_scan_has_findings_in_documents(spark, tmp_path):
     spark.createDataFrame([(1, "s", "ok\npassword=hunter22"), (2, "s", "ok")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["nested_secret_scan_documents"](spark, str(tmp_path)).collect()
     assert [(r.doc_id, r.path, r.value) for r in got] == [(1, "page.parts[0].lines[1]", "password=hunter22")]
+
+
+def test_shortest_paths_have_no_depth_bound(spark):
+    edges = spark.createDataFrame([(i, i + 1, i) for i in range(29)], "source int, target int, ord int")
+    got = {r.node: r.path for r in graph.shortest_paths(edges, spark.createDataFrame([(0,)], "id int")).collect()}
+    assert got == {n: list(range(n + 1)) for n in range(1, 30)}
