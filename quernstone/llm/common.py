@@ -28,19 +28,60 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one in local mode alone, where all tasks share the machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='shared')}"
+    return base.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster names."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder for intermediate tables that all executors share."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='shared')}"
-    return f"{base.rstrip('/')}/{sc.applicationId}-{np.random.default_rng().integers(1 << 62):x}"
+    """A new folder's path for intermediate tables that all executors share."""
+    return f"{shared_base(spark)}/{spark.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 62):x}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Intermediate tables of one call, in a shared folder of their own."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, shared_folder(spark)
+        self.names: list[str] = []
+        self.made = 0
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df and read it back, which cuts its lineage."""
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        self.names.append(name)
+        self.made += 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete the named tables."""
+        for name in names:
+            remove_folder(self.spark, f"{self.folder}/{name}")
+            self.names.remove(name)
+
+    def only(self, *names: str) -> None:
+        """Delete all tables but the named ones."""
+        self.drop(*[n for n in self.names if n not in names])
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,20 +10,26 @@ sets with such a group in common meet. Groups are chosen so many that this holds
 for a group with content, too; a set with too many empty groups is also filed
 under its empty ones, which is enough, as only two such sets could miss each other.
 
-Star round. In each tile every set is a candidate partner of one hub, another hub
-in each tile. The sets' count vectors (shingles per hash group) bound the overlap
-by the sum of coordinate minima; surviving pairs are verified exactly.
-
-Tree round. Tiles whose members are then not all connected get an R-tree over
-their count vectors: nodes carry the upper corner of their points, and a search
-descends only where the sum of minima can still reach the overlap that the
-threshold asks for. Pairs that are connected already are left out, the others that
-survive are verified exactly. Large tiles are searched in blocks.
+Bounds. A set's count vector (shingles per hash group) is a point; the sum of
+coordinate minima of two points bounds the overlap of their sets. Two sets of a
+tile whose bound reaches the overlap that the threshold asks for may link. Such
+edges join sets into clusters: first between each set and one hub of its tile,
+then, in tiles that still hold several clusters, by searches in an R-tree over the
+points, whose nodes keep the upper corner of what is below them. A tile gives at
+most one edge for each of its members.
+
+Links. The whole sets of a cluster are fetched once and searched through the same
+tree; each pair that it leaves between two components is verified exactly, and a
+link merges them. So a cluster, too, gives at most one link for each member, and
+no link between different components is lost. Clusters and tiles of more than LIMIT
+weight are dealt in blocks: first all blocks against one, then, by the components
+found, pairs of blocks between which components differ.
 
 No text or no words: an empty set, linked with nothing. Fewer words than k: the
 whole sequence is the one shingle. Repeated rows are copies. Null doc_id: its
-class counts, the row's component is its class's. Extra columns are ignored.
-Shingles and classes are told apart by 64-bit hashes.
+class counts, the row's component is its class's. Extra columns are ignored. Very
+long texts are one chunk each. An empty table gives no row. Equal sets are told by
+128 bits, shingles of a pair of sets by 64.
 """
 
 from __future__ import annotations
@@ -33,21 +39,21 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, Words, gram_hash, mix, random_words, shared_folder, text_chunks, tune
+from .common import NONSPACE, Scratch, Words, gram_hash, mix, random_words, text_chunks, tune
 from .components import connected_components
 
 #: Count vectors: shingles per group at most, and the least and most groups.
-PER_GROUP, LEAST_GROUPS, MOST_GROUPS = 16, 64, 8192
-#: Groups of a tree's points at most, members of one of its leaves, and cells of a tile that is small enough to be one leaf.
-VECTOR, LEAF, ONE_LEAF = 1024, 16, 1 << 20
-#: Members of one block of a large tile.
-BLOCK = 1024
-#: Documents whose ids may be broadcast to fetch their sets; more are joined by a shuffle.
-FETCH = 1_000_000
-_SALT = random_words(4, 77)
+PER_GROUP, LEAST_GROUPS, MOST_GROUPS = 4, 64, 8192
+#: Groups of a tree's points at most, and members of one of its leaves.
+VECTOR, LEAF = 2048, 16
+#: Weight of one task's group: shingles of a cluster's sets, bytes of a tile's vectors. Larger ones are dealt in blocks of half of it.
+LIMIT = 4 << 20
+#: Sets whose places may be broadcast to fetch them; more are joined by a shuffle.
+FETCH = 500_000
+_SALT = random_words(5, 77)
 
 
 class Plan:
@@ -96,12 +102,17 @@ def sets_of(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return h, np.searchsorted(row, np.arange(len(off)))
 
 
-def class_of(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """One hash per set, free of order."""
+def class_of(h: np.ndarray, off: np.ndarray, clashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes per set, free of order; where the first is one of clashes, which unequal sets share, the second goes into it."""
     n = np.diff(off)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(mix(h ^ _SALT[0]), out=total[1:])
-    return mix(total[off[1:]] - total[off[:-1]] + n.astype(np.uint64))
+    out = []
+    for salt in (_SALT[0], _SALT[4]):
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(mix(h ^ salt), out=total[1:])
+        out.append(mix(total[off[1:]] - total[off[:-1]] + n.astype(np.uint64)))
+    if len(clashes):
+        out[0] = np.where(np.isin(out[0].view(np.int64), clashes), mix(out[0] ^ out[1] ^ _SALT[1]), out[0])
+    return out[0], out[1]
 
 
 def tile_keys(h: np.ndarray, off: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
@@ -139,21 +150,22 @@ def count_vectors(h: np.ndarray, off: np.ndarray) -> list[bytes]:
     return [counts[i:j] for i, j in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
 
 
-def _scan(k: int):
-    """Rows (doc_id, n, cid, vec) of all documents."""
+def _scan(k: int, clashes: np.ndarray):
+    """Rows (doc_id, n, cid, other, vec) of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, data, off in text_chunks(b.column(1)):
                 h, so = sets_of(data, off, k)
                 n = np.diff(so)
-                columns = [b.column(0).slice(first, len(n)), pa.array(n), pa.array(class_of(h, so).view(np.int64), mask=n == 0), pa.array(count_vectors(h, so), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cid", "vec"])
+                cid, other = class_of(h, so, clashes)
+                columns = [b.column(0).slice(first, len(n)), pa.array(n), *(pa.array(c.view(np.int64), mask=n == 0) for c in (cid, other)), pa.array(count_vectors(h, so), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cid", "other", "vec"])
 
     return run
 
 
-def _file(plan: Plan):
+def _file(plan: Plan, clashes: np.ndarray):
     """Rows (key, cid) of each class once per partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +173,7 @@ def _file(plan: Plan):
         for b in batches:
             for _, data, off in text_chunks(b.column(0)):
                 h, so = sets_of(data, off, plan.k)
-                cid = class_of(h, so)
+                cid, _ = class_of(h, so, clashes)
                 fresh = np.zeros(len(cid), bool)
                 for r in np.flatnonzero(np.diff(so)):
                     c = int(cid[r])
@@ -206,23 +218,22 @@ def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, cid, hub = k[-1], c[-1], h[-1]
 
 
-def _sets(k: int):
-    """Rows (cid, shingles) of documents."""
+def _sets(k: int, clashes: np.ndarray, names: list[str]):
+    """Rows (shingles and the columns beside the text) of the documents whose set is of the class that is asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, data, off in text_chunks(b.column(0)):
+            want = np.asarray(b.column(names.index("cid")))
+            for first, data, off in text_chunks(b.column(names.index("text"))):
                 h, so = sets_of(data, off, k)
+                cid, _ = class_of(h, so, clashes)
                 n = np.diff(so)
-                some = np.flatnonzero(n)
-                if not len(some):
+                good = (n > 0) & (cid.view(np.int64) == want[first:first + len(n)])
+                if not good.any():
                     continue
-                rows = [h[so[r]:so[r + 1]].view(np.int64) for r in some]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(class_of(h, so)[some].view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[some])]).astype(np.int32)), pa.array(np.concatenate(rows)))],
-                    names=["cid", "shingles"],
-                )
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[good])]).astype(np.int32)), pa.array(h[np.repeat(good, n)].view(np.int64)))
+                beside = [b.column(i).slice(first, len(n)).filter(pa.array(good)) for i, c in enumerate(names) if c != "text"]
+                yield pa.RecordBatch.from_arrays([*beside, lists], names=[*(c for c in names if c != "text"), "shingles"])
 
     return run
 
@@ -302,94 +313,210 @@ def _points(vectors: list[bytes]) -> np.ndarray:
     """Count vectors of one tile, folded to as many groups as the shortest has; saturated groups bound nothing."""
     groups = min(VECTOR, *map(len, vectors))
     out = np.empty((len(vectors), groups), np.int32)
-    for i, v in enumerate(vectors):
-        x = np.frombuffer(v, np.uint8).astype(np.int32)
+    for size in set(map(len, vectors)):
+        rows = [i for i, v in enumerate(vectors) if len(v) == size]
+        x = np.frombuffer(b"".join(vectors[i] for i in rows), np.uint8).reshape(len(rows), size).astype(np.int32)
         x[x == 255] = 1 << 20
-        out[i] = x.reshape(-1, groups).sum(0)
+        out[rows] = x.reshape(len(rows), groups, -1).sum(2) if size == groups else x.reshape(len(rows), -1, groups).sum(1)
     return out
 
 
-def _tree_pairs(num: int, den: int):
-    """Candidate pairs (a, b) of one block pair of a tile, between components."""
+class _Merged:
+    """Components of a task's members, and how they were merged."""
+
+    def __init__(self, cid: np.ndarray, root: np.ndarray) -> None:
+        _, first, self.label = np.unique(root, return_index=True, return_inverse=True)
+        #: One member of each component as it was at first, and the label it has now.
+        self.first, self.now = cid[first], np.arange(len(first))
+
+    def other(self, i: int, rows: np.ndarray) -> np.ndarray:
+        """Those of rows that are not in the component of row i."""
+        return rows[self.now[self.label[rows]] != self.now[self.label[i]]]
+
+    def merge(self, i: int, rows: np.ndarray) -> None:
+        """Join the components of rows with that of row i."""
+        self.now[np.isin(self.now, np.unique(self.now[self.label[rows]]))] = self.now[self.label[i]]
+
+    def table(self) -> pa.Table:
+        """Edges (a, b) from the merged components to the least of them."""
+        order = np.lexsort((self.first, self.now))
+        now, first = self.now[order], self.first[order]
+        new = np.ones(len(now), bool)
+        new[1:] = now[1:] != now[:-1]
+        least = first[np.flatnonzero(new)][np.cumsum(new) - 1]
+        return pa.table({"a": pa.array(first[~new], pa.int64()), "b": pa.array(least[~new], pa.int64())})
+
+
+def _search(cid, root, n, side, points, num: int, den: int, check=None) -> pa.Table:
+    """Edges that join the components of one unit: for each row of the upper side, those that the tree over the lower side leaves and check keeps."""
+    found = _Merged(cid, root)
+    upper = side == side.max()
+    lower = upper if upper.all() else ~upper
+    theirs = np.flatnonzero(lower)
+    tree = CountTree(points[theirs], n[theirs])
+    for i in np.flatnonzero(upper).tolist():
+        rows = found.other(i, theirs[tree.search(points[i], int(n[i]), num, den)])
+        if len(rows) and check is not None:
+            rows = check(i, rows)
+        if len(rows):
+            found.merge(i, rows)
+    return found.table()
+
+
+def _tile_edges(num: int, den: int):
+    """Of one unit of a tile, edges between components whose sets may link."""
 
     def run(table: pa.Table) -> pa.Table:
-        out: set[tuple[int, int]] = set()
         cid, root, n, side = (np.asarray(table.column(c)) for c in ("cid", "root", "n", "side"))
-        points = _points(table.column("vec").to_pylist())
-        inside = side.max() == side.min()
-        mine = np.arange(len(cid)) if inside else np.flatnonzero(side == side.min())
-        theirs = mine if inside else np.flatnonzero(side != side.min())
-        if len(mine) * len(theirs) * points.shape[1] <= ONE_LEAF:
-            overlap = np.minimum(points[mine][:, None], points[theirs][None]).sum(2)
-            hits = zip(*np.nonzero((overlap >= least_overlap(n[mine][:, None], n[theirs][None], num, den)) & (root[mine][:, None] != root[theirs][None])), strict=True)
-        else:
-            tree = CountTree(points[theirs], n[theirs])
-            hits = ((i, j) for i, at in enumerate(mine) for j in tree.search(points[at], int(n[at]), num, den) if root[at] != root[theirs[j]])
-        for i, j in hits:
-            x, y = cid[mine[i]], cid[theirs[j]]
-            out.add((max(x, y), min(x, y)))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return _search(cid, root, n, side, _points(table.column("vec").to_pylist()), num, den)
 
     return run
 
 
+def _cluster_links(num: int, den: int):
+    """Of one unit of a cluster, verified links between components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cid, root, side = (np.asarray(table.column(c)) for c in ("cid", "root", "side"))
+        col = table.column("shingles").combine_chunks()
+        n = np.asarray(col.value_lengths()).astype(np.int64)
+        _, once = np.unique(cid, return_index=True)
+        if len(once) < len(cid):  # rows that share a doc_id and a set
+            table = table.take(pa.array(once))
+            return run(table)
+        flat = np.asarray(col.flatten())
+        off = np.concatenate([[0], np.cumsum(n)])
+        names, flat_ids = np.unique(flat, return_inverse=True)
+        groups = int(np.clip(1 << int(np.ceil(np.log2(2 * max(np.median(n), 1)))), LEAST_GROUPS, max(LEAST_GROUPS, min(VECTOR, (16 << 20) // len(n)))))
+        place = np.repeat(np.arange(len(n)) * groups, n) + (mix(flat.view(np.uint64) ^ _SALT[3]) % np.uint64(groups)).astype(np.int64)
+        points = np.bincount(place, minlength=len(n) * groups).reshape(len(n), groups)
+        points = points.astype(np.uint8 if points.max() < 256 else np.int32)
+        held = np.zeros(len(names), bool)
+
+        def check(i: int, rows: np.ndarray) -> np.ndarray:
+            own = flat_ids[off[i]:off[i + 1]]
+            held[own] = True
+            sizes = n[rows]
+            begun = np.cumsum(sizes) - sizes
+            at = np.arange(int(sizes.sum())) + np.repeat(off[rows] - begun, sizes)
+            overlap = np.add.reduceat(held[flat_ids[at]].astype(np.int64), begun)
+            held[own] = False
+            return rows[overlap >= least_overlap(n[i], sizes, num, den)]
+
+        return _search(cid, root, n, side, points, num, den, check)
+
+    return run
+
+
+def _units(rows: DataFrame, group: str, weight: Column, scratch: Scratch, name: str) -> DataFrame:
+    """rows (with cid and root) with the unit (lo, hi, side) of their group that a task takes, once for each such unit.
+
+    A group of at most LIMIT weight is one unit. Of others, components of more
+    than half of it get blocks of their own, smaller ones share blocks; pairs of
+    blocks of the same component, which has nothing to join, are left out.
+    """
+    zero = F.struct(F.lit(0).cast("long").alias("of"), F.lit(0).alias("i"))
+    sizes = rows.groupBy(group).agg(F.sum(weight).alias("w")).where(F.col("w") > LIMIT).select(F.col(group).alias("g"))
+    sizes = scratch.table(sizes, f"{name}-large")
+    plain = [F.col(c) for c in rows.columns]
+    if sizes.isEmpty():
+        return rows.select(*plain, zero.alias("lo"), zero.alias("hi"), F.lit(0).alias("side"))
+    small = rows.join(sizes, F.col(group) == F.col("g"), "left_anti").select(*plain, zero.alias("lo"), zero.alias("hi"), F.lit(0).alias("side"))
+    large = rows.join(sizes, F.col(group) == F.col("g"), "left_semi")
+    half = LIMIT // 2
+    part = large.groupBy(F.col(group).alias("g"), F.col("root").alias("r")).agg(F.sum(weight).alias("w"))
+    part = part.withColumn("heavy", F.col("w") > half)
+    light = part.where("not heavy").groupBy("g").agg(F.ceil(F.sum("w") / half).cast("int").alias("m")).withColumnRenamed("g", "lg")
+    heavy = part.where("heavy").select(F.col("g").alias("hg"), "r", F.ceil(F.col("w") / half).cast("int").alias("m"))
+    own = large.join(heavy, (F.col(group) == F.col("hg")) & (F.col("root") == F.col("r")))
+    own = own.select(*plain, F.struct(F.col("root").alias("of"), F.pmod(F.xxhash64("cid"), F.col("m")).cast("int").alias("i")).alias("block"), F.lit(True).alias("one"))
+    rest = large.join(heavy, (F.col(group) == F.col("hg")) & (F.col("root") == F.col("r")), "left_anti").join(light, F.col(group) == F.col("lg"))
+    rest = rest.select(*plain, F.struct(F.lit(0).cast("long").alias("of"), F.pmod(F.xxhash64("root"), F.col("m")).cast("int").alias("i")).alias("block"), F.lit(False).alias("one"))
+    dealt = scratch.table(own.unionByName(rest), f"{name}-dealt")
+    blocks = dealt.select(F.col(group).alias("g"), "block", "one").distinct()
+    a, b = (blocks.toDF(f"g{s}", f"b{s}", f"o{s}") for s in "xy")
+    pairs = a.join(b, (F.col("gx") == F.col("gy")) & (F.col("bx") <= F.col("by"))).where(~(F.col("ox") & F.col("oy") & (F.col("bx.of") == F.col("by.of"))))
+    pairs = pairs.select("gx", F.col("bx").alias("lo"), F.col("by").alias("hi"))
+    sides = pairs.select("gx", "lo", "hi", F.col("hi").alias("mine"), F.lit(1).alias("side")).union(pairs.where("lo <> hi").select("gx", "lo", "hi", F.col("lo").alias("mine"), F.lit(0).alias("side")))
+    spread = dealt.join(sides, (F.col(group) == F.col("gx")) & (F.col("block") == F.col("mine"))).select(*plain, "lo", "hi", "side")
+    return small.unionByName(spread)
+
+
 def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; links at den * overlap >= num * union."""
     spark = tune(docs.sparkSession)
-    plan = Plan(k, num, den)
-    folder = shared_folder(spark)
+    plan, scratch = Plan(k, num, den), Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("d", F.coalesce("doc_id", F.lit(-1)))
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    base = stored(docs.mapInArrow(_scan(k), "doc_id long, n long, cid long, vec binary"), "base")
-    one = [F.max(c).alias(c) for c in ("n", "vec")]
-    classes = stored(base.where("cid is not null").groupBy("cid").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("place"), *one), "classes")
-    keys = docs.select("text").mapInArrow(_file(plan), "key long, cid long")
-    keys = keys.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "cid"), "cid")
-    tiles = stored(keys.mapInArrow(_hubs, "key long, hub long, cid long"), "tiles")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that link, by their whole sets, which are fetched for the documents that take part."""
-        met = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-        places = stored(met.join(classes.select("cid", "place"), "cid").select(F.col("place").alias("d")).distinct(), f"{name}-places")
-        rows = docs.join(F.broadcast(places) if places.count() <= FETCH else places, "d", "left_semi")
-        rows = rows.dropDuplicates(["d", "text"]) if repeats else rows
-        whole = stored(rows.select("text").mapInArrow(_sets(k), "cid long, shingles array<long>"), f"{name}-sets")
-        a, b = (whole.toDF(f"c{s}", f"s{s}") for s in "ab")
-        both = pairs.join(a, F.col("a") == F.col("ca")).join(b, F.col("b") == F.col("cb"))
-        inter = F.size(F.array_intersect("sa", "sb")).cast("long")
-        both = both.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
-        return stored(both.where(F.col("i") * den >= (F.col("t") - F.col("i")) * num).select("a", "b"), name)
-
-    ids = base.agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("d")).first()
-    repeats = ids.n != ids.d
-    star = stored(tiles.select(F.greatest("hub", "cid").alias("a"), F.least("hub", "cid").alias("b")).distinct(), "star")
+    def scanned(clashes: np.ndarray, name: str) -> DataFrame:
+        return scratch.table(docs.select("doc_id", "text").mapInArrow(_scan(k, clashes), "doc_id long, n long, cid long, other long, vec binary"), name)
+
+    clashes = np.zeros(0, np.int64)
+    base = scanned(clashes, "base")
+    twice = base.where("cid is not null").groupBy("cid").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi")
+    clashes = np.array([r.cid for r in twice.select("cid").collect()], np.int64)  # about n * n / 2**65 of n sets
+    if len(clashes):
+        base = scanned(clashes, "base-again")
+    classes = base.where("cid is not null").groupBy("cid").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("place"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("vec").alias("vec"))
+    classes = scratch.table(classes, "classes")
+    keys = docs.select("text").mapInArrow(_file(plan, clashes), "key long, cid long")
+    keys = keys.repartition("key").sortWithinPartitions("key", F.xxhash64("cid"), "cid")
+    tiles = scratch.table(keys.mapInArrow(_hubs, "key long, hub long, cid long"), "tiles")
+
+    # sets that may link, by the bound: each with its hub, then within tiles of several clusters
+    star = tiles.select(F.greatest("hub", "cid").alias("a"), F.least("hub", "cid").alias("b")).distinct()
     a, b = (classes.select("cid", "n", "vec").toDF(f"c{s}", f"n{s}", f"v{s}") for s in "ab")
     sized = star.join(a, F.col("a") == F.col("ca")).join(b, F.col("b") == F.col("cb"))
     near = sized.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b", "na", "nb", "va", "vb")
-    links = verified(stored(near.mapInArrow(_bounded(num, den), "a long, b long"), "near"), "links")
-    roots = connected_components(links)
-
-    # tiles of three or more whose members are not all connected
+    near = scratch.table(near.mapInArrow(_bounded(num, den), "a long, b long"), "near")
+    roots = connected_components(near, scratch)
     member = tiles.select("key", "cid").union(tiles.select("key", "hub").distinct())
     marked = member.join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
-    marked = stored(marked, "marked")
-    mixed = marked.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    mixed = mixed.where("m > 2 and lo <> hi").select(F.col("key").alias("tile"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    open_rows = marked.join(mixed, F.col("key") == F.col("tile")).join(classes.select(F.col("cid").alias("c"), "n", "vec"), F.col("cid") == F.col("c"))
-    open_rows = open_rows.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    dealt = open_rows.select("key", "cid", "root", "n", "vec", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.withColumn("lo", F.least("side", "with")).withColumn("hi", F.greatest("side", "with"))
-    found = dealt.groupBy("key", "lo", "hi").applyInArrow(_tree_pairs(num, den), "a long, b long").distinct()
-    found = stored(found.join(star, ["a", "b"], "left_anti"), "found")
-    if not found.isEmpty():
-        roots = connected_components(links.union(verified(found, "more")))
-
-    named = base.select("doc_id", "n", "cid").join(roots, F.col("cid") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "cid").alias("class"))
-    least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).withColumnRenamed("class", "c")
-    out = named.join(least, F.col("class") == F.col("c"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    marked = scratch.table(marked, "marked")
+    scratch.drop("tiles")
+    mixed = marked.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("m > 2 and lo <> hi").select(F.col("key").alias("tile"))
+    open_rows = marked.join(mixed, F.col("key") == F.col("tile"), "left_semi").join(classes.select(F.col("cid").alias("c"), "n", "vec"), F.col("cid") == F.col("c")).select("key", "cid", "root", "n", "vec")
+    units = _units(open_rows, "key", F.octet_length("vec"), scratch, "tile-units")
+    edges = scratch.table(units.groupBy("key", "lo", "hi").applyInArrow(_tile_edges(num, den), "a long, b long"), "edges")
+    if not edges.isEmpty():
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(edges), scratch)
+    scratch.drop("marked")
+    member = roots.join(classes.select("cid", "n", "place"), F.col("node") == F.col("cid")).select(F.col("root").alias("cluster"), "cid", "n", "place")
+    member = scratch.table(member, "member")
+
+    def linked(units: DataFrame, name: str) -> DataFrame:
+        """Links within units of clusters, whose whole sets are fetched once for each unit."""
+        want = scratch.table(units, f"{name}-want")
+        rows = docs.select("d", "text").join(F.broadcast(want) if want.count() <= FETCH else want, F.col("d") == F.col("place"))
+        names = ["text", "cluster", "lo", "hi", "side", "cid", "root"]
+        block = "struct<of:long,i:int>"
+        sets = rows.select(*names).mapInArrow(_sets(k, clashes, names), f"cluster long, lo {block}, hi {block}, side int, cid long, root long, shingles array<long>")
+        return scratch.table(sets.groupBy("cluster", "lo", "hi").applyInArrow(_cluster_links(num, den), "a long, b long"), name)
+
+    # clusters of more than LIMIT shingles: all blocks against the first, then what is still apart
+    large = member.groupBy("cluster").agg(F.sum("n").alias("w")).where(F.col("w") > LIMIT).select(F.col("cluster").alias("g"), F.ceil(F.col("w") / (LIMIT // 2)).cast("int").alias("m"))
+    large = scratch.table(large, "large")
+    block = lambda i: F.struct(F.lit(0).cast("long").alias("of"), F.lit(i).cast("int").alias("i") if isinstance(i, int) else F.col(i).alias("i"))
+    member = member.withColumn("root", F.col("cid"))
+    plain = ["cluster", "cid", "root", "n", "place"]
+    if large.isEmpty():
+        links = linked(member.select(*plain, block(0).alias("lo"), block(0).alias("hi"), F.lit(1).alias("side")), "links")
+        named = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    else:
+        small = member.join(large, F.col("cluster") == F.col("g"), "left_anti").select(*plain, block(0).alias("lo"), block(0).alias("hi"), F.lit(1).alias("side"))
+        big = member.join(large, F.col("cluster") == F.col("g")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("m")).cast("int"))
+        each = big.select(*plain, block(0).alias("lo"), block("own").alias("hi"), F.lit(1).alias("side"))
+        first = big.where("own = 0").withColumn("with", F.explode(F.sequence(F.lit(1), F.col("m") - 1))).select(*plain, block(0).alias("lo"), block("with").alias("hi"), F.lit(0).alias("side"))
+        links = linked(small.unionByName(each).unionByName(first), "links")
+        so_far = connected_components(links, scratch).withColumnRenamed("root", "found")
+        apart = big.join(so_far, F.col("cid") == F.col("node"), "left").select("cluster", "cid", F.coalesce("found", "root").alias("root"), "n", "place")
+        more = linked(_units(apart, "cluster", F.col("n"), scratch, "cluster-units"), "more")
+        named = connected_components(links.union(more), scratch)
+    component = classes.select("cid", "least").join(named, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
+    component = scratch.table(component, "component")
+    least = scratch.table(component.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r"), "least")
+    known = scratch.table(component.join(least, F.col("root") == F.col("r")).select(F.col("cid").alias("c"), "component_id"), "known")
+    out = base.select("doc_id", "n", "cid").join(known, F.col("cid") == F.col("c"), "left")
+    out = scratch.table(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "result")
+    scratch.only("result")
+    return out

@@ -122,7 +122,10 @@ def _components(texts, k, num, den):
     return [(i, len(s), root[i]) for i, s in enumerate(sets)]
 
 
-def test_jaccard_components(spark):
+@pytest.mark.parametrize("limit", [jaccard.LIMIT, 1500])
+def test_jaccard_components(spark, monkeypatch, limit):
+    monkeypatch.setattr(jaccard, "LIMIT", limit)
+
     def edited(words, rate):
         return " ".join(R.choice(["zz", "yy", "xx"]) + str(R.random()) if R.random() < rate else w for w in words)
 
@@ -133,6 +136,30 @@ def test_jaccard_components(spark):
     assert jaccard.jaccard_components(documents(spark, texts).where("doc_id < 0")).count() == 0
 
 
+def test_chains_of_near_copies_link_through_the_tree(spark):
+    # each text differs from the next by one word, so hubs link few of them and the rest is left to the searches
+    words, texts = prose(90).split(), []
+    for i in range(40):
+        words = [*words[:2 * i], f"new{i}", *words[2 * i + 1:]]
+        texts.append(" ".join(words))
+    got = sorted(tuple(r) for r in jaccard.jaccard_components(documents(spark, texts), k=4, num=85, den=100).collect())
+    assert got == _components(texts, 4, 85, 100)
+
+
+def test_a_large_group_of_near_copies_gives_no_pairs(spark):
+    words = prose(200).split()
+    texts = [" ".join([*words[:i % 50], f"x{i}", *words[i % 50 + 1:]]) for i in range(2000)]
+    got = jaccard.jaccard_components(documents(spark, texts), k=4, num=85, den=100).collect()
+    assert len(got) == 2000 and {r.component_id for r in got} == {0}
+
+
+def test_equal_first_hashes_do_not_merge_sets():
+    h, off = np.arange(1, 7, dtype=np.uint64), np.array([0, 3, 6])
+    cid, other = jaccard.class_of(h, off, np.zeros(0, np.int64))
+    again, same = jaccard.class_of(h, off, cid[:1].view(np.int64))
+    assert again[0] != cid[0] and again[1] == cid[1] and (same == other).all()
+
+
 def test_null_ids_link_and_repeated_rows_stay(spark):
     rows = [(None, BASE), (None, BASE + " more words here"), (7, BASE + " more words there"), (7, BASE + " more words there")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
