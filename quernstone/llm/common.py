@@ -84,6 +84,20 @@ class Scratch:
         self.drop(*[n for n in self.names if n not in names])
 
 
+#: Ids that may be broadcast, 8 bytes each.
+FEW_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but those whose doc_id is in the one column of ids, a stored table; rows without doc_id stay.
+
+    Up to FEW_IDS ids are broadcast, so that no text moves; more are joined by a shuffle.
+    """
+    gone = ids.toDF("_gone").where("_gone is not null").distinct()
+    few = gone.limit(FEW_IDS + 1).count() <= FEW_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

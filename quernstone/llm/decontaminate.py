@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, numbered, shared_folder, text_chunks, tune
+from .common import ALNUM, Scratch, Words, numbered, text_chunks, tune, without_ids
 
 K = 5
 THRESHOLD = 0.8
@@ -160,7 +160,7 @@ def _verify(shared):
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): the best window of each contaminated document and item."""
     spark = tune(docs.sparkSession)
-    folder = shared_folder(spark)
+    scratch = Scratch(spark)
     rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("_row", "doc_id", "text")
     every = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     n_blocks = max(1, -(-every.count() // ITEM_BLOCK))
@@ -169,9 +169,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         part = every.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
         items = _items([(r.item_id, r.text) for r in part.collect()])
         shared = spark.sparkContext.broadcast(items)
-        path = f"{folder}/windows{block}"
-        (rows.mapInArrow(_windows(shared), _WINDOW) if items else spark.createDataFrame([], _WINDOW)).write.parquet(path)
-        windows = spark.read.schema(_WINDOW).parquet(path)
+        windows = scratch.table(rows.mapInArrow(_windows(shared), _WINDOW) if items else spark.createDataFrame([], _WINDOW), f"windows{block}")
         pieces, prints = [], []
         for i, (_, n, h, wt) in enumerate(items):
             fp = fingerprints(h, wt, np.array([0]), np.array([len(h)]))
@@ -184,6 +182,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(F.col("_row").alias("r"), F.col("first").alias("f"), F.col("size").alias("s"), "item").distinct()
         pairs = windows.join(near, (F.col("_row") == F.col("r")) & (F.col("first") == F.col("f")) & (F.col("size") == F.col("s")))
         checked = pairs.select("_row", "doc_id", "first", "size", "item", "grams", "weights").mapInArrow(_verify(shared), "_row long, doc_id long, item_id long, similarity double, first_word long, n_words long")
+        checked = scratch.table(checked, f"checked{block}")
+        scratch.drop(f"windows{block}")
         found = checked if found is None else found.unionByName(checked)
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("at"), "n_words")).alias("b")
     return found.groupBy("_row", "doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.similarity", (-F.col("b.at")).alias("first_word"), "b.n_words")
@@ -191,5 +191,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without contaminated documents; documents without doc_id stay."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    return without_ids(docs, contaminated(docs, benchmark).select("doc_id"))

@@ -1,20 +1,25 @@
 """Adaptive context-mixing range coder for token ids.
 
-Ids are coded in blocks, each with a model of its own that starts afresh and a
-checksum of its own. Per id, an order-2 and an order-1 table each predict one id
-with a confidence; adaptive hit rates by confidence are mixed in the logistic
-domain with learned weights into the probability that the better prediction
-holds. After a miss the id is coded with adaptive order-0 counts: its upper part,
-then its low byte given the upper part.
+Ids are coded in blocks, each with a model of its own that starts afresh from the
+segment's table and a checksum of its own. Per id, an order-2 and an order-1 table
+each predict one id with a confidence. Hit rates by confidence, which learn on
+every id, and the order-0 probability of the predicted id are mixed in the
+logistic domain, with weights that learn on every id, into the probability that
+the better prediction holds. After a miss the id is coded with order-0 counts,
+which start from the segment's and take in the block's own from time to time.
 
 All blocks of a segment are coded side by side, a few numpy steps per position.
 All arithmetic is on integers, so that decoding repeats encoding exactly. The
 coder keeps a window of 60 bits and gives words of 20; carries stay in the words
 until the end of a segment.
 
-A segment, little-endian: b"QSEG", upper parts (u32), ids of a block (u32), then
-blocks: b"QRC1", ids (u32), crc32 of the ids as u32 (u32), payload bytes (u32),
-payload. Only the last block may hold fewer ids; it is padded with zeros inside.
+A segment stands alone. Little-endian: b"QSG3", ids (u64), distinct ids (u32), ids
+of a block (u32), bytes of the table (u32), crc32 of the packed table (u32), the
+table (zlib: the distinct ids in ascending order as u32, their order-0 frequencies
+as u32, the number of each one's commonest follower as u32, that follower's first
+confidence as u8), then blocks: b"QRC1", ids (u32), crc32 of the ids as u32 (u32),
+payload bytes (u32), payload (five bytes for two words). Only the last block may
+hold fewer ids; it is padded with the first distinct id inside.
 """
 
 from __future__ import annotations
@@ -24,18 +29,18 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"QRC1"
+MAGIC, BLOCK_MAGIC = b"QSG3", b"QRC1"
+_HEAD, _BLOCK = struct.Struct("<4sQIIII"), struct.Struct("<4sIII")
 #: Blocks side by side at most, and ids of a block at least.
-LANES, LEAST = 2048, 256
-SLOTS = 512
+LANES, LEAST = 512, 4096
+#: Slots of an order-2 table, and cells of all order-0 tables of a segment.
+SLOTS, CELLS = 1 << 14, 1 << 24
 _BITS = 12
-#: Order-0 counts are scaled to this total.
-_BITS0 = 11
-_TOTAL = 1 << _BITS0
 _WINDOW, _WORD = 60, 20
 _LEFT = 1 << (_WINDOW - _WORD)
-_CONTEXTS = 4
 _EMPTY = -16 + 8
+#: How fast hit rates and weights learn, as shifts, and what an own id weighs beside the segment's count.
+RATE, LEARN, OWN = 5, 10, 4
 
 
 def _logistic() -> tuple[np.ndarray, np.ndarray]:
@@ -53,106 +58,153 @@ _LESS = np.array([0, 0, 1, 1, 2, 2, 3, 3, 0], np.int32)
 _MORE = np.array([1, 1, 1, 1, 1, 1, 1, 0, 0], np.int32)
 
 
+class _Table:
+    """What a segment's blocks start from."""
+
+    def __init__(self, names: np.ndarray, freq: np.ndarray, follower: np.ndarray, sure: np.ndarray) -> None:
+        self.names, self.freq, self.follower, self.sure = names, freq.astype(np.int64), follower, sure
+        self.bits = max(14, int(len(names) - 1).bit_length() + 2)
+
+    @staticmethod
+    def of(names: np.ndarray, x: np.ndarray) -> _Table:
+        """From the numbers x of a segment's ids."""
+        n = len(names)
+        total = 1 << max(14, int(n - 1).bit_length() + 2)
+        cum = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=n))]) * (total - n) // len(x) + np.arange(n + 1)
+        follower, sure = np.zeros(n, np.int64), np.full(n, 8, np.uint8)
+        if len(x) > 1:
+            pairs, count = np.unique(x[:-1].astype(np.int64) * n + x[1:], return_counts=True)
+            before = pairs // n
+            order = np.lexsort((-count, before))
+            first = np.flatnonzero(np.diff(before[order], prepend=-1))
+            share = count[order[first]] * 8 // np.add.reduceat(count[order], first)
+            follower[before[order[first]]] = (pairs % n)[order[first]]
+            sure[before[order[first]]] = np.minimum(share, 7)
+        return _Table(names, np.diff(cum), follower, sure)
+
+    def pack(self) -> bytes:
+        return zlib.compress(b"".join([*(np.asarray(v).astype("<u4").tobytes() for v in (self.names, self.freq, self.follower)), self.sure.tobytes()]), 6)
+
+    @staticmethod
+    def unpack(data: bytes, n: int) -> _Table:
+        raw = zlib.decompress(data)
+        if len(raw) != 13 * n:
+            raise ValueError("damaged table")
+        three = np.frombuffer(raw, "<u4", 3 * n).reshape(3, n)
+        return _Table(three[0].astype(np.int64), three[1], three[2].astype(np.int64), np.frombuffer(raw, np.uint8, n, 12 * n))
+
+
 class _Model:
     """Predictions of all lanes for the next id; orders 1 and 2 stand one after the other in each array."""
 
-    def __init__(self, lanes: int, uppers: int, capacity: int, inverse: bool) -> None:
-        self.lanes, self.uppers, self.capacity, self.inverse = lanes, uppers, capacity, inverse
-        both = np.arange(2 * lanes, dtype=np.int32)
-        self.cells, self.slots = both * 16, both * SLOTS
-        self.entry = np.full(2 * lanes * SLOTS, _EMPTY, np.int32)
-        start = np.zeros(16, np.int32)
-        start[:8] = np.round(65536 * (np.arange(8) + 1) / (np.arange(8) + 3))
-        self.rate = np.tile(start, 2 * lanes)
-        self.weight = np.full(2 * lanes, 45000, np.int32)
-        self.prev = np.zeros(lanes, np.int32)
-        self.prev2 = np.zeros(lanes, np.int32)
-        self.count_upper = np.ones((lanes, uppers), np.int32)
-        self.count_low = np.ones((lanes, _CONTEXTS, 256), np.int32)
-        self.seen_upper: list[np.ndarray] = []
-        self.seen_low: list[np.ndarray] = []
-        self.hash = np.empty(2 * lanes, np.int32)
-        self.step, self.rebuild_at = 0, 32
+    def __init__(self, table: _Table, lanes: int, capacity: int, inverse: bool) -> None:
+        n = lanes
+        self.lanes, self.table, self.capacity, self.inverse = lanes, table, capacity, inverse
+        self.names = len(table.names)
+        slots = 1 << int(self.names - 1).bit_length()
+        both = np.arange(n, dtype=np.int64)
+        self.base1, self.base2 = both * slots, n * slots + both * SLOTS
+        first = np.full(slots, _EMPTY, np.int32)
+        known = table.sure < 8
+        first[: self.names] = np.where(known, table.follower << 4 | table.sure, _EMPTY)
+        self.entry = np.concatenate([np.tile(first, n), np.full(n * SLOTS, _EMPTY, np.int32)])
+        rate = np.zeros(16, np.int32)
+        rate[:8] = np.round(65536 * (np.arange(8) + 1) / (np.arange(8) + 4))
+        self.rate = np.tile(rate, 2 * n)
+        self.cells = np.arange(2 * n, dtype=np.int64) * 16
+        self.weight = np.repeat(np.array([[30000], [40000], [12000]], np.int32), n, axis=1)
+        share = table.freq * 4096 >> table.bits
+        self.stretch0 = _STRETCH[np.minimum(share, 4095)]
+        self.prev = np.zeros(n, np.int64)
+        self.prev2 = np.zeros(n, np.int64)
+        self.hash = np.empty(2 * n, np.int64)
+        self.step, self.rebuild_at = 0, 256
+        self.count = None
+        self.seen: list[np.ndarray] = []
         self._rebuild()
 
     def _rebuild(self) -> None:
-        for kind, places in (("upper", self.seen_upper), ("low", self.seen_low)):
-            count = getattr(self, f"count_{kind}")
-            n = count.shape[-1]
-            if places:
-                np.add.at(count.reshape(-1), np.concatenate(places), np.int32(24))
-                places.clear()
-            of = count if self.step else count[:1]  # all lanes start alike
-            cum = np.zeros((*of.shape[:-1], n + 1), np.float32)
-            np.cumsum(of, -1, out=cum[..., 1:])
-            cum *= np.float32(_TOTAL - n) / cum[..., -1:]  # one correctly rounded division and product each: the same everywhere
-            cum = cum.astype(np.int16)
-            cum[..., -1] = _TOTAL - n
-            cum += np.arange(n + 1, dtype=np.int16)
-            if not self.step:
-                cum = np.tile(cum, (self.lanes, *[1] * (cum.ndim - 1)))
-            setattr(self, f"cum_{kind}", cum.ravel())
-            if self.inverse:
-                freq = np.diff(cum, axis=-1)
-                symbols = np.tile(np.arange(n, dtype=np.uint16 if n > 256 else np.uint8), freq.size // n)
-                setattr(self, f"inverse_{kind}", np.repeat(symbols, freq.ravel()))
+        total, n = 1 << self.table.bits, self.names
+        if not self.step:
+            cum = np.concatenate([[0], np.cumsum(self.table.freq)])[None]
+        else:
+            if self.count is None:
+                self.count = np.tile(self.table.freq.astype(np.int32), (self.lanes, 1))
+            np.add.at(self.count.reshape(-1), np.concatenate(self.seen) if self.seen else np.zeros(0, np.int32), np.int32(OWN))
+            self.seen.clear()
+            cum = np.zeros((self.lanes, n + 1), np.int64)
+            np.cumsum(self.count, axis=1, out=cum[:, 1:])
+            whole = cum[:, -1:].copy()
+            cum *= total - n
+            cum //= whole
+            cum += np.arange(n + 1)
+        cum = cum.astype(np.int32)
+        if self.inverse:
+            symbols = np.tile(np.arange(n, dtype=np.uint16 if n < 1 << 16 else np.int32), len(cum))
+            back = np.repeat(symbols, np.diff(cum, axis=1).ravel())
+        if len(cum) < self.lanes:
+            cum = np.tile(cum, (self.lanes, 1))
+            back = np.tile(back, self.lanes) if self.inverse else None
+        self.cum = cum.ravel()
+        if self.inverse:
+            self.back = back
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """(predicted id or -1, probability of a hit out of 2**12) per lane."""
+        """(predicted number or -1, probability of a hit out of 2**12) per lane."""
         if self.step == self.rebuild_at:
             self._rebuild()
-            self.rebuild_at *= 8
+            self.rebuild_at *= 4
         n = self.lanes
-        np.bitwise_and(self.prev, SLOTS - 1, out=self.hash[:n])
-        h = self.prev * np.int32(40503)
-        h += self.prev2 * np.int32(30011)
-        h >>= 5
-        np.bitwise_and(h, SLOTS - 1, out=self.hash[n:])
-        self.hash += self.slots
+        np.add(self.prev, self.base1, out=self.hash[:n])
+        h = self.prev * 40503
+        h += self.prev2 * 30011
+        h >>= 3
+        h &= SLOTS - 1
+        np.add(h, self.base2, out=self.hash[n:])
         self.got = self.entry.take(self.hash, mode="clip")
         self.conf = self.got & 15
         self.cell = self.cells + self.conf
         self.p = self.rate.take(self.cell, mode="clip")
         self.st = _STRETCH.take(self.p >> 4, mode="clip")
         self.guess = self.got >> 4
-        x = self.st * self.weight
+        one, two = self.guess[:n], self.guess[n:]
         self.second = self.st[n:] >= self.st[:n]
-        self.agree = self.guess[:n] == self.guess[n:]
-        self.cand = np.where(self.second, self.guess[n:], self.guess[:n])
-        mixed = np.where(self.second, x[n:], x[:n])
-        np.add(x[:n], x[n:], out=mixed, where=self.agree)
+        agree = one == two
+        self.cand = np.where(self.second, two, one)
+        #: What each input says of the candidate; an order that predicts another id is silent.
+        self.input = np.empty((3, n), np.int32)
+        np.multiply(self.st[:n], agree | ~self.second, out=self.input[0])
+        np.multiply(self.st[n:], agree | self.second, out=self.input[1])
+        self.stretch0.take(self.cand, mode="clip", out=self.input[2])
+        mixed = (self.input * self.weight).sum(0)
         mixed >>= 16
         mixed += 2047
         self.mixed = _SQUASH.take(mixed, mode="clip")
         return self.cand, self.mixed
 
-    def missed(self, lanes: np.ndarray, upper: np.ndarray, context: np.ndarray, byte: np.ndarray) -> None:
+    def missed(self, places: np.ndarray) -> None:
         """Note ids that order 0 coded; they count from the next rebuild on."""
         if self.rebuild_at < self.capacity:
-            self.seen_upper.append(lanes * self.uppers + upper)
-            self.seen_low.append((context << 8) + byte)
+            self.seen.append(places.astype(np.int32))
 
     def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
         """Learn the ids; hit: lanes where the prediction held."""
-        n = self.lanes
         twice = np.concatenate([ids, ids])
         held = self.guess == twice
-        if not self.step & 3:
-            change = held * np.int32(65535)
-            change -= self.p
-            change >>= 3
-            change += self.p
-            self.rate[self.cell] = change
-        if self.step & 7 == 1:
-            error = hit * np.int32(4096) - self.mixed
-            change = (self.st * np.concatenate([error, error])) >> 8
-            change[:n] *= ~self.second | self.agree
-            change[n:] *= self.second | self.agree
-            self.weight += change
-            np.clip(self.weight, 0, 200_000, out=self.weight)
+        change = held * np.int32(65535)
+        change -= self.p
+        change >>= RATE
+        change += self.p
+        self.rate[self.cell] = change
+        error = hit * np.int32(4096)
+        error -= self.mixed
+        change = self.input * error
+        change >>= LEARN
+        self.weight += change
+        np.clip(self.weight, -20_000, 150_000, out=self.weight)
         twice <<= 4
-        kept = self.got & np.int32(~15)
-        kept |= _LESS.take(self.conf, mode="clip")
+        kept = self.got - self.conf
+        kept += _LESS.take(self.conf, mode="clip")
         new = np.where(_KEEP.take(self.conf, mode="clip"), kept, twice)
         new = np.where(held, self.got + _MORE.take(self.conf, mode="clip"), new)
         self.entry[self.hash] = new
@@ -160,18 +212,34 @@ class _Model:
         self.step += 1
 
 
+def _shape(n: int, names: int) -> tuple[int, int]:
+    """(lanes, ids of a block) for n ids of so many distinct ones."""
+    bits = max(14, int(names - 1).bit_length() + 2)
+    lanes = max(1, min(LANES, n // LEAST, CELLS >> bits))
+    return lanes, -(-n // lanes)
+
+
 def encode_segment(ids: np.ndarray) -> bytes:
-    """Blocks of a segment of ids (any int32 from 0 below 2**18), one after the other."""
+    """Blocks of a segment of ids, one after the other."""
     n = len(ids)
     if not n:
         return b""
-    capacity = max(LEAST, -(-n // LANES))
+    top = int(ids.max()) + 1
+    known = np.flatnonzero(np.bincount(ids, minlength=top)) if top < 1 << 22 else np.unique(ids)
+    if top < 1 << 22:
+        number = np.zeros(top, np.int64)
+        number[known] = np.arange(len(known))
+        x = number[ids]
+    else:
+        x = np.searchsorted(known, ids)
+    table = _Table.of(known, x)
+    names, bits = len(known), table.bits
+    lanes, capacity = _shape(n, names)
     lanes = -(-n // capacity)
-    uppers = int(ids.max() >> 8) + 1
     grid = np.zeros(lanes * capacity, np.int32)
-    grid[:n] = ids
+    grid[:n] = x
     grid = np.ascontiguousarray(grid.reshape(lanes, capacity).T)
-    model = _Model(lanes, uppers, capacity, False)
+    model = _Model(table, lanes, capacity, False)
     low = np.zeros(lanes, np.int64)
     size = np.full(lanes, (1 << _WINDOW) - 1, np.int64)
     width = capacity * 2 + 16
@@ -181,30 +249,28 @@ def encode_segment(ids: np.ndarray) -> bytes:
         now = grid[t]
         cand, p = model.predict()
         hit = cand == now
-        part = (size >> _BITS) * p
-        low += part * ~hit
-        size = np.where(hit, part, size - part)
+        part = size >> _BITS
+        part *= p
+        rest = size - part
+        low += np.where(hit, 0, part)
+        size = np.where(hit, part, rest)
         missed = np.flatnonzero(~hit)
         if len(missed):
-            ids_m = now.take(missed)
-            upper = ids_m >> 8
-            c = missed * (uppers + 1) + upper
-            start = model.cum_upper.take(c)
-            r = size.take(missed) >> _BITS0
-            lo = low.take(missed) + start * r
-            r *= model.cum_upper.take(c + 1) - start
-            r >>= _BITS0
-            context, byte = missed * _CONTEXTS + np.minimum(upper, _CONTEXTS - 1), ids_m & 255
-            c = context * 257 + byte
-            start = model.cum_low.take(c)
-            low[missed] = lo + start * r
-            size[missed] = r * (model.cum_low.take(c + 1) - start)
-            model.missed(missed, upper, context, byte)
+            x = now.take(missed)
+            c = missed * (names + 1)
+            c += x
+            start = model.cum.take(c)
+            r = size.take(missed)
+            r >>= bits
+            low[missed] += start * r
+            size[missed] = r * (model.cum.take(c + 1) - start)
+            model.missed(c - missed)
         at = np.flatnonzero(size < _LEFT)
         while len(at):
             lo = low.take(at)
-            out[to.take(at)] = lo >> (_WINDOW - _WORD)
-            to[at] += 1
+            place = to.take(at)
+            out[place] = lo >> (_WINDOW - _WORD)
+            to[at] = place + 1
             low[at] = (lo & (_LEFT - 1)) << _WORD
             s = size.take(at) << _WORD
             size[at] = s
@@ -223,32 +289,42 @@ def encode_segment(ids: np.ndarray) -> bytes:
     words = np.concatenate([words, np.zeros((len(words) % 2, lanes), np.int32)])
     a, b = words[0::2].T, words[1::2].T
     packed = np.stack([a >> 12, a >> 4 & 255, (a & 15) << 4 | b >> 16, b >> 8 & 255, b & 255], axis=-1).astype(np.uint8).reshape(lanes, -1)
-    frames = [struct.pack("<4sII", b"QSEG", uppers, capacity)]
+    body = table.pack()
+    frames = [_HEAD.pack(MAGIC, n, names, capacity, len(body), zlib.crc32(body)), body]
     for i in range(lanes):
         block = ids[i * capacity:(i + 1) * capacity]
-        body = packed[i, : -(-int(used[i]) * 5 // 2)].tobytes()
-        frames.append(MAGIC + struct.pack("<III", len(block), zlib.crc32(block.astype("<u4").tobytes()), len(body)) + body)
+        payload = packed[i, : -(-int(used[i]) * 5 // 2)].tobytes()
+        frames += [_BLOCK.pack(BLOCK_MAGIC, len(block), zlib.crc32(block.astype("<u4").tobytes()), len(payload)), payload]
     return b"".join(frames)
 
 
 def decode_segment(data: bytes) -> np.ndarray:
-    """Ids of a segment; ValueError if a block is damaged."""
+    """Ids of a segment; ValueError if a block or the table is damaged."""
     if not data:
         return np.zeros(0, np.int32)
-    tag, uppers, capacity = struct.unpack_from("<4sII", data)
-    if tag != b"QSEG":
+    if len(data) < _HEAD.size or data[:4] != MAGIC:
         raise ValueError("not a segment")
-    at, sizes, sums, bodies = 12, [], [], []
+    _, count, names, capacity, length, crc = _HEAD.unpack_from(data)
+    at = _HEAD.size + length
+    body = data[_HEAD.size:at]
+    if zlib.crc32(body) != crc:
+        raise ValueError("damaged table")
+    table = _Table.unpack(body, names)
+    bits, total = table.bits, 1 << table.bits
+    sizes, sums, bodies = [], [], []
     while at < len(data):
-        if data[at:at + 4] != MAGIC or at + 16 > len(data):
+        if data[at:at + 4] != BLOCK_MAGIC or at + _BLOCK.size > len(data):
             raise ValueError("damaged block")
-        n, crc, length = struct.unpack_from("<III", data, at + 4)
-        if n > capacity or at + 16 + length > len(data):
+        _, n, crc, length = _BLOCK.unpack_from(data, at)
+        at += _BLOCK.size
+        if n > capacity or at + length > len(data):
             raise ValueError("damaged block")
         sizes.append(n)
         sums.append(crc)
-        bodies.append(data[at + 16:at + 16 + length])
-        at += 16 + length
+        bodies.append(data[at:at + length])
+        at += length
+    if sum(sizes) != count:
+        raise ValueError("a block is missing")
     lanes = len(sizes)
     width = -(-max(map(len, bodies)) // 5) * 5 + 40
     packed = np.zeros((lanes, width), np.uint8)
@@ -260,7 +336,7 @@ def decode_segment(data: bytes) -> np.ndarray:
     words[..., 0] = five[..., 0] << 12 | five[..., 1] << 4 | five[..., 2] >> 4
     words[..., 1] = (five[..., 2] & 15) << 16 | five[..., 3] << 8 | five[..., 4]
     words = words.reshape(-1)
-    model = _Model(lanes, uppers, capacity, True)
+    model = _Model(table, lanes, capacity, True)
     to = np.arange(lanes, dtype=np.int64) * row
     last = to + row - 1
     size = np.full(lanes, (1 << _WINDOW) - 1, np.int64)
@@ -271,31 +347,29 @@ def decode_segment(data: bytes) -> np.ndarray:
     grid = np.zeros((capacity, lanes), np.int32)
     for t in range(capacity):
         cand, p = model.predict()
-        part = (size >> _BITS) * p
-        hit = (diff < part) & (cand >= 0)
-        diff -= part * ~hit
-        size = np.where(hit, part, size - part)
+        part = size >> _BITS
+        part *= p
+        hit = diff < part
+        hit &= cand >= 0
+        rest = size - part
+        diff -= np.where(hit, 0, part)
+        size = np.where(hit, part, rest)
         now = cand.copy()
         missed = np.flatnonzero(~hit)
         if len(missed):
-            r = size.take(missed) >> _BITS0
+            r = size.take(missed)
+            r >>= bits
             d = diff.take(missed)
-            v = np.minimum(d // r, _TOTAL - 1)
-            upper = model.inverse_upper.take(missed * _TOTAL + v).astype(np.int32)
-            c = missed * (uppers + 1) + upper
-            start = model.cum_upper.take(c)
-            d -= start * r
-            r *= model.cum_upper.take(c + 1) - start
-            r >>= _BITS0
-            v = np.minimum(d // r, _TOTAL - 1)
-            context = missed * _CONTEXTS + np.minimum(upper, _CONTEXTS - 1)
-            byte = model.inverse_low.take(context * _TOTAL + v)
-            c = context * 257 + byte
-            start = model.cum_low.take(c)
+            v = np.minimum(d // r, total - 1)
+            v += missed << bits
+            x = model.back.take(v, mode="clip")
+            c = missed * (names + 1)
+            c += x
+            start = model.cum.take(c)
             diff[missed] = d - start * r
-            size[missed] = r * (model.cum_low.take(c + 1) - start)
-            now[missed] = (upper << 8) | byte
-            model.missed(missed, upper, context, byte)
+            size[missed] = r * (model.cum.take(c + 1) - start)
+            now[missed] = x
+            model.missed(c - missed)
         at = np.flatnonzero(size < _LEFT)
         while len(at):
             place = to.take(at)
@@ -306,7 +380,7 @@ def decode_segment(data: bytes) -> np.ndarray:
             at = at[s < _LEFT]
         model.update(now, hit)
         grid[t] = now
-    full = np.ascontiguousarray(grid.T)
+    full = table.names.astype(np.int32)[np.ascontiguousarray(grid.T)]
     parts = []
     for i in range(lanes):
         block = full[i, : sizes[i]]
