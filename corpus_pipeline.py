@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.bpe import bpe_round_trip
-from quernstone.llm.common import shared_folder
+from quernstone.llm.common import remove_folder, shared_folder, without_ids
 from quernstone.llm.decontaminate import clean
 from quernstone.llm.jaccard import jaccard_components
 from quernstone.llm.language import add_language
@@ -34,8 +34,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates."""
     groups = jaccard_components(docs, k=5, num=80, den=100)
-    extra = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_extra")).distinct()
-    return docs.join(extra, F.col("doc_id") == F.col("_extra"), "left_anti")
+    return without_ids(docs, groups.where("component_id <> doc_id").select("doc_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written and read again, which cuts the lineage."""
+    """All stages over documents; each stage's result is written and read again, which cuts the lineage, and deleted after the next."""
     folder = shared_folder(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        if before:
+            remove_folder(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
