@@ -13,6 +13,7 @@ import public_tokenizers  # noqa: E402
 
 from quernstone.llm import decontaminate, jaccard, language, licenses, lines, substrings, tokenfile  # noqa: E402
 from quernstone.llm.bpe import bpe_round_trip  # noqa: E402
+from quernstone.llm.common import Scratch  # noqa: E402
 from quernstone.llm.rangecoder import decode_segment, encode_segment  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -89,23 +90,57 @@ def test_damaged_block_is_noticed():
         decode_segment(bytes(data))
 
 
-@pytest.mark.parametrize("group", [1024, 2])
-def test_repeated_strings_are_removed(spark, monkeypatch, group):
-    monkeypatch.setattr(substrings, "GROUP", group)
-    shared, long = prose(90), prose(400)
-    texts = [*EDGE, *(f"{prose(40)} {shared} {prose(30)}" for _ in range(9)), long + long, shared[:399], shared[:401] + prose(3), "é" * 500]
+def _without_repeats(texts):
+    """By brute force, what op3 gives for each text."""
     raw = [(t or "").encode() for t in texts]
     windows = Counter(b[i:i + 400] for b in raw for i in range(len(b) - 399))
-    got = {r.doc_id: r for r in substrings.substring_dedup(documents(spark, texts)).collect()}
-    for i, b in enumerate(raw):
+    for b in raw:
         gone = np.zeros(len(b) + 1, bool)
         for k in range(len(b) - 399):
             if windows[b[k:k + 400]] > 1:
                 gone[k:k + 400] = True
         gone = gone[: len(b)]
         runs = int((gone & ~np.concatenate([[False], gone[:-1]])[: len(b)]).sum())
-        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
-        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
+        yield len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()
+
+
+@pytest.mark.parametrize(("group", "few", "batches", "chunk"), [(1024, 500_000, 4, 2 << 20), (2, 0, 3, 1000)])
+def test_repeated_strings_are_removed(spark, monkeypatch, group, few, batches, chunk):
+    for name, value in (("GROUP", group), ("FEW", few), ("CHUNK_BYTES", chunk)):
+        monkeypatch.setattr(substrings, name, value)
+    shared, long = prose(90), prose(400)
+    texts = [*EDGE, *(f"{prose(40)} {shared} {prose(30)}" for _ in range(9)), long + long, shared[:399], shared[:401] + prose(3), "é" * 500]
+    got = {r.doc_id: r for r in substrings.substring_dedup(documents(spark, texts), batches).collect()}
+    for i, want in enumerate(_without_repeats(texts)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want
+    assert substrings.substring_dedup(documents(spark, texts).where("doc_id < 0")).count() == 0
+
+
+def test_planted_passages_of_all_lengths_are_removed(spark):
+    passages = [(prose(400) + "x" * 999)[: R.randint(380, 800)] for _ in range(60)]
+    texts = [f"{prose(R.randint(1, 60))} {R.choice(passages)} {prose(R.randint(1, 60))}" for _ in range(300)]
+    got = {r.doc_id: r for r in substrings.substring_dedup(documents(spark, texts).repartition(7)).collect()}
+    for i, want in enumerate(_without_repeats(texts)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want
+
+
+def test_arrays_are_sorted_with_their_common_prefixes_and_periodic_text_is_sparse(spark):
+    for text in ("x" * 200_000, "ab " * 70_000, prose(40_000)):
+        data = np.frombuffer(text.encode(), np.uint8)
+        rows = substrings.sampled(data, np.array([0, len(data)]))
+        assert len(rows[0]) < 4 * len(data) / (substrings.SIZE - substrings.GRAM)
+        assert (rows[3] - rows[2] + 1).sum() == len(data) - substrings.SIZE + 1
+    family = substrings.IndexFamily(Scratch(spark))
+    docs = documents(spark, [prose(300) for _ in range(40)] + [BASE * 4] * 9).selectExpr("xxhash64(doc_id, text) th", "text")
+    for i in range(3):
+        family.add(docs.where(f"pmod(th, 3) = {i}").mapInArrow(substrings._index, substrings._ARRAY))
+    assert sorted(family.levels) == [0, 1]
+    for _, level in family.levels.values():
+        rows = level.orderBy("suffix").collect()
+        assert len({bytes(r.suffix) for r in rows}) == len(rows)
+        for a, b in zip(rows, rows[1:], strict=False):
+            common = next(i for i in range(65) if a.suffix[:i + 1] != b.suffix[:i + 1])
+            assert b.lcp in (common, 0)  # 0 where a partition begins
 
 
 def _components(texts, k, num, den):
