@@ -102,6 +102,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while (name := f"_{name}") in taken or f"{name}2" in taken:
+            pass
+        out.append(name)
+    return out
+
+
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     """Give each row its own number, so that repeated doc_ids stay apart."""
     return df.withColumn(name, F.monotonically_increasing_id())

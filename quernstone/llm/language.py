@@ -11,7 +11,10 @@ phrase and starts the next one at the root. Texts are cut into blocks of BLOCK
 characters, each of which starts a phrase; all of a text is parsed.
 
 Null text or no letter: `und`, score 0. Ties go to the smaller name. Without any
-labelled row, everything is `und`. Repeated rows get equal results.
+labelled row, everything is `und`. Null doc_id: predicted, never learned from.
+Repeated rows get equal results. Very long texts are cut into blocks like others.
+An empty table gives no row. Extra columns are kept, but for lang_pred and score,
+which are replaced.
 """
 
 from __future__ import annotations
@@ -176,6 +179,7 @@ def _parser(sample: dict[str, str]) -> Parser:
 def add_language(docs: DataFrame, sample: dict[str, str] | None = None) -> DataFrame:
     """docs with lang_pred and score beside; the sample is learned from docs unless given."""
     spark = tune(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score")
     shared = spark.sparkContext.broadcast(training_sample(docs) if sample is None else sample)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index("text")

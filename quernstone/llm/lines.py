@@ -10,7 +10,10 @@ would be left of it; document dedup handles copies. Any own line, however short
 beside the boilerplate, is enough for the removal.
 
 Null text: stays null. Empty text and blank lines: never removed. Null source
-counts as the site ''. Repeated rows get equal results. Extra columns are kept.
+counts as the site ''. Null doc_id: told by its text. Repeated rows get equal
+results. Very long texts take time in proportion to their lines. An empty table
+gives no row. Extra columns are kept, but for n_lines and n_removed, which are
+replaced.
 """
 
 from __future__ import annotations
@@ -18,12 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 #: A line on this many distinct sites is boilerplate.
 MIN_SITES = 10
 #: Registers of a sketch, as a power of two, and how far from the threshold an estimate is trusted.
 LG_K, MARGIN = 12, 0.15
-#: Only the SQL of op10 still exempts documents by the share of their characters that boilerplate has.
-MAX_SHARE = 0.5
 #: A line's rows are spread over this many join keys.
 SALTS = 64
 
@@ -49,18 +52,23 @@ def boilerplate_keys(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """docs with boilerplate lines taken out of text, and n_lines, n_removed (longs) beside."""
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_doc"), F.xxhash64("text").alias("_text")]
+    docs = docs.drop("n_lines", "n_removed")
+    doc, text, hits, lines_, bounds, left, goes = free_names(docs, "doc", "text_key", "hits", "lines", "bounds", "left", "goes")
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias(doc), F.xxhash64("text").alias(text)]
     keys = boilerplate_keys(docs, min_sites).select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("b_salt"))
-    lines = _lines(docs, *key).withColumn("salt", F.pmod(F.xxhash64("_doc", "line_no"), F.lit(SALTS)).cast("int"))
-    lines = lines.select("_doc", "_text", "line_no", "k1", "k2", "salt")
-    hits = lines.join(keys, (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2")) & (F.col("salt") == F.col("b_salt")), "left_semi")
-    by_doc = hits.groupBy("_doc", "_text").agg(F.collect_set("line_no").alias("_hits")).withColumnRenamed("_doc", "_d").withColumnRenamed("_text", "_t")
-    joined = docs.select("*", *key).join(by_doc, (F.col("_doc") == F.col("_d")) & (F.col("_text") == F.col("_t")), "left")
-    own = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_hits", i))
-    out = joined.withColumn("_goes", F.col("_hits").isNotNull() & F.exists(own, lambda x: F.trim(x) != ""))
-    kept = F.array_join(own, "\n")
+    lines = _lines(docs, *key).withColumn("salt", F.pmod(F.xxhash64(doc, "line_no"), F.lit(SALTS)).cast("int"))
+    lines = lines.select(doc, text, "line_no", "k1", "k2", "salt")
+    found = lines.join(keys, (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2")) & (F.col("salt") == F.col("b_salt")), "left_semi")
+    by_doc = found.groupBy(F.col(doc).alias(f"{doc}2"), F.col(text).alias(f"{text}2")).agg(F.sort_array(F.collect_set("line_no")).alias(hits))
+    out = docs.select("*", *key).join(by_doc, (F.col(doc) == F.col(f"{doc}2")) & (F.col(text) == F.col(f"{text}2")), "left")
+    out = out.withColumn(lines_, F.split("text", "\n", -1))
+    out = out.withColumn(bounds, F.when(F.col(hits).isNotNull(), F.concat(F.array(F.lit(-1)), hits, F.array(F.size(lines_)))))
+    # the lines between each hit and the next
+    gap = lambda i: F.slice(F.col(lines_), F.get(F.col(bounds), i) + 2, F.get(F.col(bounds), i + 1) - F.get(F.col(bounds), i) - 1)
+    out = out.withColumn(left, F.flatten(F.transform(F.sequence(F.lit(0), F.size(hits)), gap)))
+    out = out.withColumn(goes, F.coalesce(F.exists(left, lambda x: F.trim(x) != ""), F.lit(False)))
     return out.select(
-        *[F.when(F.col("_goes"), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("_goes"), F.size("_hits")).otherwise(0).cast("long").alias("n_removed"),
+        *[F.when(F.col(goes), F.array_join(left, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        F.coalesce(F.size(lines_), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col(goes), F.size(hits)).otherwise(0).cast("long").alias("n_removed"),
     )

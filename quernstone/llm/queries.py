@@ -13,7 +13,7 @@ from .decontaminate import contaminated
 from .jaccard import jaccard_components
 from .language import add_language, held_out
 from .licenses import license_scan
-from .lines import MAX_SHARE, MIN_SITES, line_dedup
+from .lines import MIN_SITES, line_dedup
 from .secrets import find_secrets
 from .substrings import substring_dedup
 from .tokenfile import token_file
@@ -103,12 +103,12 @@ ORACLE_SQL: dict[str, str] = {
         m AS (SELECT l.*, b.line IS NOT NULL AS hit FROM l LEFT JOIN b ON l.line = b.line),
         d AS (
           SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hit) AS n_hit,
-                 coalesce(sum(length(line)) FILTER (WHERE hit), 0) AS gone,
+                 count(*) FILTER (WHERE NOT hit AND trim(line) <> '') AS n_own,
                  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT hit), '') AS kept
           FROM m GROUP BY doc_id)
         SELECT o.doc_id, coalesce(d.n_lines, 0) AS n_lines,
-               CASE WHEN d.n_hit > 0 AND d.gone <= {MAX_SHARE} * length(o.text) THEN d.n_hit ELSE 0 END AS n_removed,
-               sha256(CASE WHEN d.n_hit > 0 AND d.gone <= {MAX_SHARE} * length(o.text) THEN d.kept ELSE coalesce(o.text, '') END) AS text_sha256
+               CASE WHEN d.n_hit > 0 AND d.n_own > 0 THEN d.n_hit ELSE 0 END AS n_removed,
+               sha256(CASE WHEN d.n_hit > 0 AND d.n_own > 0 THEN d.kept ELSE coalesce(o.text, '') END) AS text_sha256
         FROM documents o LEFT JOIN d ON o.doc_id = d.doc_id
     """,
 }
