@@ -197,7 +197,8 @@ def word_spans(data: np.ndarray, off: np.ndarray, added: list[bytes]) -> tuple[n
 class Encoder:
     """Ids of whole texts; encode gives the ids of words that were not met before."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], added: list[bytes]) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], added: list[bytes]) -> None:
+        #: encode gives the ids of all words in a row, and the number of each word's.
         self.encode, self.added = encode, added
         self._reset()
 
@@ -247,9 +248,9 @@ class Encoder:
                 self._reset()
                 return self(data, off) if len(keys) < 0.7 * (1 << TABLE_BITS) else self._halves(data, off)
             raw = data.tobytes()
-            ids = self.encode([raw[start[i]:end[i]] for i in new[at]])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
+            which = new[at]
+            ids, sizes = self.encode([raw[a:z] for a, z in zip(start[which].tolist(), end[which].tolist(), strict=True)])
+            self.flat = np.concatenate([self.flat, ids])
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
             self._put(keys, np.arange(self.size, self.size + len(keys), dtype=np.int32))
             self.size += len(keys)
@@ -266,8 +267,8 @@ class Encoder:
         for a, b in zip(off[:-1], off[1:], strict=True):
             start, _ = word_spans(data[a:b], np.array([0, b - a]), self.added)
             end = np.append(start[1:], b - a)
-            out.append(list(chain.from_iterable(self.encode([raw[a + s:a + e] for s, e in zip(start, end, strict=True)]))))
-        return np.array(list(chain.from_iterable(out)), np.int32), np.array(list(map(len, out)))
+            out.append(self.encode([raw[a + s:a + e] for s, e in zip(start, end, strict=True)])[0])
+        return np.concatenate(out), np.array(list(map(len, out)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -277,7 +278,13 @@ def dp_encoder(path: str) -> Encoder:
     """The worker's encoder by per-prefix dynamic programming."""
     if path not in _ENCODERS:
         v = vocabulary(path)
-        _ENCODERS[path] = Encoder(lambda words: [v.encode_word(w) for w in words], list(v.added))
+
+        def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            ids = list(map(v.encode_word, words))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes
+
+        _ENCODERS[path] = Encoder(encode, list(v.added))
     return _ENCODERS[path]
 
 

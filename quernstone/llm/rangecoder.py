@@ -32,7 +32,7 @@ import numpy as np
 MAGIC, BLOCK_MAGIC = b"QSG3", b"QRC1"
 _HEAD, _BLOCK = struct.Struct("<4sQIIII"), struct.Struct("<4sIII")
 #: Blocks side by side at most, and ids of a block at least.
-LANES, LEAST = 512, 4096
+LANES, LEAST = 768, 4096
 #: Slots of an order-2 table, and cells of all order-0 tables of a segment.
 SLOTS, CELLS = 1 << 14, 1 << 24
 _BITS = 12
@@ -40,7 +40,7 @@ _WINDOW, _WORD = 60, 20
 _LEFT = 1 << (_WINDOW - _WORD)
 _EMPTY = -16 + 8
 #: How fast hit rates and weights learn, as shifts, and what an own id weighs beside the segment's count.
-RATE, LEARN, OWN = 5, 10, 4
+RATE, LEARN, OWN = 5, 10, 16
 
 
 def _logistic() -> tuple[np.ndarray, np.ndarray]:
@@ -52,10 +52,11 @@ def _logistic() -> tuple[np.ndarray, np.ndarray]:
 
 
 _SQUASH, _STRETCH = _logistic()
-#: By confidence (8: empty): whether a missed entry stays, and the confidence it then has.
-_KEEP = np.array([0, 0, 1, 1, 1, 1, 1, 1, 0], bool)
-_LESS = np.array([0, 0, 1, 1, 2, 2, 3, 3, 0], np.int32)
-_MORE = np.array([1, 1, 1, 1, 1, 1, 1, 0, 0], np.int32)
+#: By confidence (8: empty), for misses and, from 16 on, for hits: whether the entry is replaced, and else the change of its confidence.
+_REPLACED = np.array([1, 1, 0, 0, 0, 0, 0, 0, 1, *[0] * 23], bool)
+_CHANGE = np.array([0, 0, -1, -2, -2, -3, -3, -4, 0, *[0] * 7, 1, 1, 1, 1, 1, 1, 1, 0, 0, *[0] * 7], np.int32)
+#: Weights are kept in bounds after so many ids; between, they can't overflow.
+_BOUND = 16
 
 
 class _Table:
@@ -145,7 +146,7 @@ class _Model:
         if len(cum) < self.lanes:
             cum = np.tile(cum, (self.lanes, 1))
             back = np.tile(back, self.lanes) if self.inverse else None
-        self.cum = cum.ravel()
+        self.cum = cum.astype(np.int64).ravel()
         if self.inverse:
             self.back = back
 
@@ -176,21 +177,20 @@ class _Model:
         np.multiply(self.st[:n], agree | ~self.second, out=self.input[0])
         np.multiply(self.st[n:], agree | self.second, out=self.input[1])
         self.stretch0.take(self.cand, mode="clip", out=self.input[2])
-        mixed = (self.input * self.weight).sum(0)
+        product = self.input * self.weight
+        mixed = product[0] + product[1]
+        mixed += product[2]
         mixed >>= 16
         mixed += 2047
         self.mixed = _SQUASH.take(mixed, mode="clip")
         return self.cand, self.mixed
 
-    def missed(self, places: np.ndarray) -> None:
-        """Note ids that order 0 coded; they count from the next rebuild on."""
+    def update(self, ids: np.ndarray, hit: np.ndarray, cells: np.ndarray) -> None:
+        """Learn the ids, whose order-0 counts are at cells; hit: lanes where the prediction held."""
         if self.rebuild_at < self.capacity:
-            self.seen.append(places.astype(np.int32))
-
-    def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        """Learn the ids; hit: lanes where the prediction held."""
+            self.seen.append(cells)
         twice = np.concatenate([ids, ids])
-        held = self.guess == twice
+        held = (self.guess == twice).view(np.int8)
         change = held * np.int32(65535)
         change -= self.p
         change >>= RATE
@@ -201,14 +201,14 @@ class _Model:
         change = self.input * error
         change >>= LEARN
         self.weight += change
-        np.clip(self.weight, -20_000, 150_000, out=self.weight)
+        if not self.step % _BOUND:
+            np.clip(self.weight, -20_000, 150_000, out=self.weight)
+        state = held << 4
+        state |= self.conf.astype(np.int8)
         twice <<= 4
-        kept = self.got - self.conf
-        kept += _LESS.take(self.conf, mode="clip")
-        new = np.where(_KEEP.take(self.conf, mode="clip"), kept, twice)
-        new = np.where(held, self.got + _MORE.take(self.conf, mode="clip"), new)
-        self.entry[self.hash] = new
-        self.prev2, self.prev = self.prev, ids
+        stays = self.got + _CHANGE.take(state, mode="clip")
+        self.entry[self.hash] = np.where(_REPLACED.take(state, mode="clip"), twice, stays)
+        self.prev2, self.prev = self.prev, ids.astype(np.int64)
         self.step += 1
 
 
@@ -244,27 +244,26 @@ def encode_segment(ids: np.ndarray) -> bytes:
     size = np.full(lanes, (1 << _WINDOW) - 1, np.int64)
     width = capacity * 2 + 16
     out = np.zeros(lanes * width, np.int32)
-    to = np.arange(lanes, dtype=np.int64) * width
+    gaps = np.arange(lanes, dtype=np.int64)
+    own, to = gaps * names, gaps * width
     for t in range(capacity):
         now = grid[t]
         cand, p = model.predict()
         hit = cand == now
         part = size >> _BITS
         part *= p
-        rest = size - part
-        low += np.where(hit, 0, part)
-        size = np.where(hit, part, rest)
-        missed = np.flatnonzero(~hit)
-        if len(missed):
-            x = now.take(missed)
-            c = missed * (names + 1)
-            c += x
-            start = model.cum.take(c)
-            r = size.take(missed)
-            r >>= bits
-            low[missed] += start * r
-            size[missed] = r * (model.cum.take(c + 1) - start)
-            model.missed(c - missed)
+        size -= part
+        r = size >> bits
+        cells = now + own
+        c = cells + gaps
+        start = model.cum.take(c)
+        c += 1
+        freq = model.cum.take(c) - start
+        start *= r
+        start += part
+        low += np.where(hit, 0, start)
+        r *= freq
+        size = np.where(hit, part, r)
         at = np.flatnonzero(size < _LEFT)
         while len(at):
             lo = low.take(at)
@@ -275,7 +274,7 @@ def encode_segment(ids: np.ndarray) -> bytes:
             s = size.take(at) << _WORD
             size[at] = s
             at = at[s < _LEFT]
-        model.update(now, hit)
+        model.update(now, hit, cells)
     for _ in range(_WINDOW // _WORD):
         out[to] = low >> (_WINDOW - _WORD)
         to += 1
@@ -337,7 +336,8 @@ def decode_segment(data: bytes) -> np.ndarray:
     words[..., 1] = (five[..., 2] & 15) << 16 | five[..., 3] << 8 | five[..., 4]
     words = words.reshape(-1)
     model = _Model(table, lanes, capacity, True)
-    to = np.arange(lanes, dtype=np.int64) * row
+    gaps = np.arange(lanes, dtype=np.int64)
+    own, rows, to = gaps * names, gaps << bits, gaps * row
     last = to + row - 1
     size = np.full(lanes, (1 << _WINDOW) - 1, np.int64)
     diff = np.zeros(lanes, np.int64)
@@ -351,25 +351,23 @@ def decode_segment(data: bytes) -> np.ndarray:
         part *= p
         hit = diff < part
         hit &= cand >= 0
-        rest = size - part
-        diff -= np.where(hit, 0, part)
-        size = np.where(hit, part, rest)
-        now = cand.copy()
-        missed = np.flatnonzero(~hit)
-        if len(missed):
-            r = size.take(missed)
-            r >>= bits
-            d = diff.take(missed)
-            v = np.minimum(d // r, total - 1)
-            v += missed << bits
-            x = model.back.take(v, mode="clip")
-            c = missed * (names + 1)
-            c += x
-            start = model.cum.take(c)
-            diff[missed] = d - start * r
-            size[missed] = r * (model.cum.take(c + 1) - start)
-            now[missed] = x
-            model.missed(c - missed)
+        size -= part
+        r = size >> bits
+        rest = diff - part
+        v = rest // r
+        np.minimum(v, total - 1, out=v)
+        v += rows
+        now = np.where(hit, cand, model.back.take(v, mode="clip"))
+        cells = now + own
+        c = cells + gaps
+        start = model.cum.take(c)
+        c += 1
+        freq = model.cum.take(c) - start
+        start *= r
+        rest -= start
+        diff = np.where(hit, diff, rest)
+        r *= freq
+        size = np.where(hit, part, r)
         at = np.flatnonzero(size < _LEFT)
         while len(at):
             place = to.take(at)
@@ -378,7 +376,7 @@ def decode_segment(data: bytes) -> np.ndarray:
             s = size.take(at) << _WORD
             size[at] = s
             at = at[s < _LEFT]
-        model.update(now, hit)
+        model.update(now, hit, cells)
         grid[t] = now
     full = table.names.astype(np.int32)[np.ascontiguousarray(grid.T)]
     parts = []

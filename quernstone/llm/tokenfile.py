@@ -45,8 +45,11 @@ def library_encoder(path: str) -> Encoder:
         t.no_truncation()
         t.no_padding()
 
-        def encode(words: list[bytes]) -> list[list[int]]:
-            return [e.ids for e in t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            if not words:
+                return np.zeros(0, np.int32), np.zeros(0, np.int64)
+            got = t.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
+            return np.array(got.ids, np.int32), np.bincount(got.word_ids, minlength=len(words))
 
         _ENCODERS[path] = Encoder(encode, [a.content.encode() for a in t.get_added_tokens_decoder().values()])
     return _ENCODERS[path]
@@ -90,7 +93,6 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int) -> None:
 
 def read_ids(spark: SparkSession, folder: str, *, keep: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and with keep, ids) of each document of a written folder."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
     segments = spark.read.schema(_FILE).parquet(folder)
     totals = sorted((r.part, r.n) for r in segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     base, at = {}, 0
@@ -101,7 +103,7 @@ def read_ids(spark: SparkSession, folder: str, *, keep: bool = False) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 ids = decode_segment(row["blocks"]).astype("<u4")
                 sizes = np.frombuffer(row["sizes"], "<i8")
                 if len(ids) != row["n_ids"] or sizes.sum() != len(ids):

@@ -75,7 +75,7 @@ def test_token_file_round_trip(spark, tmp_path):
     assert empty.count() == 0
 
 
-@pytest.mark.parametrize("n", [0, 1, 255, 257, 30_000])
+@pytest.mark.parametrize("n", [0, 1, 255, 4097, 70_000])
 def test_range_coder(n):
     r = np.random.default_rng(n)
     for ids in (r.integers(0, 50_257, n), r.zipf(1.3, n) % 50_257, np.zeros(n)):
@@ -83,11 +83,25 @@ def test_range_coder(n):
         assert (decode_segment(encode_segment(ids)) == ids).all()
 
 
-def test_damaged_block_is_noticed():
-    data = bytearray(encode_segment(np.arange(3000, dtype=np.int32)))
-    data[200] ^= 1
+def test_damaged_blocks_tables_and_missing_blocks_are_noticed():
+    whole = encode_segment(np.arange(30_000, dtype=np.int32) % 700)
+    for at in (2, 30, len(whole) // 2, len(whole) - 20):
+        data = bytearray(whole)
+        data[at] ^= 1
+        with pytest.raises(ValueError):
+            decode_segment(bytes(data))
     with pytest.raises(ValueError):
-        decode_segment(bytes(data))
+        decode_segment(whole[: whole.rindex(b"QRC1")])
+
+
+def test_coded_ids_are_smaller_than_their_order_0_entropy():
+    r = np.random.default_rng(8)
+    words = [r.integers(0, 3000, r.integers(1, 5)) for _ in range(4000)]
+    ids = np.concatenate([words[i] for i in np.minimum(r.zipf(1.2, 150_000) - 1, 3999)]).astype(np.int32)
+    count = np.bincount(ids)
+    count = count[count > 0]
+    entropy = -(count * np.log2(count / len(ids))).sum() / 8
+    assert len(encode_segment(ids)) < 0.9 * min(entropy, len(zlib.compress(ids.astype("<u2").tobytes(), 9)))
 
 
 def _without_repeats(texts):
