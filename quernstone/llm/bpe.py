@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import span_hash, text_chunks, tune
+from .common import lean, span_hash, text_chunks, tune
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 #: Words that a worker remembers before it starts afresh.
@@ -81,7 +81,7 @@ class Vocabulary:
         key = a << 32 | b
         got = self._pairs.get(key)
         if got is None:
-            if len(self._pairs) > 1_000_000:
+            if len(self._pairs) > 200_000:
                 self._pairs.clear()
             got = self._pairs[key] = self._check(a, b)
         return got
@@ -303,6 +303,7 @@ def bpe_round_trip(docs: DataFrame, path: str, *, keep: bool = False) -> DataFra
     tune(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, encode = vocabulary(path), dp_encoder(path)
         shown = [str(i) for i in range(len(vocab.bytes))]

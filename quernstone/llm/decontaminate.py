@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Scratch, Words, numbered, text_chunks, tune, without_ids
+from .common import ALNUM, Scratch, Words, lean, numbered, text_chunks, tune, without_ids
 
 K = 5
 THRESHOLD = 0.8
@@ -90,6 +90,7 @@ _WINDOW = "_row long, doc_id long, first long, size int, fp long, grams binary,
 
 
 def _windows(shared):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         known, lengths = {}, sorted({n for _, n, _, _ in items})
@@ -145,6 +146,7 @@ def _windows(shared):
 
 
 def _verify(shared):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for b in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_chunks, tune
+from .common import lean, text_chunks, tune
 
 #: Bounds of the training sample: documents of a language, and characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 48, 400
@@ -184,6 +184,7 @@ def add_language(docs: DataFrame, sample: dict[str, str] | None = None) -> DataF
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shared.value)
         for b in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, gram_hash, numbered, text_chunks, tune, word_hashes
+from .common import ALNUM, Words, gram_hash, lean, numbered, text_chunks, tune, word_hashes
 
 #: Phrases that give a base label wherever their words stand consecutively.
 BASE_PHRASES = [
@@ -62,6 +62,7 @@ def _templates(spark):
     return spark.createDataFrame(rows, "h long, tv long, tpl int, tpos int")
 
 
+@lean
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, rid = b.column(1), np.asarray(b.column(0))
@@ -120,6 +121,7 @@ def spans_of(hits: list[tuple[int, int, int, list[int]]]) -> dict:
 _OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
+@lean
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
     for b in batches:

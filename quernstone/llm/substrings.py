@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Scratch, mix, span_hash, text_chunks, tune
+from .common import CHUNK_BYTES, Scratch, lean, mix, span_hash, text_chunks, tune
 
 SIZE, GRAM = 400, 64
 BATCHES = 4
@@ -121,6 +121,7 @@ def _runs(same: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], ~same]))
 
 
+@lean
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the array of each batch of texts: a suffix, its hash, its occurrences, and the least and largest hash of a place."""
     for b in batches:
@@ -139,6 +140,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _array_rows(suffix, key[start], n, np.minimum.reduceat(place, start), np.maximum.reduceat(place, start))
 
 
+@lean
 def _merge_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows of several arrays -> one array: neighbours are compared byte by byte, and those of LCP GRAM become one row."""
     held: pa.Table | None = None
@@ -208,6 +210,7 @@ class IndexFamily:
 _CONTEXT = "key long, th long, pos long, lo long, n long, bytes binary"
 
 
+@lean
 def _all_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _CONTEXT around all indexed suffixes: the windows that each stands for."""
     for b in batches:
@@ -223,6 +226,7 @@ def _all_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), bytes_], names=["key", "th", "pos", "lo", "n", "bytes"])
 
 
+@lean
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (th, pos, lo, n, key) of all indexed suffixes."""
     for b in batches:
@@ -233,6 +237,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (th[first + text], p - base, lo - base, hi - lo + 1, key.view(np.int64))], names=["th", "pos", "lo", "n", "key"])
 
 
+@lean
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _CONTEXT around given places of each text."""
     for b in batches:
@@ -278,6 +283,7 @@ def _found(kind, th, a, z, h) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(kind, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (th, a, z, h))], names=["kind", "th", "a", "z", "h"])
 
 
+@lean
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compare groups of rows sorted by (key, part), many groups at a time."""
     held: list[pa.RecordBatch] = []
@@ -306,6 +312,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(pa.Table.from_batches(held))
 
 
+@lean
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import Encoder
-from .common import shared_folder, text_chunks, tune
+from .common import lean, shared_folder, text_chunks, tune
 from .rangecoder import decode_segment, encode_segment
 
 #: A segment is closed when it holds this many ids.
@@ -59,6 +59,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int) -> None:
     """Write the ids of all texts to the folder out."""
     tune(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = library_encoder(path), TaskContext.get().partitionId()
         ids, sizes, names, held, before, segment = [], [], [], 0, 0, 0
@@ -101,6 +102,7 @@ def read_ids(spark: SparkSession, folder: str, *, keep: bool = False) -> DataFra
         at += n
     shared = spark.sparkContext.broadcast(base)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
