@@ -42,13 +42,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, Scratch, Words, gram_hash, mix, random_words, text_chunks, tune
+from .common import NONSPACE, Scratch, Words, gram_hash, lean, mix, random_words, text_chunks, tune
 from .components import connected_components
 
 #: Count vectors: shingles per group at most, and the least and most groups.
 PER_GROUP, LEAST_GROUPS, MOST_GROUPS = 4, 64, 8192
 #: Groups of a tree's points at most, and members of one of its leaves.
 VECTOR, LEAF = 2048, 16
+#: Rows of complete units of tiles that are searched in one numpy pass.
+ROWS = 4096
+#: Members of a tile that search its tree at once.
+QUERIES = 16
 #: Weight of one task's group: shingles of a cluster's sets, bytes of a tile's vectors. Larger ones are dealt in blocks of half of it.
 LIMIT = 4 << 20
 #: Sets whose places may be broadcast to fetch them; more are joined by a shuffle.
@@ -153,6 +157,7 @@ def count_vectors(h: np.ndarray, off: np.ndarray) -> list[bytes]:
 def _scan(k: int, clashes: np.ndarray):
     """Rows (doc_id, n, cid, other, vec) of all documents."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, data, off in text_chunks(b.column(1)):
@@ -168,6 +173,7 @@ def _scan(k: int, clashes: np.ndarray):
 def _file(plan: Plan, clashes: np.ndarray):
     """Rows (key, cid) of each class once per partition."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
@@ -189,6 +195,7 @@ def _file(plan: Plan, clashes: np.ndarray):
     return run
 
 
+@lean
 def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key: (key, hub, cid) of the keys that several classes share; the hub comes first."""
     key = cid = hub = None
@@ -221,6 +228,7 @@ def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(k: int, clashes: np.ndarray, names: list[str]):
     """Rows (shingles and the columns beside the text) of the documents whose set is of the class that is asked for."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             want = np.asarray(b.column(names.index("cid")))
@@ -243,23 +251,40 @@ def least_overlap(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarra
     return -(-num * (n + m) // (num + den))
 
 
+def _vectors(col) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a column of count vectors."""
+    col = (col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col).cast(pa.large_binary())
+    off = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1 + col.offset)[col.offset:]
+    return np.frombuffer(col.buffers()[2] or b"", np.uint8), off
+
+
+def _may_link(x: tuple[np.ndarray, np.ndarray], i: np.ndarray, y: tuple[np.ndarray, np.ndarray], j: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For pairs of vectors x[i], y[j], whether the sum of minima reaches least; vectors of unequal lengths are folded, saturated groups bound nothing."""
+    (a, off_a), (b, off_b) = x, y
+    p, q = off_a[i + 1] - off_a[i], off_b[j + 1] - off_b[j]
+    ok = np.zeros(len(i), bool)
+    for u, v in {*zip(p.tolist(), q.tolist(), strict=True)}:
+        same = np.flatnonzero((p == u) & (q == v))
+        for rows in np.array_split(same, -(-len(same) * max(u, v) // (4 << 20))):
+            first, second = a[off_a[i[rows]][:, None] + np.arange(u)], b[off_b[j[rows]][:, None] + np.arange(v)]
+            full = (first == 255).any(1) | (second == 255).any(1)
+            first, second = (m if m.shape[1] == min(u, v) else m.reshape(len(rows), -1, min(u, v)).sum(1, dtype=np.int32) for m in (first, second))
+            ok[rows] = full | (np.minimum(first, second).sum(1, dtype=np.int64) >= least[rows])
+    return ok
+
+
 def _bounded(num: int, den: int):
     """Of pairs with both count vectors, those that the sum of minima leaves."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            va, vb = b.column(4).to_pylist(), b.column(5).to_pylist()
+            if not b.num_rows:
+                continue
             least = least_overlap(np.asarray(b.column(2)), np.asarray(b.column(3)), num, den)
-            ok = np.zeros(b.num_rows, bool)
-            shapes: dict[tuple[int, int], list[int]] = {}
-            for i, (x, y) in enumerate(zip(va, vb, strict=True)):
-                shapes.setdefault((len(x), len(y)), []).append(i)
-            for (p, q), rows in shapes.items():
-                x, y = (np.frombuffer(b"".join(v[i] for i in rows), np.uint8).reshape(len(rows), d) for v, d in ((va, p), (vb, q)))
-                full = (x == 255).any(1) | (y == 255).any(1)
-                x, y = (v.reshape(len(rows), -1, min(p, q)).sum(1, dtype=np.int32) for v in (x, y))
-                ok[rows] = full | (np.minimum(x, y).sum(1) >= least[rows])
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
+            at = np.arange(b.num_rows)
+            ok = pa.array(_may_link(_vectors(b.column(4)), at, _vectors(b.column(5)), at, least))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
     return run
 
@@ -293,6 +318,28 @@ class CountTree:
             least = np.minimum.reduceat(least, cuts)
             self.levels.append((upper, least))
 
+    def pairs(self, q: np.ndarray, n: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, row) of all rows that search() gives for each of the points q, many queries at a time."""
+        order, size = np.concatenate(self.leaves), np.array([len(r) for r in self.leaves])
+        start = np.cumsum(size) - size
+        top = len(self.levels[-1][0])
+        for a in range(0, len(q), QUERIES):
+            i = np.repeat(np.arange(a, min(a + QUERIES, len(q))), top)
+            node = np.arange(len(i)) % top
+            for depth in range(len(self.levels) - 1, -1, -1):
+                upper, least = self.levels[depth]
+                keep = np.minimum(upper[node], q[i]).sum(1, dtype=np.int64) >= least_overlap(n[i], least[node], num, den)
+                i, node = i[keep], node[keep]
+                if depth:
+                    i, node = np.repeat(i, LEAF), (node[:, None] * LEAF + np.arange(LEAF)).ravel()
+                    inside = node < len(self.levels[depth - 1][0])
+                    i, node = i[inside], node[inside]
+            each = size[node]
+            i = np.repeat(i, each)
+            rows = order[np.repeat(start[node] - np.cumsum(each) + each, each) + np.arange(len(i))]
+            keep = np.minimum(self.points[rows], q[i]).sum(1, dtype=np.int64) >= least_overlap(n[i], self.sizes[rows], num, den)
+            yield i[keep], rows[keep]
+
     def search(self, q: np.ndarray, n: int, num: int, den: int) -> np.ndarray:
         """Rows whose overlap with the point q of size n may reach the threshold."""
         nodes = np.arange(len(self.levels[-1][0]))
@@ -312,12 +359,11 @@ class CountTree:
 def _points(vectors: list[bytes]) -> np.ndarray:
     """Count vectors of one tile, folded to as many groups as the shortest has; saturated groups bound nothing."""
     groups = min(VECTOR, *map(len, vectors))
-    out = np.empty((len(vectors), groups), np.int32)
+    out = np.empty((len(vectors), groups), np.uint16)
     for size in set(map(len, vectors)):
         rows = [i for i, v in enumerate(vectors) if len(v) == size]
-        x = np.frombuffer(b"".join(vectors[i] for i in rows), np.uint8).reshape(len(rows), size).astype(np.int32)
-        x[x == 255] = 1 << 20
-        out[rows] = x.reshape(len(rows), groups, -1).sum(2) if size == groups else x.reshape(len(rows), -1, groups).sum(1)
+        x = np.frombuffer(b"".join(vectors[i] for i in rows), np.uint8).reshape(len(rows), -1, groups)
+        out[rows] = np.where((x == 255).any(1), 65535, x.sum(1, dtype=np.uint16) if x.shape[1] > 1 else x[:, 0])
     return out
 
 
@@ -351,28 +397,97 @@ def _search(cid, root, n, side, points, num: int, den: int, check=None) -> pa.Ta
     """Edges that join the components of one unit: for each row of the upper side, those that the tree over the lower side leaves and check keeps."""
     found = _Merged(cid, root)
     upper = side == side.max()
-    lower = upper if upper.all() else ~upper
-    theirs = np.flatnonzero(lower)
+    theirs = np.arange(len(cid)) if upper.all() else np.flatnonzero(~upper)
+    mine = np.flatnonzero(upper)
     tree = CountTree(points[theirs], n[theirs])
-    for i in np.flatnonzero(upper).tolist():
+    if check is None:
+        for i, rows in tree.pairs(points[mine], n[mine], num, den):
+            i, rows = mine[i], theirs[rows]
+            apart = found.label[i] != found.label[rows]
+            for x, y in zip(i[apart].tolist(), rows[apart].tolist(), strict=True):
+                if found.now[found.label[x]] != found.now[found.label[y]]:
+                    found.merge(x, np.array([y]))
+        return found.table()
+    for i in mine.tolist():
         rows = found.other(i, theirs[tree.search(points[i], int(n[i]), num, den)])
-        if len(rows) and check is not None:
-            rows = check(i, rows)
-        if len(rows):
+        if len(rows) and len(rows := check(i, rows)):
             found.merge(i, rows)
     return found.table()
 
 
+def _small_edges(cid, root, n, side, start, size, two, vectors, num: int, den: int) -> list[tuple[int, int]]:
+    """Edges of all tiles that fit a leaf: of each, the pairs that the bound leaves between components, as far as they join something."""
+    rows = np.concatenate([np.arange(a, a + m) for a, m in zip(start, size, strict=True)]) if len(start) else np.zeros(0, np.int64)
+    end, unit = np.repeat(start + size, size), np.repeat(np.arange(len(start)), size)
+    after = end - rows - 1
+    i = np.repeat(rows, after)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+    of = np.repeat(unit, after)
+    good = (root[i] != root[j]) & (~two[of] | (side[i] != side[j])) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+    i, j, of = i[good], j[good], of[good]
+    ok = _may_link(vectors, i, vectors, j, least_overlap(n[i], n[j], num, den))
+    above: dict[tuple[int, int], int] = {}
+
+    def top(u: int, r: int) -> int:
+        while (r2 := above.get((u, r), r)) != r:
+            r = r2
+        return r
+
+    out = []
+    for u, x, y in zip(of[ok].tolist(), i[ok].tolist(), j[ok].tolist(), strict=True):
+        p, q = top(u, int(root[x])), top(u, int(root[y]))
+        if p != q:
+            above[u, max(p, q)] = min(p, q)
+            out.append((int(cid[x]), int(cid[y])))
+    return out
+
+
 def _tile_edges(num: int, den: int):
-    """Of one unit of a tile, edges between components whose sets may link."""
+    """Of units of tiles, sorted by unit, edges between components whose sets may link."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run_of(table: pa.Table) -> pa.RecordBatch:
         cid, root, n, side = (np.asarray(table.column(c)) for c in ("cid", "root", "n", "side"))
-        return _search(cid, root, n, side, _points(table.column("vec").to_pylist()), num, den)
+        two, new = np.zeros(len(cid), bool), np.ones(len(cid), bool)
+        units = _unit_columns(table)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in units])
+        two = (units[1] != units[3]) | (units[2] != units[4])
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(cid)))
+        vec = table.column("vec").combine_chunks()
+        small = size <= LEAF
+        out = _small_edges(cid, root, n, side, start[small], size[small], two[start[small]], _vectors(vec), num, den)
+        a, b = zip(*out, strict=True) if out else ((), ())
+        parts = [pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})]
+        for u, m in zip(start[~small].tolist(), size[~small].tolist(), strict=True):
+            of = slice(u, u + m)
+            parts.append(_search(cid[of], root[of], n[of], side[of], _points(vec.slice(u, m).to_pylist()), num, den))
+        return pa.concat_tables(parts).combine_chunks().to_batches()
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) < ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            units = _unit_columns(table)
+            ends = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in units]))
+            if len(ends):
+                yield from run_of(table.slice(0, int(ends[-1]) + 1))
+                held = table.slice(int(ends[-1]) + 1).to_batches()
+        if held:
+            yield from run_of(pa.Table.from_batches(held))
 
     return run
 
 
+def _unit_columns(table: pa.Table) -> list[np.ndarray]:
+    """key, lo.of, lo.i, hi.of, hi.i of a table of tiles' units."""
+    lo, hi = (table.column(c).combine_chunks() for c in ("lo", "hi"))
+    return [np.asarray(table.column("key")), *(np.asarray(x.field(i)) for x in (lo, hi) for i in (0, 1))]
+
+
 def _cluster_links(num: int, den: int):
     """Of one unit of a cluster, verified links between components."""
 
@@ -477,7 +592,8 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     mixed = marked.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("m > 2 and lo <> hi").select(F.col("key").alias("tile"))
     open_rows = marked.join(mixed, F.col("key") == F.col("tile"), "left_semi").join(classes.select(F.col("cid").alias("c"), "n", "vec"), F.col("cid") == F.col("c")).select("key", "cid", "root", "n", "vec")
     units = _units(open_rows, "key", F.octet_length("vec"), scratch, "tile-units")
-    edges = scratch.table(units.groupBy("key", "lo", "hi").applyInArrow(_tile_edges(num, den), "a long, b long"), "edges")
+    units = units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    edges = scratch.table(units.mapInArrow(_tile_edges(num, den), "a long, b long"), "edges")
     if not edges.isEmpty():
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(edges), scratch)
     scratch.drop("marked")

@@ -225,6 +225,8 @@ def test_tree_finds_what_the_bound_allows():
     for i in range(0, 300, 37):
         want = np.flatnonzero(np.minimum(points, points[i]).sum(1) >= jaccard.least_overlap(np.int64(200), sizes, 85, 100))
         assert sorted(tree.search(points[i], 200, 85, 100)) == want.tolist()
+    pairs = [(i, j) for a, b in tree.pairs(points, sizes, 85, 100) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert sorted(pairs) == [(i, j) for i in range(300) for j in sorted(tree.search(points[i], 200, 85, 100).tolist())]
 
 
 def test_language_of_held_out_texts(spark):
