@@ -1,29 +1,12 @@
-"""Effects, scores, bulk edits and security scans over record tables."""
+"""Effects, scores and bulk edits over record tables."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from contextlib import suppress
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Weights of shared grams by their length, and the least score.
 GRAM_WEIGHTS, LEAST_SCORE = {1: 2.0, 2: 5.0, 3: 8.0}, 6.0
-#: Shapes of credential material, and words that name secrets.
-CREDENTIALS = [
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"(?i)\bbearer\s+[A-Za-z0-9._~+/-]{16,}", r"\b(AKIA|ASIA)[0-9A-Z]{16}\b", r"\bgh[pousr]_[A-Za-z0-9]{36,}",
-    r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@",
-    r"(?i)\b(password|passwd|secret|token|api_?key)\b\s*[=:]\s*[\"']?[^\s\"'{$<]{6,}",
-]
-SECRET_WORDS = ["password", "secret", "token", "credential"]
-#: In lower-case names and values of documents: secret words, or longer ones anywhere; and absolute paths.
-SECRET_TEXT = r"\b(password|passwd|secret|token|credentials?|bearer|jwt)\b|api_key|apikey|private_key|database_url|connection_string|access_key|refresh_token|client_secret"
-ABSOLUTE = r"^\s*(/|[A-Za-z]:[\\/]|\\\\)"
-
 
 def effect_priority(action: Column, resource: Column, target: Column, confidence: Column) -> Column:
     """Score of an effect: what it names, how sure it is, less for plain access, memory and values."""
@@ -97,79 +80,3 @@ def compact_profiles(df: DataFrame, columns: list[str], least: int) -> DataFrame
 def effective(explicit: Column, *inherited: Column) -> Column:
     """The explicit value, else the first inherited one."""
     return F.coalesce(explicit, *inherited)
-
-
-def has_credential(c: Column) -> Column:
-    """Whether a text holds credential material."""
-    out = F.lit(False)
-    for p in CREDENTIALS:
-        out = out | c.rlike(p)
-    return F.coalesce(out, F.lit(False))
-
-
-def names_secret(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"(?i)\b(" + "|".join(SECRET_WORDS) + r")\b"), F.lit(False))
-
-
-def scan_values(df: DataFrame, key: str, document: str, *, words: bool = False) -> DataFrame:
-    """(key, path, value, code) of the findings in a JSON text, at all depths: fields of secret names, values with
-    credentials (with `words`, also those with secret words) and absolute paths. Objects' fields and lists' items are
-    told by path (`a.b[0]`); of repeated keys, each is looked at. Texts that are no JSON give nothing.
-    """
-    text = F.col(document).cast("string")
-    rows = df.select(key, text.alias("document"), F.to_json(F.from_json(text, "map<string,string>")).alias("lenient"))
-    schema = T.StructType([df.select(key).schema[0], T.StructField("path", T.StringType()), T.StructField("name", T.StringType()), T.StructField("value", T.StringType())])
-    nodes = rows.mapInArrow(_walk_batches, schema)
-    name, value = F.lower("name"), F.lower("value")
-    field = F.col("name").isNotNull() & (name.rlike(SECRET_TEXT) | F.regexp_replace(name, "_", " ").rlike(SECRET_TEXT))
-    held = has_credential(F.col("value")) | (value.rlike(SECRET_TEXT) if words else F.lit(False))
-    plain = F.col("name").isNull()
-    codes = F.array_compact(F.array(F.when(field, "field"), F.when(plain & held, "value"), F.when(plain & F.col("value").rlike(ABSOLUTE), "absolute_path")))
-    return nodes.select(key, "path", "value", F.explode(codes).alias("code"))
-
-
-class _Fields(list):
-    """The (name, value) pairs of a JSON object, repeated names included."""
-
-
-def _walk(node: object, lenient: bool) -> Iterator[tuple[str, str | None, str | None]]:
-    """(path, name, value) of every field, with its name, and of every string, without one."""
-    stack = [("", node)]
-    while stack:
-        path, node = stack.pop()
-        if lenient and isinstance(node, str) and node[:1] in ("{", "["):
-            with suppress(ValueError, RecursionError):
-                node = json.loads(node, object_pairs_hook=_Fields)
-        if isinstance(node, _Fields):
-            for name, child in node:
-                at = f"{path}.{name}" if path else name
-                yield at, name, child if child is None or isinstance(child, str) else _text(child)
-                stack.append((at, child))
-        elif isinstance(node, list):
-            stack.extend((f"{path}[{i}]", child) for i, child in enumerate(node))
-        elif isinstance(node, str):
-            yield path, None, node
-
-
-def _text(node: object) -> str:
-    """The value of a field as text; that of an object or a list is told by its parts."""
-    return "{...}" if isinstance(node, _Fields) else "[...]" if isinstance(node, list) else json.dumps(node)
-
-
-def _walk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        at, rows = [], []
-        for i, (text, lenient) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-            for source in (text, lenient):
-                if source is None:
-                    continue
-                try:
-                    node = json.loads(source, object_pairs_hook=_Fields)
-                except (ValueError, RecursionError):
-                    continue
-                found = list(_walk(node, source is not text))
-                at += [i] * len(found)
-                rows += found
-                break
-        cols = [pa.array([r[k] for r in rows], pa.string()) for k in range(3)]
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *cols], names=[b.schema.names[0], "path", "name", "value"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
@@ -59,7 +60,9 @@ def contains_text(text: str, columns: list[str]) -> Column:
     """Substring without regard to ASCII case in any column; null columns don't match."""
     if len(text) > SEARCH_LIMIT:
         raise ValueError("search text is too long")
-    found = [F.coalesce(F.instr(F.lower(F.col(c).cast("string")), text.lower()) > 0, F.lit(False)) for c in columns]
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    wanted = text.translate(str.maketrans(upper, lower))
+    found = [F.coalesce(F.instr(F.translate(F.col(c).cast("string"), upper, lower), wanted) > 0, F.lit(False)) for c in columns]
     return reduce(lambda a, b: a | b, found) if text else F.lit(True)
 
 

@@ -174,7 +174,7 @@ def same_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.same_outcome(_primary(spark, sf_dir), "unit", ["action", "resource", "target"])
 
 
-@query(f"WITH {_EFFECTS} SELECT action, resource, count(DISTINCT unit) AS n FROM e WHERE target IS NULL AND unit % 20 = 0 GROUP BY 1, 2 HAVING count(DISTINCT unit) BETWEEN 2 AND 8")
+@query("SELECT event_type AS action, CAST(floor(value) AS BIGINT) AS resource, count(DISTINCT user_id) AS n FROM events WHERE event_id % 4 <> 0 GROUP BY 1, 2 HAVING count(DISTINCT user_id) BETWEEN 2 AND 8")
 def similar_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_id % 4 <> 0")
     effects = e.select(F.col("user_id").alias("unit"), F.col("event_type").alias("action"), F.floor("value").alias("resource"))
@@ -194,28 +194,14 @@ def compacted_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.compact_profiles(table(spark, sf_dir, "part"), ["p_brand", "p_type"], 3)
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '\\b(AKIA|ASIA)[0-9A-Z]{16}\\b') OR regexp_matches(text, '(?i)\\b(password|passwd|secret|token|api_?key)\\b\\s*[=:]\\s*[\"'']?[^\\s\"''{$<]{6,}') OR regexp_matches(text, '(?i)\\bbearer\\s+[A-Za-z0-9._~+/-]{16,}') OR regexp_matches(text, '\\b[a-z][a-z0-9+.-]*://[^\\s/:@]+:[^\\s/@]+@') OR regexp_matches(text, '\\bgh[pousr]_[A-Za-z0-9]{36,}') OR regexp_matches(text, '\\beyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}') OR regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----')")
-def credential_material(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(analysis.has_credential(F.col("text"))).select("doc_id")
-
-
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL AND FALSE")
-def nested_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.scan_values(table(spark, sf_dir, "events"), "event_id", "props").select("event_id", "value")
-
-
-@query()
-def nested_secret_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = F.to_json(F.struct(F.struct("source", F.array(F.struct(F.split("text", "\n").alias("lines"))).alias("parts")).alias("page")))
-    return analysis.scan_values(table(spark, sf_dir, "documents").select("doc_id", nested.alias("doc")), "doc_id", "doc", words=True)
-
-
 @query("""
-    WITH t AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: regexp_matches(x, '^[a-z][a-z0-9]*$'))[1:40] AS w FROM documents),
-    g AS (SELECT lang, w, count(*) AS pw FROM (SELECT lang, unnest(w) AS w FROM t WHERE doc_id % 2 = 1) GROUP BY 1, 2),
-    i AS (SELECT doc_id, w, count(*) AS iw FROM (SELECT doc_id, unnest(w) AS w FROM t WHERE doc_id % 2 = 0) GROUP BY 1, 2),
-    s AS (SELECT doc_id, lang, sum(2.0 * least(iw, pw)) AS score FROM i JOIN g USING (w) GROUP BY 1, 2 HAVING sum(2.0 * least(iw, pw)) >= 6)
-    SELECT doc_id, lang, CAST(score AS DOUBLE) AS score, CAST(slot AS INTEGER) AS slot FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS slot FROM s) WHERE slot <= 3
+    WITH t AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: regexp_matches(x, '^[a-z][a-z0-9]*$')) AS w FROM documents),
+    u AS (SELECT doc_id, lang, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+    x AS (SELECT doc_id, lang, 1 AS size, w[i] AS gram FROM u UNION ALL SELECT doc_id, lang, 2, w[i] || ' ' || w[i + 1] FROM u WHERE i < len(w) UNION ALL SELECT doc_id, lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM u WHERE i < len(w) - 1),
+    g AS (SELECT lang, size, gram, count(*) AS pw FROM x GROUP BY ALL),
+    i AS (SELECT doc_id, size, gram, count(*) AS iw FROM x GROUP BY ALL),
+    s AS (SELECT doc_id, lang, sum(CASE size WHEN 1 THEN 2.0 WHEN 2 THEN 5.0 ELSE 8.0 END * least(iw, pw)) AS score FROM i JOIN g USING (size, gram) GROUP BY 1, 2)
+    SELECT doc_id, lang, CAST(score AS DOUBLE) AS score, CAST(slot AS INTEGER) AS slot FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS slot FROM s WHERE score >= 6) WHERE slot <= 3
 """)
 def profile_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x.rlike("^[a-z][a-z0-9]*$"))

@@ -29,16 +29,43 @@ VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link",
 OPTIONAL_END = ["p", "li", "dt", "dd", "option", "tr", "td", "th", "tbody", "thead", "tfoot", "html", "body", "head"]
 
 SCHEMA = "ord int, symbol string, kind string, parent int, start_line int, signature string, body_hash string, error boolean"
-_TEMPLATE = re.compile(r"\{%\s*comment\b.*?%\}.*?\{%\s*endcomment\s*%\}|\{%.*?%\}|\{\{.*?\}\}|\{#.*?#\}", re.S)
 _TOKEN = re.compile(r"\w+|[^\w\s]")
+#: What ends a template's part, by how it begins; and what each of its characters becomes.
+_ENDS = {"{%": ("%}", " "), "{#": ("#}", " "), "{{": ("}}", "_")}
+_OPENS = re.compile("|".join(map(re.escape, _ENDS)))
 
 
-def mask_templates(text: str) -> str:
-    """Text with template tags blanked, expressions as underscores; lengths and line ends stay."""
-    def blank(m: re.Match) -> str:
-        return re.sub(r"[^\r\n]", "_" if m[0].startswith("{{") else " ", m[0])
+def _tag_word(text: str, start: int, stop: int) -> str:
+    """First word of the tag between two places."""
+    words = re.findall(r"\w+", text[start:stop])
+    return words[0] if words and text[start:stop].lstrip().startswith(words[0]) else ""
+
 
-    return _TEMPLATE.sub(blank, text)
+def mask_templates(text: str) -> str:
+    """Text with template tags blanked, expressions as underscores; lengths and line ends stay.
+
+    A comment tag goes with all that stands before its end tag; parts that never
+    end stay as they are.
+    """
+    out, done = [], 0
+    opened = [m.start() for m in _OPENS.finditer(text)]
+    for k, start in enumerate(opened):
+        if start < done:
+            continue
+        end, filler = _ENDS[text[start:start + 2]]
+        stop = text.find(end, start + 2)
+        if stop < 0:
+            continue
+        if end == "%}" and _tag_word(text, start + 2, stop) == "comment":
+            for later in opened[k + 1:]:
+                close = text.find("%}", later) if later > stop and text.startswith("{%", later) else -1
+                if close >= 0 and text[later + 2:close].strip() == "endcomment":
+                    stop = close
+                    break
+        stop += 2
+        out += [text[done:start], *(c if c in "\r\n" else filler for c in text[start:stop])]
+        done = stop
+    return "".join([*out, text[done:]])
 
 
 def structure_hash(text: str) -> str:
@@ -93,7 +120,8 @@ class _Elements(HTMLParser):
 
 def html_units(text: str, *, meaningful: bool = False) -> list[tuple]:
     """Element units; the symbol is the path `tag[n]` or `tag#id` from the top, the same in both profiles."""
-    parsed = _Elements(mask_templates(text))
+    masked = mask_templates(text)
+    parsed = _Elements(masked)
     nth, same_id, with_id = Counter(), Counter(), Counter((p, t, i) for p, t, i, *_ in parsed.nodes if i)
     symbols, kept, out = [], [], []
     for parent, tag, id_, start, end, line in parsed.nodes:
@@ -108,8 +136,8 @@ def html_units(text: str, *, meaningful: bool = False) -> list[tuple]:
             kept.append(above)
             continue
         kept.append(len(out))
-        head = re.match(r"<[^>]*>", mask_templates(text)[start:]) or re.match("", "")
-        out.append((len(out), symbols[-1], "html_element", above, line, text[start:start + head.end()].strip(), structure_hash(text[start:end]), parsed.broken))
+        stop = masked.find(">", start) + 1
+        out.append((len(out), symbols[-1], "html_element", above, line, text[start:stop].strip(), structure_hash(text[start:end]), parsed.broken))
     return out or ([(0, None, None, None, 1, None, None, True)] if parsed.broken else [])
 
 

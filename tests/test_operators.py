@@ -22,7 +22,7 @@ def test_scalars(spark):
     assert one(spark, s.template_variables(F.lit("{{ b }} ${a} {{b}}"))) == ["a", "b"]
     assert one(spark, s.moved_path(F.lit("src/a.py"), "src", "lib")) == "lib/a.py"
     assert one(spark, s.moved_path(F.lit("srcs/a.py"), "src", "lib")) == "srcs/a.py"
-    assert one(spark, s.spreadsheet_safe(F.lit("=BAD()"))) == "'=BAD()"
+    assert one(spark, s.spreadsheet_safe(F.lit("@sum(A1)"))) == "'@sum(A1)"
     assert one(spark, s.sql_effect(F.lit("UPDATE  users SET a=1"))).asDict() == {"verb": "update", "target": "users"}
     assert one(spark, s.first_sentence(F.lit("Do it. Then stop."))) == "Do it"
     assert one(spark, s.parse_value(F.lit("None"))) == "null"
@@ -85,12 +85,6 @@ def test_store_round_trip_conflicts_and_reorder(spark, tmp_path):
     assert a == b and {r.uid: r.fields for r in store.read(1).collect()}["u1"] == {"a": "1"}
 
 
-def test_scan_and_scores(spark):
-    docs = spark.createDataFrame([(1, '{"note": "password=hunter22"}'), (2, '{"note": "a password field"}'), (3, '{"api_token": "t"}'), (4, None)], "k int, doc string")
-    assert {r.k for r in analysis.scan_values(docs, "k", "doc").collect()} == {1, 3}
-    assert not one(spark, analysis.has_credential(F.lit("password=${HOME}")))
-
-
 def test_streams_are_idempotent(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "ledger")
     spark.createDataFrame([(1, "a"), (2, "b"), (1, "a")], "event_id int, v string").write.parquet(src)
@@ -115,8 +109,8 @@ def test_sources(spark, tmp_path):
     (tmp_path / "j.jsonl").write_text('{"k": "a", "n": 1}\n\n{broken\n{"k": "b", "n": 2}\n')
     rows = files.journal(spark, str(tmp_path / "j.jsonl"), "k string, n int").orderBy("line").collect()
     assert [(r.k, r.corrupt) for r in rows] == [("a", False), (None, True), ("b", False)]
-    data = files.from_rows(spark, [{"key": "job-a", "amount": 5}, {"key": "job-b", "comment": "=BAD()"}], "key")
+    data = files.from_rows(spark, [{"key": "row 1", "total": 12}, {"key": "row 2", "remark": "+1+cmd"}], "key")
     files.export_csv(data, str(tmp_path / "csv"))
-    assert "'=BAD()" in {r.comment for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()}
+    assert "'+1+cmd" in {r.remark for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()}
     with pytest.raises(ValueError):
         files.registry(spark, [("py", "a"), ("py", "b")])

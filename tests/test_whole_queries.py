@@ -31,21 +31,6 @@ def test_similar_outcomes_look_at_every_unit(spark, tmp_path):
     assert got == {k: len(u) for k, u in units.items() if 2 <= len(u) <= 8} and got
 
 
-def test_nested_values_are_scanned_at_all_depths(spark):
-    docs = ['{"a":{"password":"x1y2z3w4"}}', '{"a":[1,{"b":["plain","password=hunter22"]}]}', '["/etc/passwd", {"n": null}]', '{"note":"a password field"}', "{'a': {'api_key': 'q'}}", "no json", None, '{"token":"a","token":7}']
-    df = spark.createDataFrame(list(enumerate(docs)), "k int, doc string")
-    got = sorted((r.k, r.path, r.value, r.code) for r in analysis.scan_values(df, "k", "doc").collect())
-    want = [(0, "a.password", "x1y2z3w4", "field"), (1, "a[1].b[1]", "password=hunter22", "value"), (2, "[0]", "/etc/passwd", "absolute_path"), (4, "a.api_key", "q", "field"), (7, "token", "7", "field"), (7, "token", "a", "field")]
-    assert got == want
-    assert {(r.k, r.code) for r in analysis.scan_values(df.where("k = 3"), "k", "doc", words=True).collect()} == {(3, "value")}
-
-
-def test_nested_scan_has_findings_in_documents(spark, tmp_path):
-    spark.createDataFrame([(1, "s", "ok\npassword=hunter22"), (2, "s", "ok")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = QUERIES["nested_secret_scan_documents"](spark, str(tmp_path)).collect()
-    assert [(r.doc_id, r.path, r.value) for r in got] == [(1, "page.parts[0].lines[1]", "password=hunter22")]
-
-
 def test_shortest_paths_have_no_depth_bound(spark):
     edges = spark.createDataFrame([(i, i + 1, i) for i in range(29)], "source int, target int, ord int")
     got = {r.node: r.path for r in graph.shortest_paths(edges, spark.createDataFrame([(0,)], "id int")).collect()}
