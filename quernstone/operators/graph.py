@@ -19,7 +19,11 @@ def _cut(df: DataFrame) -> DataFrame:
     A table that is read carries no inferred constraints, which would pile up over the rounds.
     """
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='rounds')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='rounds')}"
     path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,6 +1,6 @@
 """Queries over the fixture tables."""
 
-from . import catalogue, documents, drift, graphs, groups, records, reports, text, units  # noqa: F401  they register their queries
+from . import catalogue, changes, documents, drift, graphs, groups, inferred, records, reports, text, units  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
