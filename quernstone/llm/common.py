@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one kernel call handles (a longer document makes its own chunk).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Rows of an Arrow batch sent to a Python worker; bounds the worker's memory.
 ARROW_ROWS = 1000
 

@@ -54,7 +54,7 @@ ROWS = 4096
 #: Members of a tile that search its tree at once.
 QUERIES = 16
 #: Weight of one task's group: shingles of a cluster's sets, bytes of a tile's vectors. Larger ones are dealt in blocks of half of it.
-LIMIT = 4 << 20
+LIMIT = 2 << 20
 #: Sets whose places may be broadcast to fetch them; more are joined by a shuffle.
 FETCH = 500_000
 _SALT = random_words(5, 77)
