@@ -230,6 +230,194 @@ def python_units(text: str) -> list[tuple]:
     return out
 
 
+_GO_ITEM = re.compile(r"^(?:(type|const|var)\s+(\w+)|func\s+(?:\(\s*\w*\s*\*?\s*(\w+)[^)]*\)\s*)?(\w+))", re.M)
+
+
+def _plain(text: str) -> str:
+    """Source of a brace language with comments and texts blanked; lengths and line ends stay."""
+    return re.sub(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|`[^`]*`", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
+
+
+def _block_end(plain: str, start: int) -> int:
+    """End of what begins at start: its braces, if it has any, else its line."""
+    line = plain.find("\n", start)
+    line = len(plain) if line < 0 else line
+    stop = re.compile(r"[{;]").search(plain, start)
+    if stop is None or stop[0] == ";" or "\n" in plain[start:stop.start()].rstrip("\n") and stop.start() > line:
+        return line
+    depth = 0
+    for m in re.compile(r"[{}]").finditer(plain, stop.start()):
+        depth += 1 if m[0] == "{" else -1
+        if not depth:
+            return m.end()
+    return -1
+
+
+def go_units(text: str) -> list[tuple]:
+    """Types, constants, variables, functions, and methods as `Receiver.method`, of the top level."""
+    plain, out = _plain(text), []
+    for m in _GO_ITEM.finditer(plain):
+        word, name, receiver, function = m.groups()
+        symbol = name or (f"{receiver}.{function}" if receiver else function)
+        kind = word or ("method" if receiver else "function")
+        end = _block_end(plain, m.start())
+        broken = end < 0
+        body = text[m.start():end if end >= 0 else len(text)]
+        out.append((len(out), symbol, kind, None, text.count("\n", 0, m.start()) + 1, body.split("\n", 1)[0].strip(), structure_hash(body), broken))
+    return out
+
+
+_RUST_ITEM = re.compile(r"\b(mod|struct|enum|trait|impl|fn)\b\s*(?:<[^>{]*>\s*)?([^{;(<]*?)\s*(?=[{;(<])")
+_RUST_KIND = {"mod": "module"}
+
+
+def rust_units(text: str) -> list[tuple]:
+    """Modules, types, traits, implementations (numbered by what holds them and their name) and functions, with all that holds them in the symbol."""
+    plain, out, around, counts = _plain(text), [], [], Counter()
+    for m in _RUST_ITEM.finditer(plain):
+        while around and m.start() >= around[-1][1]:
+            around.pop()
+        word, name = m[1], " ".join(m[2].split())
+        above = around[-1] if around else None
+        if word == "impl":
+            counts[above and above[0], name] += 1
+            name = f"impl {name}[{counts[above and above[0], name]}]"
+        symbol = f"{above[0]}::{name}" if above else name
+        kind = _RUST_KIND.get(word, word) if word != "fn" else "method" if above and above[3] in ("impl", "trait") else "function"
+        end = _block_end(plain, m.start())
+        body = text[m.start():end if end >= 0 else len(text)]
+        out.append((len(out), symbol, kind, above[2] if above else None, text.count("\n", 0, m.start()) + 1, body.split("\n", 1)[0].strip(), structure_hash(body), end < 0))
+        if word != "fn":
+            around.append((symbol, end if end >= 0 else len(text), len(out) - 1, kind))
+    return out
+
+
+#: Calls that make a value of a built-in type.
+BUILTIN_MAKERS = ["bool", "dict", "float", "frozenset", "int", "list", "set", "str", "tuple"]
+
+
+def _dotted(node: ast.expr) -> str | None:
+    """Name of what is called, dots included."""
+    if isinstance(node, ast.Name):
+        return node.id
+    if isinstance(node, ast.Attribute):
+        left = _dotted(node.value)
+        return f"{left}.{node.attr}" if left else node.attr
+    return None
+
+
+def _wrapped(node: ast.FunctionDef | ast.AsyncFunctionDef) -> str | None:
+    """What a function delegates to, if it does nothing but hand its arguments on as they are."""
+    body = node.body[1:] if ast.get_docstring(node) is not None else node.body
+    if len(body) != 1 or not isinstance(body[0], ast.Return) or not isinstance(body[0].value, ast.Call):
+        return None
+    call, names = body[0].value, [a.arg for a in node.args.args]
+    own = names[1:] if names[:1] in (["self"], ["cls"]) else names
+    handed = [a.id if isinstance(a, ast.Name) else None for a in call.args]
+    target = _dotted(call.func)
+    return target if own and not call.keywords and handed == own and target not in BUILTIN_MAKERS else None
+
+
+_FACTS = {"symbol": "string", "calls": "array<string>", "strings": "array<string>", "returns": "array<string>", "raises": "array<string>", "mutations": "array<string>", "decorators": "array<string>",
+          "roots": "array<string>", "reads": "array<string>", "writes": "array<string>", "wrapper_target": "string"}
+
+
+def _own_attribute(node: ast.expr) -> str | None:
+    return node.attr if isinstance(node, ast.Attribute) and isinstance(node.value, ast.Name) and node.value.id in ("self", "cls") else None
+
+
+def _function_facts(node: ast.FunctionDef | ast.AsyncFunctionDef, symbol: str) -> tuple:
+    calls, strings, returns, raises, changes, reads, writes, roots = [], [], [], [], [], set(), [], set()
+    arguments = {a.arg for a in node.args.args} & {"self", "cls"}
+    for part in (n for statement in node.body for n in ast.walk(statement)):
+        if isinstance(part, ast.Call) and (name := _dotted(part.func)):
+            calls.append((part.lineno, part.col_offset, name))
+        elif isinstance(part, ast.Constant) and isinstance(part.value, str):
+            strings.append(part.value)
+        elif isinstance(part, ast.Return) and part.value is not None:
+            returns.append(ast.unparse(part.value))
+        elif isinstance(part, ast.Raise) and part.exc is not None:
+            raises.append(_dotted(part.exc.func if isinstance(part.exc, ast.Call) else part.exc) or "")
+        elif isinstance(part, (ast.Assign, ast.AugAssign, ast.AnnAssign)) and part.value is not None:
+            for target in part.targets if isinstance(part, ast.Assign) else [part.target]:
+                if isinstance(target, (ast.Attribute, ast.Subscript)):
+                    changes.append(ast.unparse(target))
+                if own := _own_attribute(target):
+                    writes.append(f"{own}<-{ast.unparse(part.value)}")
+        if isinstance(part, ast.Attribute) and isinstance(part.ctx, ast.Load) and (own := _own_attribute(part)):
+            reads.add(own)
+        if isinstance(part, ast.Name) and isinstance(part.ctx, ast.Load) and part.id not in arguments:
+            roots.add(part.id)
+    names = [n for _, _, n in sorted(calls)]
+    return symbol, names, strings, returns, raises, changes, [ast.unparse(d) for d in node.decorator_list], sorted(roots), sorted(reads), writes, _wrapped(node)
+
+
+def _facts_of(text: str) -> list[tuple]:
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError):
+        return []
+    out: list[tuple] = []
+
+    def visit(body: list[ast.stmt], names: list[str]) -> None:
+        for node in body:
+            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                out.append(_function_facts(node, ".".join([*names, node.name])))
+            if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
+                visit(node.body, [*names, node.name])
+
+    visit(tree.body, [])
+    return out
+
+
+def _rows(df: DataFrame, key: str, text: str, fields: dict[str, str], make: Callable[[str], list[tuple]]) -> DataFrame:
+    types = [pa.string() if t == "string" else pa.list_(pa.string()) for t in fields.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                found = make(t) if t is not None else []
+                at += [i] * len(found)
+                rows += found
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=[key, *fields])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{n} {t}" for n, t in fields.items()))
+
+
+def python_facts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per function of a Python source: what it calls (in order), holds, returns, raises, changes, the names it starts from, attributes it reads and writes, and what it merely wraps."""
+    return _rows(df, key, text, _FACTS, _facts_of)
+
+
+def _module_of(text: str) -> list[tuple]:
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError):
+        return []
+    imports, called, aliases = set(), set(), {}
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            for a in node.names:
+                imports.add(a.name)
+                aliases[a.asname or a.name.split(".")[0]] = a.name
+        elif isinstance(node, ast.ImportFrom):
+            imports.add(node.module or "")
+            for a in node.names:
+                if a.name != "*":
+                    aliases[a.asname or a.name] = f"{node.module}.{a.name}" if node.module else a.name
+        elif isinstance(node, ast.Call) and (name := _dotted(node.func)):
+            called.add(name)
+    return [(sorted(imports - {""}), sorted(called), [f"{k}={v}" for k, v in sorted(aliases.items())])]
+
+
+def module_facts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per Python source: imports, called names and aliases (`local=full`), each sorted."""
+    return _rows(df, key, text, {"imports": "array<string>", "called": "array<string>", "aliases": "array<string>"}, _module_of)
+
+
 def units(df: DataFrame, key: str, text: str, extract: Callable[[str], list[tuple]]) -> DataFrame:
     """Rows of an extractor over a table of texts; null texts have none."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions.scalars import spreadsheet_safe, under_path
@@ -77,3 +77,82 @@ def export_events(df: DataFrame, path: str) -> None:
 
 def export_shards(df: DataFrame, path: str, shard: str) -> None:
     df.write.mode("errorifexists").partitionBy(shard).parquet(path)
+
+
+def is_watched(path: Column, suffixes: list[str], ignored: list[str], cache: str = ".cache") -> Column:
+    """Whether a change of a project's file matters: not under an ignored folder or the cache, with a suffix that is read."""
+    parts = F.split(path, "/")
+    suffix = F.lit(False)
+    for x in suffixes:
+        suffix = suffix | path.endswith(x)
+    return suffix & ~F.arrays_overlap(parts, F.array(*map(F.lit, ignored))) & ~path.startswith(f"{cache}/") & ~path.startswith("/")
+
+
+def source_roots(names: list[str], languages: list[str], *, folders: list[str]) -> list[str]:
+    """Roots to scan, from the names of files and folders at the top: all of a project with a manifest of its own, else the common folders that are there, else all if a file can be read, else src and app."""
+    if {"go.mod", "Cargo.toml"} & set(names):
+        return ["."]
+    common = [n for n in COMMON_ROOTS if n in folders]
+    if common:
+        return common
+    return ["."] if any(n.endswith(tuple(languages)) for n in names) else ["src", "app"]
+
+
+#: Folders that commonly hold sources, in order.
+COMMON_ROOTS = ["src", "app", "lib", "core", "cmd", "internal", "pkg", "web", "static"]
+
+
+def export_json(rows: DataFrame, path: str, *, key: str) -> None:
+    """One canonical JSON object a line, in order of key; an existing export is an error."""
+    rows.orderBy(key).select(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(path)
+
+
+def append_journal(rows: DataFrame, path: str) -> None:
+    """Add rows to a journal of JSON lines, as files of their own, so that a broken last line of another stays apart."""
+    rows.write.mode("append").json(path)
+
+
+def backup(spark: SparkSession, source: str, target: str) -> None:
+    """A copy of a table at a new place alone."""
+    spark.read.parquet(source).write.mode("errorifexists").parquet(target)
+
+
+def replace_table(rows: DataFrame, path: str) -> None:
+    """Put rows in place of a table: written beside it, then renamed, the old one last."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(f"{path}.new")
+    at, new, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}{x}") for x in ("", ".new", ".old"))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if fs.exists(at):
+        fs.rename(at, old)
+    fs.rename(new, at)
+    fs.delete(old, True)
+
+
+def sharded(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """Rows of listed JSON shards with the shard that each comes from."""
+    return spark.read.schema(schema).json(paths).withColumn("shard", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+
+
+def document_state(found: bool, n_blocks: int, n_drafts: int, valid: bool = True) -> str:
+    """State of a document: missing, invalid, empty, draft while a block is one, else defined."""
+    if not found:
+        return "missing"
+    if not valid:
+        return "invalid"
+    return "empty" if not n_blocks else "draft" if n_drafts else "defined"
+
+
+def flow_references(sources: DataFrame, files: DataFrame, bound: DataFrame, suffixes: list[str]) -> DataFrame:
+    """(path, referenced_by): files of a flow that sources (path, text) embed or quote, that are there and that nothing binds; of several sources the last counts."""
+    embedded = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(r"(?m)^//go:embed +(.+)$"), F.lit(1)), lambda x: F.filter(F.split(x, " +"), lambda p: ~p.rlike(r"[*?\[\]]"))))
+    quoted = F.regexp_extract_all("text", F.lit("\"([^\"\n]+\\.[a-z]+)\""), F.lit(1))
+    folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
+    refs = sources.select(F.col("path").alias("referenced_by"), folder.alias("folder"), F.explode(F.concat(embedded, quoted)).alias("raw"))
+    refs = refs.withColumn("target", F.concat("folder", F.regexp_replace("raw", r"^\./", "")))
+    right = F.lit(False)
+    for x in suffixes:
+        right = right | F.lower("target").endswith(x)
+    refs = refs.where(right).join(files.select(F.col("path").alias("fp")).distinct(), F.col("target") == F.col("fp"), "left_semi").join(bound.select(F.col("path").alias("bp")).distinct(), F.col("target") == F.col("bp"), "left_anti")
+    return refs.groupBy(F.col("target").alias("path")).agg(F.max("referenced_by").alias("referenced_by"))
