@@ -4,9 +4,9 @@ A suffix array of every byte would take many times the input, so the arrays here
 are sparse: of each SIZE-byte window only the suffix at its least GRAM-byte hash
 is indexed, any of them on ties, which random numbers break, so that periodic text
 gives no more suffixes than other text. Equal windows have the same least gram, so
-any repeated window is found from a shared suffix. Arrays hold the suffixes' first
-GRAM bytes in lexical order, each with the length of the prefix that it shares
-with the one before (LCP).
+any repeated window is found from a shared suffix. An array is dealt into parts by
+hash; each part holds the suffixes' first GRAM bytes in lexical order, each with
+the length of the prefix that it shares with the one before (LCP).
 
 Logarithmic index family. Texts come in batches. A new batch gets a sorted array,
 which a merge scan runs into the levels of equal size, as in a binary counter:
@@ -16,10 +16,14 @@ tables in a shared folder. Suffixes of one task are combined before they are
 dealt out, so common passages do not gather in a task.
 
 Long matches. Around the suffixes that occur more than once, the windows that
-they stand for are compared within groups of at most about GROUP occurrences. A
-window repeated in its group counts at once; of larger groups, the other windows
-are compared across groups by hash. Windows of one suffix all hold it, so the
-bytes they cover are one span.
+they stand for are compared within groups of at most about GROUP occurrences.
+Suffixes that occur more often (a line on many pages) are told apart further: a
+window either holds SIDE bytes before its suffix or SIDE bytes after it, and joins
+the windows that hold the same ones; only windows that hold their least gram twice,
+which equal windows may hold at another place, stay together. What is then still
+more than a group is dealt into several: a window repeated in its part counts at
+once, the others are compared across parts by hash. Windows of one suffix all hold
+it, so the bytes they cover are one span.
 
 Texts with copies are compared once; of SIZE bytes or more they go whole. Texts
 stay where they are while repeated suffixes, copied texts and spans are few enough
@@ -45,7 +49,9 @@ from .common import CHUNK_BYTES, Scratch, lean, mix, span_hash, text_chunks, tun
 
 SIZE, GRAM = 400, 64
 BATCHES = 4
-GROUP = 1024
+GROUP = 2048
+#: Bytes on one side of a suffix that tell its occurrences apart; each window holds them on the left or on the right.
+SIDE = (SIZE - GRAM) // 2
 #: Rows of complete groups that are compared in one numpy pass.
 ROWS = 2048
 #: Rows of a table that may be broadcast.
@@ -121,23 +127,31 @@ def _runs(same: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], ~same]))
 
 
+def _again(raw: bytes, p: int, lo: int, hi: int) -> bool:
+    """Whether the windows from lo to hi hold their suffix's first bytes at another place, too, so that they may repeat among themselves."""
+    gram = raw[p:p + GRAM]
+    return raw.find(gram, p + 1, hi + SIZE) >= 0 or raw.rfind(gram, lo, p + GRAM - 1) >= 0
+
+
 @lean
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the array of each batch of texts: a suffix, its hash, its occurrences, and the least and largest hash of a place."""
     for b in batches:
         th = np.asarray(b.column(0)).view(np.uint64)
         for first, data, off in text_chunks(b.column(1)):
-            text, p, _, _, key = sampled(data, off)
+            text, p, lo, hi, key = sampled(data, off)
             if not len(p):
                 continue
             with np.errstate(over="ignore"):
                 place = mix(th[first + text] + mix((p - off[:-1][text]).astype(np.uint64))).view(np.int64)
+            raw = data.tobytes()
+            again = np.fromiter((_again(raw, *x) for x in zip(p.tolist(), lo.tolist(), hi.tolist(), strict=True)), bool, len(p))
             order = np.argsort(key, kind="stable")
-            key, place, p = key[order].view(np.int64), place[order], p[order]
+            key, place, p, other = key[order].view(np.int64), place[order], p[order], (place ^ again)[order]
             start = _runs(key[1:] == key[:-1])
             suffix = data[p[start][:, None] + np.arange(GRAM)]
             n = np.diff(np.append(start, len(p)))
-            yield _array_rows(suffix, key[start], n, np.minimum.reduceat(place, start), np.maximum.reduceat(place, start))
+            yield _array_rows(suffix, key[start], n, np.minimum.reduceat(np.minimum(place, other), start), np.maximum.reduceat(np.maximum(place, other), start))
 
 
 @lean
@@ -181,7 +195,7 @@ class IndexFamily:
     def _array(self, rows: DataFrame) -> tuple[str, DataFrame]:
         name = f"level{self.made}"
         self.made += 1
-        rows = rows.repartitionByRange("suffix").sortWithinPartitions("suffix")
+        rows = rows.repartition("key").sortWithinPartitions("suffix")
         return name, self.scratch.table(rows.mapInArrow(_merge_scan, f"{_ARRAY}, lcp int"), name)
 
     def add(self, batch: DataFrame) -> None:
@@ -249,6 +263,27 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["key", "th", "pos", "lo", "n", "bytes"])
 
 
+@lean
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _CONTEXT of frequent suffixes, by what their windows hold beside the suffix; `whole` where windows hold their gram twice."""
+    for b in batches:
+        rows = []
+        for key, th, pos, lo, n, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            p = pos - lo
+            gram = raw[p:p + GRAM]
+            before, after = raw.rfind(gram, 0, p + GRAM - 1), raw.find(gram, p + 1)
+            first, stop = before + 1, n if after < 0 else min(n, max(after - (SIZE - GRAM), 0))
+            middle = min(max(p - SIDE + 1, first), max(stop, first))
+            name = key.to_bytes(8, "little", signed=True)
+            for x, z, side in ((0, min(first, n), None), (first, min(middle, stop), raw[max(p - SIDE, 0):p] + b"<"), (middle, stop, b">" + raw[p + GRAM:p + GRAM + SIDE]), (max(stop, first), n, None)):
+                if x < z:
+                    to = key if side is None else int.from_bytes(hashlib.blake2b(name + side, digest_size=8).digest(), "little", signed=True)
+                    rows.append((to, side is None, th, pos, lo + x, z - x, raw[x:z - 1 + SIZE]))
+        if rows:
+            types = [pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["key", "whole", "th", "pos", "lo", "n", "bytes"])
+
+
 def _compare(key, parts, th, lo, n, data: bytes, sizes) -> Iterator[pa.RecordBatch]:
     """Spans of complete groups, and for groups in parts the windows still open."""
     buf = np.frombuffer(data, np.uint8)
@@ -369,6 +404,16 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         met = scratch.table(met.select("th", F.struct("pos", "lo", "n", "key").alias("p")), "met")
         places = met.groupBy(F.col("th").alias("pt")).agg(F.collect_set("p").alias("places"))
         around = single.join(places, F.col("th") == F.col("pt")).select("th", "text", "places").mapInArrow(_contexts, _CONTEXT).join(repeated, F.col("key") == F.col("k"))
+    fields = ["key", "th", "pos", "lo", "n", "bytes"]
+    frequent = repeated.where("parts > 1")
+    if frequent.isEmpty():
+        around = around.select(*fields, F.lit(1).alias("parts"))
+    else:
+        plain = around.where("parts = 1").select(*fields, F.lit(1).alias("parts"))
+        split = scratch.table(around.where("parts > 1").select(*fields).mapInArrow(_apart, _CONTEXT.replace("th ", "whole boolean, th ", 1)), "apart")
+        still = split.groupBy(F.col("key").alias("k2"), F.col("whole").alias("w2")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+        split = split.join(scratch.table(still, "still"), (F.col("key") == F.col("k2")) & (F.col("whole") == F.col("w2"))).select(*fields, "parts")
+        around = plain.unionByName(split)
     around = around.select("key", F.pmod(F.xxhash64("th", "pos"), F.col("parts")).cast("int").alias("part"), "parts", "th", "lo", "n", "bytes")
     around = around.repartition("key", "part").sortWithinPartitions("key", "part")
     found = scratch.table(around.mapInArrow(_groups, "kind int, th long, a long, z long, h long"), "found")

@@ -118,21 +118,25 @@ def _without_repeats(texts):
         yield len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()
 
 
-@pytest.mark.parametrize(("group", "few", "batches", "chunk"), [(1024, 500_000, 4, 2 << 20), (2, 0, 3, 1000)])
+@pytest.mark.parametrize(("group", "few", "batches", "chunk"), [(2048, 500_000, 4, 2 << 20), (2, 0, 3, 1000), (3, 500_000, 4, 2 << 20)])
 def test_repeated_strings_are_removed(spark, monkeypatch, group, few, batches, chunk):
     for name, value in (("GROUP", group), ("FEW", few), ("CHUNK_BYTES", chunk)):
         monkeypatch.setattr(substrings, name, value)
     shared, long = prose(90), prose(400)
-    texts = [*EDGE, *(f"{prose(40)} {shared} {prose(30)}" for _ in range(9)), long + long, shared[:399], shared[:401] + prose(3), "é" * 500]
+    texts = [*EDGE, *(prose(20) + "".join(R.choice("abcdef") for _ in range(k)) * (450 // k) + prose(20) for k in (1, 9, 50, 150, 200, 225)), *(f"{prose(40)} {shared} {prose(30)}" for _ in range(9)), long + long, shared[:399], shared[:401] + prose(3), "é" * 500]
     got = {r.doc_id: r for r in substrings.substring_dedup(documents(spark, texts), batches).collect()}
     for i, want in enumerate(_without_repeats(texts)):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want
     assert substrings.substring_dedup(documents(spark, texts).where("doc_id < 0")).count() == 0
 
 
-def test_planted_passages_of_all_lengths_are_removed(spark):
+@pytest.mark.parametrize("group", [2048, 8])
+def test_planted_passages_of_all_lengths_are_removed(spark, monkeypatch, group):
     passages = [(prose(400) + "x" * 999)[: R.randint(380, 800)] for _ in range(60)]
     texts = [f"{prose(R.randint(1, 60))} {R.choice(passages)} {prose(R.randint(1, 60))}" for _ in range(300)]
+    line = "the same line on all of the pages, as pages have them at their foot, so often that it says nothing. "
+    texts += [prose(R.randint(1, 90)) + line * R.choice([1, 1, 1, 2, 5]) + prose(R.randint(1, 90)) for _ in range(80)]
+    monkeypatch.setattr(substrings, "GROUP", group)
     got = {r.doc_id: r for r in substrings.substring_dedup(documents(spark, texts).repartition(7)).collect()}
     for i, want in enumerate(_without_repeats(texts)):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want
