@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import lean, span_hash, text_chunks, tune
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
-#: Words that a worker remembers before it starts afresh.
-TABLE_BITS, TABLE_LOAD = 21, 0.55
+#: A worker's table of words: bits of its size at first and at most, and how full it may get before it grows or starts afresh.
+FIRST_BITS, TABLE_BITS, TABLE_LOAD = 16, 21, 0.55
 
 
 def byte_chars() -> dict[str, int]:
@@ -81,7 +81,7 @@ class Vocabulary:
         key = a << 32 | b
         got = self._pairs.get(key)
         if got is None:
-            if len(self._pairs) > 200_000:
+            if len(self._pairs) > 100_000:
                 self._pairs.clear()
             got = self._pairs[key] = self._check(a, b)
         return got
@@ -203,27 +203,38 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.keys = np.zeros(1 << TABLE_BITS, np.uint64)
-        self.vals = np.zeros(1 << TABLE_BITS, np.int32)
+        self.bits = FIRST_BITS
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.vals = np.zeros(1 << self.bits, np.int32)
         self.start = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.int32)
         self.size = 0
 
+    def _grow(self, words: int) -> None:
+        """Make room for so many words, as far as the table may grow."""
+        while self.bits < TABLE_BITS and words > TABLE_LOAD * (1 << self.bits):
+            self.bits += 1
+        if len(self.keys) < 1 << self.bits:
+            known = np.flatnonzero(self.keys)
+            keys, vals = self.keys[known], self.vals[known]
+            self.keys, self.vals = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._put(keys, vals)
+
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of words by hash, -1 where unknown."""
         out = np.full(len(h), -1, np.int32)
-        slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         left = np.arange(len(h))
         while len(left):
             k = self.keys[slot]
             hit = k == h[left]
             out[left[hit]] = self.vals[slot[hit]]
             go = ~hit & (k != 0)
-            left, slot = left[go], (slot[go] + 1) & ((1 << TABLE_BITS) - 1)
+            left, slot = left[go], (slot[go] + 1) & ((1 << self.bits) - 1)
         return out
 
     def _put(self, h: np.ndarray, number: np.ndarray) -> None:
-        slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         left = np.arange(len(h))
         while len(left):
             free = self.keys[slot] == 0
@@ -231,7 +242,7 @@ class Encoder:
             won = self.keys[slot] == h[left]
             self.vals[slot[won]] = number[left[won]]
             go = ~won
-            left, slot = left[go], (slot[go] + 1) & ((1 << TABLE_BITS) - 1)
+            left, slot = left[go], (slot[go] + 1) & ((1 << self.bits) - 1)
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
@@ -244,6 +255,7 @@ class Encoder:
         new = np.flatnonzero(number < 0)
         if len(new):
             keys, at = np.unique(h[new], return_index=True)
+            self._grow(self.size + len(keys))
             if self.size + len(keys) > 0.8 * (1 << TABLE_BITS):
                 self._reset()
                 return self(data, off) if len(keys) < 0.7 * (1 << TABLE_BITS) else self._halves(data, off)
@@ -310,9 +322,9 @@ def bpe_round_trip(docs: DataFrame, path: str, *, keep: bool = False) -> DataFra
         for b in batches:
             for first, data, off in text_chunks(b.column(1)):
                 flat, counts = encode(data, off)
-                flat, at, rows = flat.tolist(), 0, []
+                at, rows = 0, []
                 for n in counts.tolist():
-                    ids = flat[at:at + n]
+                    ids = flat[at:at + n].tolist()
                     at += n
                     text = decode(vocab, ids)
                     row = (n, hashlib.sha256(",".join(map(shown.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one kernel call handles (a longer document makes its own chunk).
 CHUNK_BYTES = 1 << 20
+#: Batches that a kernel gives before its free memory goes back.
+LEAN = 8
 #: Rows of an Arrow batch sent to a Python worker; bounds the worker's memory.
 ARROW_ROWS = 1000
 
@@ -105,15 +107,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _hand_back() -> None:
+    """Give free memory back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # of the GNU C library alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(run):
-    """A kernel over Arrow batches that hands its worker's free memory back when a task ends, as workers live on."""
+    """A kernel over Arrow batches that hands its worker's free memory back now and then, and when a task ends, as workers live on."""
 
     @wraps(run)
     def wrapped(batches):
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with suppress(OSError, AttributeError):  # of the GNU C library alone
-            ctypes.CDLL(None).malloc_trim(0)
+        for i, b in enumerate(run(batches), 1):
+            yield b
+            if i % LEAN == 0:
+                _hand_back()
+        _hand_back()
 
     return wrapped
 
