@@ -9,56 +9,71 @@ THRESHOLD in some window.
 
 A window reaches that only if shingles of items of its length hold THRESHOLD of
 the least such item's weight; windows that do not are left out, which loses nothing. The others
-get a 64-bit SimHash. Fingerprints of windows and items are cut into RADIUS + 1
-blocks; two fingerprints within RADIUS agree in one of them, so a join on
-(length, block, value) finds all pairs within the radius, and exact similarity
-verifies them. RADIUS is far enough for the threshold that a random fingerprint
-of a pair at the threshold (about 10 of 64 bits apart) goes beyond it about once
-in 3000 times for one window.
+get a 128-bit SimHash, cut into BLOCKS pieces. Of two fingerprints within RADIUS,
+some piece differs in at most NEAR bits, so each item is filed under all values
+within NEAR bits of each of its pieces, and a join on (length, piece, value) finds
+all pairs within the radius; about a third of unlike pairs meet, and hardly any of
+them is within the radius. Exact similarity verifies the rest. A pair at the
+threshold is about 19 of 128 bits apart; a random fingerprint of it goes beyond
+RADIUS about once in 20,000 times for one window.
 
 Items are broadcast in blocks of ITEM_BLOCK, however many there are.
 Items without words match nothing; items of fewer than five words are one
-shingle. Null text: not contaminated. Null item_id: reported as null. Repeated
-rows of documents are reported once each; repeated items once each id.
+shingle. Null or empty text: not contaminated. Null item_id: reported as null.
+Repeated rows of documents are reported once each; repeated items once each id.
+Very long texts are one chunk each. Without documents or items there is no row.
+Extra columns are ignored, and kept by clean().
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Scratch, Words, lean, numbered, text_chunks, tune, without_ids
+from .common import ALNUM, Scratch, Words, lean, mix, numbered, text_chunks, tune, without_ids
 
 K = 5
 THRESHOLD = 0.8
-RADIUS = 20
+#: Bits of a fingerprint's halves apart at most, pieces of a fingerprint, and bits of a piece apart at most: RADIUS < BLOCKS * (NEAR + 1).
+RADIUS, BLOCKS, NEAR = 35, 12, 2
 #: Items whose shingles are broadcast at once.
 ITEM_BLOCK = 20_000
 
-_BOUNDS = np.linspace(0, 64, RADIUS + 2).astype(int)
+#: Rows of the index of items that may be broadcast.
+INDEX_ROWS = 1_000_000
+#: First and last bit of each piece of a half.
+_BOUNDS = np.linspace(0, 64, BLOCKS // 2 + 1).astype(int)
+_HALVES = (np.uint64(0), np.uint64(0x5851F42D4C957F2D))
 
 
 def fingerprints(h: np.ndarray, weight: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """SimHash of the shingles start to stop of each window."""
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
-    total = np.zeros((len(h) + 1, 64), np.int64)
-    np.cumsum((2 * bits - 1) * weight[:, None], axis=0, out=total[1:])
-    return np.packbits(total[stop] > total[start], axis=1, bitorder="little").view(np.uint64).ravel()
-
-
-def blocks_of(fp: np.ndarray) -> np.ndarray:
-    """The RADIUS + 1 pieces of each fingerprint."""
-    out = np.empty((len(fp), RADIUS + 1), np.int32)
-    for i, (a, b) in enumerate(zip(_BOUNDS[:-1], _BOUNDS[1:], strict=True)):
-        out[:, i] = (fp >> np.uint64(a)) & np.uint64((1 << int(b - a)) - 1)
+    """SimHash of the shingles start to stop of each window, as two halves of 64 bits."""
+    out = np.empty((len(start), 2), np.uint64)
+    for half, salt in enumerate(_HALVES):
+        mixed = mix(h ^ salt) if salt else h
+        bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
+        total = np.zeros((len(h) + 1, 64), np.int64)
+        np.cumsum((2 * bits - 1) * weight[:, None], axis=0, out=total[1:])
+        out[:, half] = np.packbits(total[stop] > total[start], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
+def near_values(width: int) -> list[int]:
+    """All numbers of so many bits with at most NEAR of them set."""
+    return [sum(1 << b for b in bits) for n in range(NEAR + 1) for bits in combinations(range(width), n)]
+
+
+def _pieces(low: Column, high: Column) -> Column:
+    """The pieces of fingerprints given as two longs."""
+    return F.array(*[F.shiftrightunsigned(half, int(a)).bitwiseAND(F.lit((1 << int(b - a)) - 1)).cast("int") for half in (low, high) for a, b in zip(_BOUNDS[:-1], _BOUNDS[1:], strict=True)])
+
+
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """Weighted Jaccard similarity of two bags of shingles."""
     ca, cb = Counter(a.tolist()), Counter(b.tolist())
@@ -86,7 +101,7 @@ def _items(rows: list) -> list[tuple]:
     return out
 
 
-_WINDOW = "_row long, doc_id long, first long, size int, fp long, grams binary, weights binary"
+_WINDOW = "_row long, doc_id long, first long, size int, low long, high long, grams binary, weights binary"
 
 
 def _windows(shared):
@@ -136,11 +151,11 @@ def _windows(shared):
                                 continue
                             lo, hi = start[0], start[-1] + m
                             fp = fingerprints(h[a + lo:a + hi], weight[a + lo:a + hi], start - lo, start - lo + m)
-                            for s, f in zip(start.tolist(), fp.view(np.int64).tolist(), strict=True):
-                                rows.append((int(rid[first + r]), ids[first + r].as_py(), s, n, f, h[a + s:a + s + m].tobytes(), weight[a + s:a + s + m].tobytes()))
+                            for s, (x, y) in zip(start.tolist(), fp.view(np.int64).tolist(), strict=True):
+                                rows.append((int(rid[first + r]), ids[first + r].as_py(), s, n, x, y, h[a + s:a + s + m].tobytes(), weight[a + s:a + s + m].tobytes()))
             if rows:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["_row", "doc_id", "first", "size", "fp", "grams", "weights"])
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["_row", "doc_id", "first", "size", "low", "high", "grams", "weights"])
 
     return run
 
@@ -172,20 +187,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         items = _items([(r.item_id, r.text) for r in part.collect()])
         shared = spark.sparkContext.broadcast(items)
         windows = scratch.table(rows.mapInArrow(_windows(shared), _WINDOW) if items else spark.createDataFrame([], _WINDOW), f"windows{block}")
-        pieces, prints = [], []
+        prints = []
         for i, (_, n, h, wt) in enumerate(items):
-            fp = fingerprints(h, wt, np.array([0]), np.array([len(h)]))
-            prints.append((i, int(fp.view(np.int64)[0])))
-            pieces += [(i, n, k, int(v)) for k, v in enumerate(blocks_of(fp)[0])]
-        index = spark.createDataFrame(pieces, "item int, n int, block int, value int").join(spark.createDataFrame(prints, "item int, item_fp long"), "item")
-        cuts = F.array(*[F.shiftrightunsigned("fp", int(a)).bitwiseAND(F.lit((1 << int(b - a)) - 1)).cast("int") for a, b in zip(_BOUNDS[:-1], _BOUNDS[1:], strict=True)])
-        narrow = windows.select("_row", "first", "size", "fp", F.posexplode(cuts).alias("k", "v"))
-        near = narrow.join(F.broadcast(index), (F.col("size") == F.col("n")) & (F.col("k") == F.col("block")) & (F.col("v") == F.col("value")))
-        near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(F.col("_row").alias("r"), F.col("first").alias("f"), F.col("size").alias("s"), "item").distinct()
+            low, high = fingerprints(h, wt, np.array([0]), np.array([len(h)])).view(np.int64)[0].tolist()
+            prints.append((i, n, low, high))
+        index = spark.createDataFrame(prints, "item int, n int, item_low long, item_high long")
+        widths = np.tile(np.diff(_BOUNDS), 2).tolist()
+        values = F.array(*[F.array(*[F.lit(v) for v in near_values(w)]) for w in widths])
+        index = index.select("*", F.posexplode(_pieces(F.col("item_low"), F.col("item_high"))).alias("block", "piece"))
+        index = index.withColumn("flip", F.explode(F.get(values, F.col("block")))).select("item", "n", "item_low", "item_high", "block", F.col("piece").bitwiseXOR(F.col("flip")).alias("value"))
+        index = scratch.table(index, f"index{block}")
+        small = len(prints) * sum(len(near_values(w)) for w in widths) <= INDEX_ROWS
+        narrow = windows.select("_row", "first", "size", "low", "high", F.posexplode(_pieces(F.col("low"), F.col("high"))).alias("k", "v"))
+        near = narrow.join(F.broadcast(index) if small else index, (F.col("size") == F.col("n")) & (F.col("k") == F.col("block")) & (F.col("v") == F.col("value")))
+        apart = F.bit_count(F.col("low").bitwiseXOR(F.col("item_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("item_high")))
+        near = near.where(apart <= RADIUS).select(F.col("_row").alias("r"), F.col("first").alias("f"), F.col("size").alias("s"), "item").distinct()
         pairs = windows.join(near, (F.col("_row") == F.col("r")) & (F.col("first") == F.col("f")) & (F.col("size") == F.col("s")))
         checked = pairs.select("_row", "doc_id", "first", "size", "item", "grams", "weights").mapInArrow(_verify(shared), "_row long, doc_id long, item_id long, similarity double, first_word long, n_words long")
         checked = scratch.table(checked, f"checked{block}")
-        scratch.drop(f"windows{block}")
+        scratch.drop(f"windows{block}", f"index{block}")
         found = checked if found is None else found.unionByName(checked)
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("at"), "n_words")).alias("b")
     return found.groupBy("_row", "doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.similarity", (-F.col("b.at")).alias("first_word"), "b.n_words")
