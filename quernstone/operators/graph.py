@@ -58,7 +58,7 @@ def distances(edges: DataFrame, start: DataFrame, *, max_depth: int | None = Non
         frontier = _cut(ahead.join(known, ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        known = _cut(known.unionByName(frontier))
+        known = known.unionByName(frontier)  # each round writes its frontier alone
     return known.where("depth > 0")
 
 
@@ -80,7 +80,7 @@ def shortest_paths(edges: DataFrame, start: DataFrame, *, max_depth: int | None
         frontier = _cut(ahead.groupBy("origin", "node").agg(F.min(F.struct("ords", "path")).alias("b")).select("origin", "node", "b.path", "b.ords"))
         if frontier.isEmpty():
             break
-        known = _cut(known.unionByName(frontier))
+        known = known.unionByName(frontier)
     return known.where("origin <> node").select("origin", "node", "path")
 
 

@@ -73,14 +73,21 @@ def why(events: DataFrame, preferred: list[str], reason: str, limit: int = 20) -
     return pick.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit)
 
 
+def _of_each(rows: DataFrame, key: str, order: list[str], pick) -> DataFrame:
+    """One row per key, the first or last in order, by a partial aggregate."""
+    rest = [c for c in rows.columns if c != key]
+    got = rows.groupBy(key).agg(pick(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return got.select(*[F.col(c) if c == key else F.col(f"_r.{c}").alias(c) for c in rows.columns])
+
+
 def last_wins(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Index rebuild: the last row of each id stands."""
-    return events.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(o) for o in order]))).where("_n = 1").drop("_n")
+    return _of_each(events, key, order, F.max_by)
 
 
 def first_wins(objects: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Content-addressed objects: the first row of each digest stands."""
-    return objects.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+    return _of_each(objects, key, order, F.min_by)
 
 
 def content_objects(values: DataFrame, column: str) -> DataFrame:

@@ -38,9 +38,9 @@ def expand_rules(rules: DataFrame, kind: str = "kind") -> DataFrame:
 
 def name_candidates(lost: DataFrame, units: DataFrame, *, symbol: str, unit_symbol: str, order: str, most: int = 5) -> DataFrame:
     """For each lost row the first units whose symbol ends in the same part."""
-    a, b = lost.withColumn("_leaf", last_part(F.col(symbol))), units.withColumn("_leaf", last_part(F.col(unit_symbol)))
-    first = Window.partitionBy(symbol).orderBy(order)
-    return a.join(b, "_leaf").withColumn("candidate_no", F.row_number().over(first)).where(F.col("candidate_no") <= most).drop("_leaf")
+    leaf = units.select("*", last_part(F.col(unit_symbol)).alias("_u"))
+    first = leaf.withColumn("candidate_no", F.row_number().over(Window.partitionBy("_u").orderBy(order))).where(F.col("candidate_no") <= most)  # a bounded top-k of each leaf, before the join
+    return lost.withColumn("_leaf", last_part(F.col(symbol))).join(first, F.col("_leaf") == F.col("_u")).drop("_leaf", "_u")
 
 
 def unique_candidate(calls: DataFrame, blocks: DataFrame, *, source: str, leaf: str, block: str, block_leaf: str) -> DataFrame:

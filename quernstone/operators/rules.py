@@ -61,15 +61,19 @@ def suppressed(groups: DataFrame, members: DataFrame, policy: DataFrame, key: st
 
 def group_size(df: DataFrame, keys: list[str], strength: str) -> DataFrame:
     """Rows with their group's size, and the verdict yes (strong), check (weak) or no (alone)."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    out = df.withColumn("group_size", n)
+    n = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("group_size"))  # counts first: a window would sort each group in one task
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    out = df.join(n, same).drop(*[f"_{k}" for k in keys])
     verdict = F.when(F.col("group_size") < 2, "no").when(F.col(strength) == "strong", "yes").otherwise("check")
     return out.withColumn("duplicated", verdict)
 
 
-def keep_best(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row per key in the given order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+def keep_best(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The row per key with the least values in the given columns, by a partial aggregate; `-column` is the greatest instead."""
+    rank = F.struct(*[(-F.col(o[1:]) if o.startswith("-") else F.col(o)).alias(f"o{i}") for i, o in enumerate(order)])
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("_b"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_b.{c}").alias(c) for c in df.columns])
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:

@@ -7,6 +7,8 @@ older version keep what they read.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ class Store:
 
     def _manifest(self) -> list:
         try:
-            return self.spark.read.schema("revision long, actor string, reason string").parquet(f"{self.folder}/manifest").orderBy("revision").collect()
+            return self.spark.read.schema("revision long, actor string, reason string, place string").parquet(f"{self.folder}/manifest/*").orderBy("revision").collect()
         except Exception as e:  # noqa: BLE001  no manifest yet
             if "PATH_NOT_FOUND" in str(e):
                 return []
@@ -41,16 +43,31 @@ class Store:
     def revision(self) -> int:
         return max((r.revision for r in self._manifest()), default=0)
 
+    def _place(self, revision: int) -> str:
+        """The folder that the manifest names for a revision's records and log."""
+        return next(f"{self.folder}/{r.place}" for r in self._manifest() if r.revision == revision)
+
     def read(self, revision: int | None = None) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.folder}/v{self.revision() if revision is None else revision}")
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self._place(self.revision() if revision is None else revision)}/records")
 
     def log(self) -> DataFrame:
-        return self.spark.read.schema(self.LOG).parquet(f"{self.folder}/log")
+        return self.spark.read.schema(self.LOG).parquet(*[f"{self.folder}/{r.place}/log" for r in self._manifest()])
 
     def _commit(self, records: DataFrame, deltas: DataFrame, revision: int, actor: str, reason: str) -> int:
-        records.select("uid", F.col("ordinal").cast("long"), F.col("revision").cast("long"), "fields").write.mode("errorifexists").parquet(f"{self.folder}/v{revision}")
-        deltas.select(F.lit(revision).cast("long").alias("operation"), "seq", "kind", "uid", "before", "after").write.mode("append").parquet(f"{self.folder}/log")
-        self.spark.createDataFrame([(revision, actor, reason)], "revision long, actor string, reason string").coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        """Write a version under a name of its own, then its one-file marker, which makes it count; what a crash leaves before that is never read.
+
+        The marker's name is the revision's, and it is an error if it is there: of two writers, one fails.
+        """
+        place = f"v{revision}-{uuid4().hex}"
+        records.select("uid", F.col("ordinal").cast("long"), F.col("revision").cast("long"), "fields").write.mode("errorifexists").parquet(f"{self.folder}/{place}/records")
+        deltas.select(F.lit(revision).cast("long").alias("operation"), "seq", "kind", "uid", "before", "after").write.mode("errorifexists").parquet(f"{self.folder}/{place}/log")
+        marker = self.spark.createDataFrame([(revision, actor, reason, place)], "revision long, actor string, reason string, place string").coalesce(1)
+        try:
+            marker.write.mode("errorifexists").parquet(f"{self.folder}/manifest/{revision}")
+        except Exception as e:
+            if "PATH_ALREADY_EXISTS" in str(e):
+                raise Conflict(f"revision {revision} has been written meanwhile") from e
+            raise
         return revision
 
     def import_records(self, records: DataFrame, *, actor: str) -> int:

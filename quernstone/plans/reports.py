@@ -82,7 +82,7 @@ def group_size_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY value DESC, event_id) AS n FROM events) WHERE n = 1")
 def keep_best_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.keep_best(table(spark, sf_dir, "events"), ["event_type", "user_id"], [F.desc("value"), F.col("event_id")]).select("event_type", "event_id", "value")
+    return rules.keep_best(table(spark, sf_dir, "events"), ["event_type", "user_id"], ["-value", "event_id"]).select("event_type", "event_id", "value")
 
 
 @query("SELECT event_type, event_id, seq FROM (SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS INTEGER) AS seq FROM events) WHERE seq <= 8")

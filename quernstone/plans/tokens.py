@@ -12,7 +12,16 @@ from quernstone.sources import extract, files
 
 from .registry import query, table
 
-K, SIZE, BRAND = F.col("p_partkey"), F.col("p_size"), F.col("p_brand")
+def _key() -> Column:
+    return F.col("p_partkey")
+
+
+def _size() -> Column:
+    return F.col("p_size")
+
+
+def _brand() -> Column:
+    return F.col("p_brand")
 
 
 def _text(*parts: object) -> Column:
@@ -24,11 +33,11 @@ def _text(*parts: object) -> Column:
     FROM part
 """)
 def identifier_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dotted = _text("top.mid.r", SIZE)
+    dotted = _text("top.mid.r", _size())
     return table(spark, sf_dir, "part").select(
-        "p_partkey", F.array_join(s.identifier_tokens(_text("parseHTTPRequest", SIZE)), ",").alias("identifier"), F.array_join(s.plain_tokens(_text("loadBig.file-", SIZE, " V2")), ",").alias("plain"),
-        s.snake_case(_text(" getItem-X", SIZE, "!")).alias("snake"), F.array_join(s.ngrams(F.array(F.lit("a"), F.lit("b"), SIZE.cast("string")), 2, "_"), ",").alias("pairs"),
-        s.last_part(dotted).alias("last"), s.parent_part(dotted).alias("parent"), s.alias_of(F.when(SIZE % 2 == 0, "find").otherwise(_text("find", SIZE)), {"find": "search"}).alias("alias"),
+        "p_partkey", F.array_join(s.identifier_tokens(_text("parseHTTPRequest", _size())), ",").alias("identifier"), F.array_join(s.plain_tokens(_text("loadBig.file-", _size(), " V2")), ",").alias("plain"),
+        s.snake_case(_text(" getItem-X", _size(), "!")).alias("snake"), F.array_join(s.ngrams(F.array(F.lit("a"), F.lit("b"), _size().cast("string")), 2, "_"), ",").alias("pairs"),
+        s.last_part(dotted).alias("last"), s.parent_part(dotted).alias("parent"), s.alias_of(F.when(_size() % 2 == 0, "find").otherwise(_text("find", _size())), {"find": "search"}).alias("alias"),
     )
 
 
@@ -38,8 +47,8 @@ def identifier_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         "p_partkey", s.first_sentence(_text("  Finds ", F.col("p_name"), " fast.  Then stops! No.")).alias("sentence"),
-        F.array_join(s.qualifiers(_text("Takes it from ", BRAND, ", with care; ok")), "|").alias("phrases"),
-        F.array_join(s.template_variables(_text("${x", SIZE, "} {{ b }} {{b}}")), ",").alias("variables"), s.escape_like(_text("a%b_", SIZE)).alias("pattern"),
+        F.array_join(s.qualifiers(_text("Takes it from ", _brand(), ", with care; ok")), "|").alias("phrases"),
+        F.array_join(s.template_variables(_text("${x", _size(), "} {{ b }} {{b}}")), ",").alias("variables"), s.escape_like(_text("a%b_", _size())).alias("pattern"),
     )
 
 
@@ -48,7 +57,7 @@ def phrase_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
            CASE p_partkey % 5 WHEN 2 THEN 'update' END AS verb, CASE p_partkey % 5 WHEN 2 THEN 't' || p_size END AS target FROM part
 """)
 def text_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.when(K % 5 == 0, _text("src/build/f", SIZE, ".py")).when(K % 5 == 1, _text("/items/", SIZE)).when(K % 5 == 2, _text("Update  t", SIZE, " SET a = 1")).when(K % 5 == 3, "plain words").otherwise(_text("C:\\x", SIZE))
+    c = F.when(_key() % 5 == 0, _text("src/build/f", _size(), ".py")).when(_key() % 5 == 1, _text("/items/", _size())).when(_key() % 5 == 2, _text("Update  t", _size(), " SET a = 1")).when(_key() % 5 == 3, "plain words").otherwise(_text("C:\\x", _size()))
     sql, effect = s.looks_like_sql(c), s.sql_effect(c)
     return table(spark, sf_dir, "part").select(
         "p_partkey", s.looks_like_path(c).alias("is_path"), s.looks_like_endpoint(c).alias("is_endpoint"), sql.alias("is_sql"), s.is_absolute_path(c).alias("is_absolute"), s.under_path(c, ["build"]).alias("is_ignored"),
@@ -61,17 +70,17 @@ def text_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT p_partkey, '"w' || p_size || '"', 'redacted:' || sha256(p_name), p_brand, -1 FROM part WHERE p_partkey % 4 = 3
 """)
 def values_and_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.when(K % 4 == 0, " TRUE").when(K % 4 == 1, "None").when(K % 4 == 2, _text('{ "a" : ', SIZE, "}")).otherwise(_text("w", SIZE))
-    kept = s.redacted(F.create_map(F.lit("Api_Key"), F.col("p_name"), F.lit("brand"), BRAND))
-    level = F.when(K % 4 == 3, "none").otherwise(F.get(F.array(*map(F.lit, ["low", "medium", "high"])), (K % 3).cast("int")))
+    text = F.when(_key() % 4 == 0, " TRUE").when(_key() % 4 == 1, "None").when(_key() % 4 == 2, _text('{ "a" : ', _size(), "}")).otherwise(_text("w", _size()))
+    kept = s.redacted(F.create_map(F.lit("Api_Key"), F.col("p_name"), F.lit("brand"), _brand()))
+    level = F.when(_key() % 4 == 3, "none").otherwise(F.get(F.array(*map(F.lit, ["low", "medium", "high"])), (_key() % 3).cast("int")))
     return table(spark, sf_dir, "part").select("p_partkey", s.parse_value(text).alias("value"), kept["Api_Key"].alias("api_key"), kept["brand"].alias("brand"), s.rank_confidence(level).cast("long").alias("rank"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT p_partkey) AS n_uids, TRUE AS all_shaped, TRUE AS all_stable FROM part")
 def deterministic_uids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uid = s.stable_uid(F.lit("block"), F.col("p_name"), K)
+    uid = s.stable_uid(F.lit("block"), F.col("p_name"), _key())
     shaped = F.bool_and(uid.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-5[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"))
-    return table(spark, sf_dir, "part").agg(F.count("*").alias("n"), F.count_distinct(uid).alias("n_uids"), shaped.alias("all_shaped"), F.bool_and(uid == s.stable_uid(F.lit("block"), F.col("p_name"), K)).alias("all_stable"))
+    return table(spark, sf_dir, "part").agg(F.count("*").alias("n"), F.count_distinct(uid).alias("n_uids"), shaped.alias("all_shaped"), F.bool_and(uid == s.stable_uid(F.lit("block"), F.col("p_name"), _key())).alias("all_stable"))
 
 
 @query("SELECT doc_id, strlen(text) < 256 AS plain, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
@@ -165,7 +174,7 @@ def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lower(replace(p_brand, '#', '')) AS shard, count(*) AS n, string_agg(p_partkey, ',' ORDER BY p_partkey) AS ids FROM part GROUP BY 1")
 def shard_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = sg.bucketed(table(spark, sf_dir, "part"), s.shard_name(BRAND), "p_partkey")
+    got = sg.bucketed(table(spark, sf_dir, "part"), s.shard_name(_brand()), "p_partkey")
     return got.select("shard", F.size("ids").cast("long").alias("n"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
@@ -185,7 +194,7 @@ def pages_up_to_a_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey FROM part WHERE p_partkey = 77")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("uid"), F.when(K % 2 == 0, "77").otherwise("none").alias("external_id"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("uid"), F.when(_key() % 2 == 0, "77").otherwise("none").alias("external_id"))
     return sg.lookup(rows, "77").select("p_partkey")
 
 
@@ -252,5 +261,5 @@ def existing_purpose_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, 'find' AS action, CASE WHEN p_size % 2 = 0 THEN 'big items' ELSE 'rows' END AS object, 'for ' || lower(p_brand) AS qualifiers FROM part")
 def purpose_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    symbol = F.when(SIZE % 2 == 0, "findBigItems").otherwise("Store.get_rows")
-    return sg.purpose_facts(table(spark, sf_dir, "part"), "p_partkey", symbol, _text("Looks up things for ", BRAND, ". More."), {"get": "find", "looks": "find"})
+    symbol = F.when(_size() % 2 == 0, "findBigItems").otherwise("Store.get_rows")
+    return sg.purpose_facts(table(spark, sf_dir, "part"), "p_partkey", symbol, _text("Looks up things for ", _brand(), ". More."), {"get": "find", "looks": "find"})

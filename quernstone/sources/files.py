@@ -38,7 +38,12 @@ def stale_files(now: DataFrame, cached: DataFrame) -> DataFrame:
 
 def journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines of a JSON journal with their numbers; broken lines are marked, blank ones dropped."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n", -1)).alias("line", "text")).where(F.trim("text") != "")
+    rows = spark.read.text(path).select(F.col("value").alias("text"), F.monotonically_increasing_id().alias("at"))
+    # numbers: a line's place in its partition, and the lines of the partitions before; of a file, Spark's splits are in order
+    part = F.shiftright("at", 33)
+    counts = rows.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
+    before = counts.alias("a").join(counts.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy(F.col("a.p").alias("p")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    raw = rows.join(F.broadcast(before), part == F.col("p")).select((F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias("line"), "text").where(F.trim("text") != "")
     parsed = F.from_json("text", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     return raw.select("line", parsed.alias("j")).select("line", "j.*").withColumn("corrupt", F.col("_bad").isNotNull()).drop("_bad")
 
