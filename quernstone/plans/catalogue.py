@@ -55,9 +55,10 @@ def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(blocks(spark, sf_dir), c.Query(search="PRO"), filterable=[], searchable=["name", "domain", "status", "kind"]).select("uid")
 
 
-@query(f"WITH {_BLOCKS_SQL} SELECT uid FROM blocks WHERE contains(name, '%')")
+@query(f"WITH {_BLOCKS_SQL} SELECT uid FROM blocks WHERE size % 7 = 0")
 def catalogue_search_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.select(blocks(spark, sf_dir), c.Query(search="%"), filterable=[], searchable=["name"]).select("uid")
+    rows = blocks(spark, sf_dir).withColumn("name", F.concat("name", F.when(F.col("size") % 7 == 0, " 5%_x").otherwise(" 5 percent x")))
+    return c.select(rows, c.Query(search="5%_X"), filterable=[], searchable=["name"]).select("uid")
 
 
 @query("SELECT c_custkey FROM customer WHERE contains(lower(concat_ws(' ', CAST(c_custkey AS VARCHAR), c_name, c_mktsegment)), '7 customer')")

@@ -110,13 +110,13 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, user_id, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'purchase') e
-    JOIN (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS lo, CAST(o_orderdate AS DATE) + 3650 AS hi FROM orders WHERE o_totalprice > 200000) o
+    JOIN (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS lo, CAST(o_orderdate AS DATE) + 9700 AS hi FROM orders WHERE o_totalprice > 200000) o
     ON e.user_id = o.o_custkey AND e.d BETWEEN o.lo AND o.hi
 """)
 def range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").cast("date").alias("d"))
     day = F.col("o_orderdate").cast("date")
-    ranges = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select("o_orderkey", F.col("o_custkey").alias("user_id"), day.alias("lo"), F.date_add(day, 3650).alias("hi"))
+    ranges = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select("o_orderkey", F.col("o_custkey").alias("user_id"), day.alias("lo"), F.date_add(day, 9700).alias("hi"))
     return reconcile.at_location(points, ranges, "user_id", "d", "lo", "hi").select("event_id", "o_orderkey")
 
 
