@@ -19,8 +19,9 @@ gives at most k rows per query, which a last top-k merges.
 A null vector, or one with a null or non-finite component, takes no part; nor do
 a null vec_id and an empty vector. Vectors of another length than a query's are no
 candidates for it. Ties go to the smaller vec_id. Repeated vec_ids are candidates
-on their own; a repeated query row changes nothing. Extra columns are ignored.
-Scores that need more than 64 bits are not defined.
+on their own; a repeated query row changes nothing. Extra columns are ignored. An
+empty table gives no row. Components and scores that need more than 62 bits are an
+error.
 """
 
 from __future__ import annotations
@@ -48,8 +49,9 @@ def quantized(vectors: DataFrame) -> DataFrame:
     """(vec_id, x array of long) of the vectors that take part."""
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) != float("inf")))
     ok = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.coalesce(finite, F.lit(False))
-    big = F.lit(float(1 << 62))
-    x = F.transform("embedding", lambda v: F.floor(F.greatest(F.least(v.cast("double") * SCALE, big), -big)).cast("long"))
+    scaled = lambda v: v.cast("double") * SCALE
+    fits = lambda v: F.abs(scaled(v)) < float(1 << 62)
+    x = F.transform("embedding", lambda v: F.when(fits(v), F.floor(scaled(v)).cast("long")).otherwise(F.raise_error(F.lit("a vector's component does not fit 62 bits")).cast("long")))
     return vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
 
 
@@ -122,7 +124,10 @@ def _search(k: int):
                 if d not in theirs:
                     continue
                 ids, x = theirs[d]
-                exact = float(np.abs(x.astype(float)).max()) * float(np.abs(q.astype(float)).max()) * d * 4 < 2**53
+                most = float(np.abs(x.astype(float)).max()) * float(np.abs(q.astype(float)).max()) * d * 4
+                if most >= 2**62:
+                    raise OverflowError("scores do not fit 62 bits")
+                exact = most < 2**53
                 block = SortedLists(ids, x, np.float64 if exact else np.int64)
                 for a in range(0, len(q), BATCH):
                     for own, (rows, score) in zip(qid[a:a + BATCH], block.top(qid[a:a + BATCH], q[a:a + BATCH], k), strict=True):

@@ -3,6 +3,7 @@ import math
 import time
 
 import numpy as np
+import pytest
 
 from quernstone.llm.secrets import Forest, candidates, features, find_secrets, labelled_findings, train
 from quernstone.llm.topk import exact_top_k
@@ -23,6 +24,12 @@ def test_top_k_equals_brute_force(spark):
     assert exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_scores_that_do_not_fit_are_an_error(spark):
+    for big in (3e38, 1e12):
+        with pytest.raises(Exception, match="62 bits"):
+            exact_top_k(spark.createDataFrame([(0, [big]), (1, [big])], "vec_id long, embedding array<float>")).collect()
+
+
 def test_forest_tells_secrets_from_look_alikes(spark):
     found = labelled_findings(800, seed=99)
     x = np.array([features(*f[:5]) for f in found], float)
