@@ -48,7 +48,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(read_table(spark, sf_dir, "documents"))
+    return find_secrets(read_table(spark, sf_dir, "documents"), vocabulary=tokenizer_path("byte_bpe_50k.json"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

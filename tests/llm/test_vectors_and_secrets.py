@@ -3,9 +3,10 @@ import math
 import time
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from quernstone.llm.secrets import Forest, candidates, features, find_secrets, labelled_findings, train
+from quernstone.llm.secrets import Forest, candidates, covered, dictionary, features, find_secrets, labelled_findings, train
 from quernstone.llm.topk import exact_top_k
 
 
@@ -42,6 +43,20 @@ def test_forest_tells_secrets_from_look_alikes(spark):
     assert not any(r.is_secret for r in got if r.doc_id == 2)
 
 
+def test_the_dictionary_tells_words_from_draws(spark):
+    words = dictionary(public_tokenizers.path("byte_bpe_50k.json"))
+    assert len(words) > 10_000 and {"station", "river", "password"} <= words
+    assert covered("riverStation", words) > 0.9 and covered("x9Kq2LmT7pQz4R", words) < 0.4 and covered("", words) == 0.0
+    model = train(labelled_findings(words=words), words)
+    found = labelled_findings(800, seed=5, words=words)
+    x = np.array([features(*f[:5], words) for f in found], float)
+    y = np.array([f[5] for f in found])
+    assert ((model.predict(x) >= 0.5) == y).mean() > 0.95
+    rows = [(1, "s", "password=riverStation7 and so on"), (2, "s", "password=b7db7aa4a5fcc78305")]
+    got = find_secrets(spark.createDataFrame(rows, "doc_id long, source string, text string"), vocabulary=public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert {r.doc_id: r.is_secret for r in got} == {1: False, 2: True}
+
+
 def test_candidates_do_not_overlap():
     spans = candidates("token = ghp_" + "a1B2" * 9 + " https://user:hunter22x@host/ x")
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False)) and len(spans) == 2
