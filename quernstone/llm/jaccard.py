@@ -52,7 +52,7 @@ VECTOR, LEAF = 2048, 16
 #: Rows of complete units of tiles that are searched in one numpy pass.
 ROWS = 4096
 #: Members of a tile that search its tree at once.
-QUERIES = 16
+QUERIES = 64
 #: Weight of one task's group: shingles of a cluster's sets, bytes of a tile's vectors. Larger ones are dealt in blocks of half of it.
 LIMIT = 2 << 20
 #: Sets whose places may be broadcast to fetch them; more are joined by a shuffle.
@@ -328,17 +328,19 @@ class CountTree:
             node = np.arange(len(i)) % top
             for depth in range(len(self.levels) - 1, -1, -1):
                 upper, least = self.levels[depth]
-                keep = np.minimum(upper[node], q[i]).sum(1, dtype=np.int64) >= least_overlap(n[i], least[node], num, den)
+                keep = np.minimum(upper[node], q[i]).sum(1, dtype=np.uint32) >= least_overlap(n[i], least[node], num, den)
                 i, node = i[keep], node[keep]
                 if depth:
                     i, node = np.repeat(i, LEAF), (node[:, None] * LEAF + np.arange(LEAF)).ravel()
                     inside = node < len(self.levels[depth - 1][0])
                     i, node = i[inside], node[inside]
-            each = size[node]
-            i = np.repeat(i, each)
-            rows = order[np.repeat(start[node] - np.cumsum(each) + each, each) + np.arange(len(i))]
-            keep = np.minimum(self.points[rows], q[i]).sum(1, dtype=np.int64) >= least_overlap(n[i], self.sizes[rows], num, den)
-            yield i[keep], rows[keep]
+            met = np.unique(node)  # leaves that some query reaches
+            rows = order[np.repeat(start[met] - np.cumsum(size[met]) + size[met], size[met]) + np.arange(int(size[met].sum()))]
+            mine = np.arange(a, min(a + QUERIES, len(q)))
+            for part in np.array_split(rows, -(-len(rows) // 4096)) if len(rows) else ():
+                overlap = np.minimum(q[mine][:, None], self.points[part][None]).sum(2, dtype=np.uint32)
+                x, y = np.nonzero(overlap >= least_overlap(n[mine][:, None], self.sizes[part][None], num, den))
+                yield mine[x], part[y]
 
     def search(self, q: np.ndarray, n: int, num: int, den: int) -> np.ndarray:
         """Rows whose overlap with the point q of size n may reach the threshold."""
@@ -364,7 +366,7 @@ def _points(vectors: list[bytes]) -> np.ndarray:
         rows = [i for i, v in enumerate(vectors) if len(v) == size]
         x = np.frombuffer(b"".join(vectors[i] for i in rows), np.uint8).reshape(len(rows), -1, groups)
         out[rows] = np.where((x == 255).any(1), 65535, x.sum(1, dtype=np.uint16) if x.shape[1] > 1 else x[:, 0])
-    return out
+    return out.astype(np.uint8) if out.max() < 256 else out
 
 
 class _Merged:
