@@ -42,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -263,12 +264,21 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["key", "th", "pos", "lo", "n", "bytes"])
 
 
+_AROUND = "key long, whole boolean, often boolean, th long, pos long, lo long, n long, bytes binary"
+
+
 @lean
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _CONTEXT of frequent suffixes, by what their windows hold beside the suffix; `whole` where windows hold their gram twice."""
+    """Rows of _CONTEXT with `often`; those of frequent suffixes are cut by what their windows hold beside the suffix, `whole` where windows hold their gram twice."""
+    names = ["key", "whole", "often", "th", "pos", "lo", "n", "bytes"]
     for b in batches:
+        often = b.column(6)
+        plain = b.filter(pc.invert(often))
+        if plain.num_rows:
+            no = pa.array(np.zeros(plain.num_rows, bool))
+            yield pa.RecordBatch.from_arrays([plain.column(0), no, no, *plain.columns[1:6]], names=names)
         rows = []
-        for key, th, pos, lo, n, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for key, th, pos, lo, n, raw in zip(*(c.to_pylist() for c in b.filter(often).columns[:6]), strict=True):
             p = pos - lo
             gram = raw[p:p + GRAM]
             before, after = raw.rfind(gram, 0, p + GRAM - 1), raw.find(gram, p + 1)
@@ -278,10 +288,26 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x, z, side in ((0, min(first, n), None), (first, min(middle, stop), raw[max(p - SIDE, 0):p] + b"<"), (middle, stop, b">" + raw[p + GRAM:p + GRAM + SIDE]), (max(stop, first), n, None)):
                 if x < z:
                     to = key if side is None else int.from_bytes(hashlib.blake2b(name + side, digest_size=8).digest(), "little", signed=True)
-                    rows.append((to, side is None, th, pos, lo + x, z - x, raw[x:z - 1 + SIZE]))
+                    rows.append((to, side is None, True, th, pos, lo + x, z - x, raw[x:z - 1 + SIZE]))
         if rows:
-            types = [pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["key", "whole", "th", "pos", "lo", "n", "bytes"])
+            types = [pa.int64(), pa.bool_(), pa.bool_(), *[pa.int64()] * 4, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+@lean
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (th, spans): overlapping spans of a text made one."""
+    for b in batches:
+        out = []
+        for spans in b.column(1).to_pylist():
+            runs: list[dict] = []
+            for a, z in sorted((s["a"], s["z"]) for s in spans):
+                if runs and a <= runs[-1]["z"]:
+                    runs[-1]["z"] = max(runs[-1]["z"], z)
+                else:
+                    runs.append({"a": a, "z": z})
+            out.append(runs)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())])))], names=["th", "spans"])
 
 
 def _compare(key, parts, th, lo, n, data: bytes, sizes) -> Iterator[pa.RecordBatch]:
@@ -404,24 +430,21 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         met = scratch.table(met.select("th", F.struct("pos", "lo", "n", "key").alias("p")), "met")
         places = met.groupBy(F.col("th").alias("pt")).agg(F.collect_set("p").alias("places"))
         around = single.join(places, F.col("th") == F.col("pt")).select("th", "text", "places").mapInArrow(_contexts, _CONTEXT).join(repeated, F.col("key") == F.col("k"))
-    fields = ["key", "th", "pos", "lo", "n", "bytes"]
-    frequent = repeated.where("parts > 1")
-    if frequent.isEmpty():
-        around = around.select(*fields, F.lit(1).alias("parts"))
-    else:
-        plain = around.where("parts = 1").select(*fields, F.lit(1).alias("parts"))
-        split = scratch.table(around.where("parts > 1").select(*fields).mapInArrow(_apart, _CONTEXT.replace("th ", "whole boolean, th ", 1)), "apart")
-        still = split.groupBy(F.col("key").alias("k2"), F.col("whole").alias("w2")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-        split = split.join(scratch.table(still, "still"), (F.col("key") == F.col("k2")) & (F.col("whole") == F.col("w2"))).select(*fields, "parts")
-        around = plain.unionByName(split)
-    around = around.select("key", F.pmod(F.xxhash64("th", "pos"), F.col("parts")).cast("int").alias("part"), "parts", "th", "lo", "n", "bytes")
+    around = around.select("key", "th", "pos", "lo", "n", "bytes", (F.col("parts") > 1).alias("often")).mapInArrow(_apart, _AROUND)
+    around = scratch.table(around, "around")
+    still = around.where("often").groupBy(F.col("key").alias("k2"), F.col("whole").alias("w2")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")).where("parts > 1")
+    still = scratch.table(still, "still")
+    around = around.join(F.broadcast(still) if few(still) else still, F.col("often") & (F.col("key") == F.col("k2")) & (F.col("whole") == F.col("w2")), "left")
+    parts = F.coalesce("parts", F.lit(1))
+    around = around.select("key", F.pmod(F.xxhash64("th", "pos"), parts).cast("int").alias("part"), parts.alias("parts"), "th", "lo", "n", "bytes")
     around = around.repartition("key", "part").sortWithinPartitions("key", "part")
     found = scratch.table(around.mapInArrow(_groups, "kind int, th long, a long, z long, h long"), "found")
+    scratch.drop("around")
 
     apart = found.where("kind > 0").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select(F.col("h").alias("hh"))
     across = found.where("kind = 1").join(apart, F.col("h") == F.col("hh")).select("th", "a", "z")
     spans = found.where("kind = 0").select("th", "a", "z").union(across)
-    spans = spans.groupBy("th").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
+    spans = spans.groupBy("th").agg(F.collect_set(F.struct("a", "z")).alias("spans")).mapInArrow(_merged, "th long, spans array<struct<a:long,z:long>>")
     known = spans.join(copied, F.col("th") == F.col("ct"), "full").select(F.coalesce("th", "ct").alias("t"), "copies", F.when(F.col("copies").isNull(), F.col("spans")).alias("spans"))
     known = scratch.table(known, "known")
     small = few(known) and known.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).first().n <= FEW
