@@ -91,7 +91,7 @@ def declared_over_inferred(declared: DataFrame, inferred: DataFrame, keys: list[
 
 
 def opposite_actions(effects: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Unordered pairs of units with opposite actions on the same resource and target."""
+    """Unordered pairs of units with opposite actions on the same resource and target, one row a pair; see opposed_groups for large groups."""
     both = effects.sparkSession.createDataFrame([p for a, b in pairs for p in ((a, b), (b, a))], "action string, opposite string")
     a = effects.join(F.broadcast(both), "action").select(F.col("unit").alias("a"), "action", "opposite", "resource", "target")
     b = effects.select(F.col("unit").alias("b"), F.col("action").alias("other"), F.col("resource").alias("r"), F.col("target").alias("t"))
@@ -99,6 +99,18 @@ def opposite_actions(effects: DataFrame, pairs: list[tuple[str, str]]) -> DataFr
     return hit.select(F.least("a", "b").alias("first_unit"), F.greatest("a", "b").alias("second_unit"), "resource", "target").distinct()
 
 
+def opposed_groups(effects: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(resource, target, left_action, right_action, n_left, n_right, left_unit, right_unit): one row for each resource and target that both actions of a pair meet on, with the number of units and the least of each side.
+
+    Partial aggregates alone: as many rows as resources, however many units meet there.
+    """
+    sides = effects.sparkSession.createDataFrame([(*p, a == p[0], a) for p in pairs for a in p], "left_action string, right_action string, is_left boolean, action string")
+    met = effects.where("target is not null").join(F.broadcast(sides), "action").select("unit", "resource", "target", "left_action", "right_action", "is_left").distinct()
+    left, right = F.when(F.col("is_left"), F.col("unit")), F.when(~F.col("is_left"), F.col("unit"))
+    out = met.groupBy("resource", "target", "left_action", "right_action").agg(F.count(left).alias("n_left"), F.count(right).alias("n_right"), F.min(left).alias("left_unit"), F.min(right).alias("right_unit"))
+    return out.where("n_left > 0 and n_right > 0")
+
+
 def changed_between(before: DataFrame, after: DataFrame, key: str, column: str) -> DataFrame:
     """Keys of both snapshots whose value differs, both values beside."""
     b = after.select(F.col(key).alias("_k"), F.col(column).alias("after"))

@@ -150,6 +150,16 @@ def conflicting_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.opposite_actions(effects, [("click", "purchase")])
 
 
+@query("""
+    SELECT user_id AS resource, CAST(round(value) AS BIGINT) AS target, 'click' AS left_action, 'purchase' AS right_action, count(*) FILTER (WHERE event_type = 'click') AS n_left, count(*) FILTER (WHERE event_type = 'purchase') AS n_right,
+           min(event_id) FILTER (WHERE event_type = 'click') AS left_unit, min(event_id) FILTER (WHERE event_type = 'purchase') AS right_unit
+    FROM events WHERE value IS NOT NULL GROUP BY 1, 2 HAVING count(*) FILTER (WHERE event_type = 'click') > 0 AND count(*) FILTER (WHERE event_type = 'purchase') > 0
+""")
+def conflicting_effect_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    effects = table(spark, sf_dir, "events").select(F.col("event_id").alias("unit"), F.col("event_type").alias("action"), F.col("user_id").alias("resource"), F.round("value").cast("long").alias("target"))
+    return reconcile.opposed_groups(effects, [("click", "purchase")])
+
+
 @query("""
     WITH a AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS v FROM customer WHERE c_custkey % 3 <> 0),
     b AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END AS id, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN 'other' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 7 <> 0),
