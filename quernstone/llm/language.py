@@ -114,11 +114,12 @@ class Parser:
             root = np.where(t[0] >= 0, t[0], 0)
             ends = t < 0
             goes = np.where(ends, root[None, :], t)
-            tables.append((((goes * self.classes + base) << 1) | ends).astype(np.int32).ravel())
+            tables.append(((goes.astype(np.int64) * self.classes + base) << 1 | ends).ravel())
             self.roots.append(base)
             self.weight.append(np.log2(max(len(codes), 2)))
             base += t.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        kind = np.int32 if 2 * base < 2**31 else np.int64  # several hundred languages need more
+        self.table = np.concatenate([t.astype(kind) for t in tables]) if tables else np.zeros(0, np.int32)
         self.weight = np.array(self.weight)
 
     def phrases(self, codes: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -139,7 +140,7 @@ class Parser:
         for t in range(size[0]):
             columns[t, : active[t]] = codes[start[: active[t]] + t]
         for k, root in enumerate(self.roots):
-            state = np.full(len(start), root, np.int32)
+            state = np.full(len(start), root, self.table.dtype)
             count = np.ones(len(start), np.int32)
             for t in range(size[0]):
                 m = active[t]

@@ -243,6 +243,30 @@ def test_language_of_held_out_texts(spark):
     assert {r.lang_pred for r in language.add_language(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_phrases_are_longest_matches():
+    sample = {"aa": prose(200, "abcde"), "bb": prose(200, "defgh")}
+    parser = language.Parser(sample)
+    code = lambda t: parser.lut[np.frombuffer(t.encode("utf-32-le"), np.uint32)]
+    plain = {k: bytes(code(t)) for k, t in sample.items()}
+    for text in (prose(60, "abcdefgh"), prose(2, "ab"), "a", prose(300, "defg")):
+        codes = code(text)
+        got = parser.phrases(codes, np.array([0, len(codes)]))[0]
+        for k, lang in enumerate(parser.langs):
+            n = 0
+            for a in range(0, len(codes), language.BLOCK):
+                block, at = bytes(codes[a:a + language.BLOCK]), 0
+                n += 1
+                while at < len(block):
+                    size = 0
+                    while at + size < len(block) and block[at:at + size + 1] in plain[lang]:
+                        size += 1
+                    if at + size >= len(block):
+                        break
+                    n += 1  # the character that ends a phrase begins the next one, or stands alone
+                    at += size + (block[at + size:at + size + 1] not in plain[lang])
+            assert got[k] == n, (lang, got[k], n)
+
+
 def test_lines_on_many_sites_go(spark):
     texts = [f"own {prose(8)}\nshared line here\n\nlast {prose(9)}" for _ in range(11)] + [None, "", "shared line here", "few sites\nother " + prose(5), "few sites\nanother " + prose(5)]
     got = {r.doc_id: r for r in lines.line_dedup(documents(spark, texts)).collect()}
