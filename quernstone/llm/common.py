@@ -43,14 +43,6 @@ def shared_base(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_base(df.sparkSession))
-    return df.checkpoint()
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's path for intermediate tables that all executors share."""
     return f"{shared_base(spark)}/{spark.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 62):x}"
