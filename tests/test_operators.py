@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import scalars as s
-from quernstone.operators import analysis, graph, history, reconcile, rules
+from quernstone.operators import graph, history, reconcile, rules
 from quernstone.operators.store import Conflict, Store, table_digest
 from quernstone.sources import files
 from quernstone.streaming import watch
