@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .common import read_table
 from .decontaminate import contaminated
+from .fim import FIM_RATE, SPM_RATE, fill_in_middle, restored
+from .fim import SEED as FIM_SEED
 from .jaccard import jaccard_components
 from .language import add_language, held_out
 from .licenses import license_scan
@@ -69,6 +71,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    back = restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(back).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -80,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -111,4 +121,22 @@ ORACLE_SQL: dict[str, str] = {
                sha256(CASE WHEN d.n_hit > 0 AND d.n_own > 0 THEN d.kept ELSE coalesce(o.text, '') END) AS text_sha256
         FROM documents o LEFT JOIN d ON o.doc_id = d.doc_id
     """,
+    "op13_fill_in_middle": f"""
+        WITH h AS (
+          SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+                 list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(sha256('{FIM_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), i, 8) AS BIGINT)) AS h
+          FROM documents),
+        c AS (
+          SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                 CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= {FIM_RATE} THEN 'plain'
+                      WHEN h[4] % 100 < {SPM_RATE} THEN 'spm' ELSE 'psm' END AS form
+          FROM h),
+        p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text
+                      WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
 }
