@@ -16,6 +16,7 @@ from .jaccard import jaccard_components
 from .language import add_language, held_out
 from .licenses import license_scan
 from .lines import MIN_SITES, line_dedup
+from .manifest import FANOUT, verified_manifest
 from .secrets import find_secrets
 from .substrings import substring_dedup
 from .tokenfile import token_file
@@ -71,6 +72,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(damaged, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return verified_manifest(read_table(spark, sf_dir, "documents"), tampered)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     sha = lambda x: F.sha2(x.cast("binary"), 256)
@@ -89,9 +96,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
+def _crc32_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII string: eight shifts a byte with the reflected polynomial 0xEDB88320."""
+    bits = "list_reduce(list_concat([xor(a, c)], CAST(range(8) AS UBIGINT[])), lambda s, i: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384::UBIGINT) ELSE s >> 1 END)"
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS UBIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295::UBIGINT], {codes}), lambda a, c: {bits}), 4294967295::UBIGINT)"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return "sha256(" + " || ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen({f}) || ':' || {f} END" for f in fields) + ")"
+
+
+def _siblings_sql(node: str) -> str:
+    """Digests before and after a node in its run."""
+    run = f"PARTITION BY grp, level, idx // {FANOUT} ORDER BY idx ROWS BETWEEN"
+    return f"""SELECT grp, level, idx, coalesce(string_agg(digest, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+               coalesce(string_agg(digest, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM {node} WHERE n > 1"""
+
+
+def _climb_sql(name: str, start: str) -> str:
+    return f"""{name}(grp, level, idx, digest, n) AS (
+          {start}
+          UNION ALL
+          SELECT grp, level + 1, idx // {FANOUT}, sha256(string_agg(digest, '' ORDER BY idx)), max((n + {FANOUT - 1}) // {FANOUT})
+          FROM {name} WHERE n > 1 GROUP BY grp, level, idx // {FANOUT})"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_top_k": f"""
         WITH v AS (
@@ -121,6 +156,29 @@ ORACLE_SQL: dict[str, str] = {
                sha256(CASE WHEN d.n_hit > 0 AND d.n_own > 0 THEN d.kept ELSE coalesce(o.text, '') END) AS text_sha256
         FROM documents o LEFT JOIN d ON o.doc_id = d.doc_id
     """,
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE d AS (
+          SELECT *, CASE WHEN {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS now FROM documents),
+        l AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS grp, {_leaf_sql("text")} AS leaf, {_leaf_sql("now")} AS leaf_now FROM d),
+        p AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM l),
+        {_climb_sql("tree", "SELECT grp, 0, idx, leaf, n FROM p")},
+        subs AS (SELECT grp AS of, level AS height, digest, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM tree WHERE n = 1),
+        {_climb_sql("top", "SELECT '', 0, idx, digest, n FROM subs")},
+        s1 AS ({_siblings_sql("tree")}),
+        s2 AS ({_siblings_sql("top")}),
+        w1(doc_id, leaf, grp, level, idx, acc, proof) AS (
+          SELECT doc_id, leaf, grp, 0, idx, leaf_now, '' FROM p
+          UNION ALL
+          SELECT w.doc_id, w.leaf, w.grp, w.level + 1, w.idx // {FANOUT}, sha256(s.before || w.acc || s.after), w.proof || s.before || s.after
+          FROM w1 w JOIN s1 s ON w.grp = s.grp AND w.level = s.level AND w.idx = s.idx),
+        w2(doc_id, leaf, subroot, level, idx, acc, proof) AS (
+          SELECT w.doc_id, w.leaf, subs.digest, 0, subs.idx, w.acc, w.proof FROM w1 w JOIN subs ON w.grp = subs.of AND w.level = subs.height
+          UNION ALL
+          SELECT w.doc_id, w.leaf, w.subroot, w.level + 1, w.idx // {FANOUT}, sha256(s.before || w.acc || s.after), w.proof || s.before || s.after
+          FROM w2 w JOIN s2 s ON w.level = s.level AND w.idx = s.idx)
+        SELECT w.doc_id, w.leaf, w.subroot, r.digest AS root, sha256(w.proof) AS proof_sha256, w.acc AS folded_root, w.acc = r.digest AS verified
+        FROM w2 w JOIN top r ON r.n = 1 AND w.level = r.level
+    """,
     "op13_fill_in_middle": f"""
         WITH h AS (
           SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
