@@ -18,6 +18,7 @@ from .licenses import license_scan
 from .lines import MIN_SITES, line_dedup
 from .manifest import FANOUT, verified_manifest
 from .secrets import find_secrets
+from .simhash import hex_digits, simhash_components
 from .substrings import substring_dedup
 from .tokenfile import token_file
 from .topk import K, QUERY_STEP, SCALE, exact_top_k
@@ -78,6 +79,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(read_table(spark, sf_dir, "documents"), tampered)
 
 
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_components(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     sha = lambda x: F.sha2(x.cast("binary"), 256)
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_simhash_near_dedup": op12_simhash_near_dedup,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
