@@ -19,7 +19,7 @@ def blocked_reason(requests: DataFrame, safe_kinds: list[str]) -> DataFrame:
     for field, value in EVIDENCE.items():
         match = match & (e[field] == value)
     mechanical = F.col("source").isin(MECHANICAL_SOURCES) & F.col("kind").isin(safe_kinds)
-    needs = F.when(mechanical & F.coalesce(match, F.lit(False)), None).when(mechanical, "Safe mechanical update requires exact one-to-one evidence.").otherwise("Blueprint Engine requires human confirmation for this change.")
+    needs = F.when(mechanical & F.coalesce(match, F.lit(False)), None).when(mechanical, "The evidence does not name exactly one match.").otherwise("A person has to confirm this change.")
     return requests.withColumn("reason", F.when(~F.coalesce("human_confirmed", F.lit(False)), needs))
 
 

@@ -109,7 +109,7 @@ FILTERS = {
     "duplicate": ["DUPLICATE_ACTIVE_PROFILE", "DUPLICATE_PROFILE_REVIEW", "DUPLICATE_BLOCK_ID", "NORMALIZED_AST_CLONE", "SAME_RETURN_EXPRESSION", "TRIVIAL_WRAPPER", "SAME_OUTCOME", "SIMILAR_OUTCOME", "CONFLICTING_EFFECT"],
     "clone": ["NORMALIZED_AST_CLONE", "SAME_RETURN_EXPRESSION"], "wrapper": ["TRIVIAL_WRAPPER"],
     "effect": ["SAME_OUTCOME", "SIMILAR_OUTCOME", "CONFLICTING_EFFECT", "UNCLASSIFIED_EXTERNAL_EFFECT"], "outcome": ["SAME_OUTCOME", "SIMILAR_OUTCOME", "CONFLICTING_EFFECT"],
-    "secret": ["BLUEPRINT_SECRET_LIKE_VALUE"], "invalid": ["INVALID_STATUS", "INCOMPLETE_BLOCK", "INVALID_BLUEPRINT"],
+    "secret": ["SECRET_LIKE_VALUE"], "invalid": ["INVALID_STATUS", "INCOMPLETE_BLOCK", "INVALID_DOCUMENT"],
 }
 
 

@@ -217,17 +217,17 @@ def duplicate_keys(units: DataFrame) -> DataFrame:
     returned = F.col("return_hash")
     plain = ((F.size(_list("reads")) > 0) & (F.size(_list("provenance")) == 0)) | returned.rlike("^(none|true|false)")
     rules = [
-        _key(function & hard.isNotNull(), F.concat_ws("|", hard.action, hard.resource, hard.target), "strong", F.concat(F.lit("hard signal: "), hard.evidence)),
-        _key(function & strong_outcome(), F.concat_ws("|", "action", "resource", star("target"), star("output")), "strong", "hard signal: direct observable outcome"),
-        _key(function & wrapper & (F.coalesce(F.col("wrapper_target"), F.lit("")) != "") & (F.size(children) == 0), F.concat_ws("|", F.lit("wrapper"), F.lit("call"), "wrapper_target"), "strong", "hard signal: trivial wrapper target"),
-        _key(child.isNotNull() & delegates, F.concat(F.lit("delegate|"), target, F.lit("|child:"), child), "strong", "delegating wrapper inherits strong child profile"),
-        _key(child.isNotNull() & (interface != "") & (F.size(resolved) == 1), F.concat(F.lit("child|"), child, F.lit("|interface:"), interface), "weak", "same child profile through a non-wrapper boundary"),
-        _key(child.isNotNull(), F.concat(F.lit("child|"), child), "weak", "inherits child profile but parent boundary is not trivial"),
-        _key(function & (F.size(parts) >= 3) & anchor, F.concat(F.lit("composite|"), F.array_join(parts, "|")), "weak", "multiple compatible medium signals"),
-        _key(returned.isNotNull() & ~F.coalesce(plain, F.lit(False)), F.concat(F.lit("return|"), returned), "weak", "same non-generic return expression"),
-        _key(F.col("body_hash").isNotNull(), F.concat(F.lit("structure|"), F.col("body_hash")), "weak", "same normalized structure"),
+        _key(function & hard.isNotNull(), F.concat_ws("|", hard.action, hard.resource, hard.target), "strong", F.concat(F.lit("seen: "), hard.evidence)),
+        _key(function & strong_outcome(), F.concat_ws("|", "action", "resource", star("target"), star("output")), "strong", "its outcome can be seen directly"),
+        _key(function & wrapper & (F.coalesce(F.col("wrapper_target"), F.lit("")) != "") & (F.size(children) == 0), F.concat_ws("|", F.lit("wrapper"), F.lit("call"), "wrapper_target"), "strong", "it wraps one call"),
+        _key(child.isNotNull() & delegates, F.concat(F.lit("delegate|"), target, F.lit("|child:"), child), "strong", "it hands on to a child with a strong key"),
+        _key(child.isNotNull() & (interface != "") & (F.size(resolved) == 1), F.concat(F.lit("child|"), child, F.lit("|interface:"), interface), "weak", "it calls one child with a strong key behind an interface"),
+        _key(child.isNotNull(), F.concat(F.lit("child|"), child), "weak", "it calls a child with a strong key, among others"),
+        _key(function & (F.size(parts) >= 3) & anchor, F.concat(F.lit("composite|"), F.array_join(parts, "|")), "weak", "several signals of middling weight agree"),
+        _key(returned.isNotNull() & ~F.coalesce(plain, F.lit(False)), F.concat(F.lit("return|"), returned), "weak", "it returns the same expression"),
+        _key(F.col("body_hash").isNotNull(), F.concat(F.lit("structure|"), F.col("body_hash")), "weak", "its structure is the same"),
     ]
-    nothing = F.struct(*[F.lit(v).cast("string").alias(n) for n, v in (("duplicate_key", None), ("duplicate_hash", None), ("strength", "unknown"), ("reason", "no useful duplicate signal"))])
+    nothing = F.struct(*[F.lit(v).cast("string").alias(n) for n, v in (("duplicate_key", None), ("duplicate_hash", None), ("strength", "unknown"), ("reason", "nothing tells it apart"))])
     return df.withColumn("keys", F.coalesce(*rules, nothing)).drop("_hard", "_child")
 
 

@@ -14,8 +14,8 @@ K = "p_partkey"
 
 
 @query("""
-    SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN 'Blueprint Engine requires human confirmation for this change.'
-      WHEN p_type = 'ECONOMY' AND p_size <= 25 THEN NULL WHEN p_type = 'ECONOMY' THEN 'Safe mechanical update requires exact one-to-one evidence.' ELSE 'Blueprint Engine requires human confirmation for this change.' END AS reason
+    SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN 'A person has to confirm this change.'
+      WHEN p_type = 'ECONOMY' AND p_size <= 25 THEN NULL WHEN p_type = 'ECONOMY' THEN 'The evidence does not name exactly one match.' ELSE 'A person has to confirm this change.' END AS reason
     FROM part
 """)
 def request_safety(spark: SparkSession, sf_dir: str) -> DataFrame:

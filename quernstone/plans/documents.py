@@ -145,8 +145,15 @@ def timestamps_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # secrets
 
 _WORDS_SQL = r"(regexp_matches(lower(value), '\b(?:password|passwd|secret|token|credential|credentials|bearer|jwt)\b') OR regexp_matches(lower(value), 'api_key|apikey|private_key|database_url|connection_string|access_key|refresh_token|client_secret'))"
-_MATERIAL_SQL = " OR ".join(["regexp_matches(value, '(?i)" + p.replace("'", "''") + "')" for p in security.MATERIAL])
-_ASSIGNED_SQL = "len(list_filter(regexp_extract_all(value, '(?i)" + security.ASSIGNMENT.replace("'", "''") + "', 1), lambda v: v NOT IN ('None', 'True', 'False', 'str', 'bytes', '''''', '\"\"') AND NOT regexp_matches(trim(v, '\"'''), '^\\{\\{\\s*[A-Za-z_]\\w*(\\.[A-Za-z_]\\w*)*\\s*\\}\\}$'))) > 0"
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_MATERIAL_SQL = " OR ".join(["regexp_matches(value, " + _quoted(f"(?i){shape}") + ")" for _, shape in security.SHAPES])
+_PLAIN_SQL = "value"
+for _pattern, _to in security.PLAINER:
+    _PLAIN_SQL = f"regexp_replace({_PLAIN_SQL}, {_quoted(_pattern)}, {_quoted(_to)}, 'g')"
+_ASSIGNED_SQL = f"regexp_matches({_PLAIN_SQL}, {_quoted(security.ASSIGNED)})"
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, text AS value FROM documents) WHERE {_MATERIAL_SQL} OR {_ASSIGNED_SQL}")
@@ -175,9 +182,9 @@ def leaf_secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
-    SELECT doc_id, 'blueprint.page.parts[0].lines[' || i || ']' AS path, value, 'secret_value' AS code FROM l WHERE {_WORDS_SQL} OR {_MATERIAL_SQL} OR {_ASSIGNED_SQL}
-    UNION ALL SELECT doc_id, 'blueprint.page.parts[0].lines[' || i || ']', value, 'absolute_path' FROM l WHERE regexp_matches(trim(value), '^(/|\\\\[\\\\/]|.:[\\\\/])')
-    UNION ALL SELECT doc_id, 'blueprint.page.api_key', 'n' || doc_id, 'secret_field' FROM documents
+    SELECT doc_id, 'document.page.parts[0].lines[' || i || ']' AS path, value, 'secret_value' AS code FROM l WHERE {_WORDS_SQL} OR {_MATERIAL_SQL} OR {_ASSIGNED_SQL}
+    UNION ALL SELECT doc_id, 'document.page.parts[0].lines[' || i || ']', value, 'absolute_path' FROM l WHERE regexp_matches(trim(value), '^(/|\\\\[\\\\/]|.:[\\\\/])')
+    UNION ALL SELECT doc_id, 'document.page.api_key', 'n' || doc_id, 'secret_field' FROM documents
 """)
 def nested_secret_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.struct(F.split("text", "\n").alias("lines"))
