@@ -61,6 +61,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    at, fs = _at(spark, path)
+    return fs.exists(at) and fs.getFileStatus(at).isFile()
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none if it is not there."""
     at, fs = _at(spark, path)

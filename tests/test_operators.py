@@ -5,7 +5,6 @@ from quernstone.functions import scalars as s
 from quernstone.operators import graph, history, reconcile, rules
 from quernstone.operators.store import Conflict, Store, table_digest
 from quernstone.sources import files
-from quernstone.streaming import watch
 
 
 def one(spark, column):
@@ -85,19 +84,6 @@ def test_store_round_trip_conflicts_and_reorder(spark, tmp_path):
     assert a == b and {r.uid: r.fields for r in store.read(1).collect()}["u1"] == {"a": "1"}
 
 
-def test_streams_are_idempotent(spark, tmp_path):
-    src, out = str(tmp_path / "in"), str(tmp_path / "ledger")
-    spark.createDataFrame([(1, "a"), (2, "b"), (1, "a")], "event_id int, v string").write.parquet(src)
-    for run in range(2):
-        changes = watch.read_changes(spark, src, "event_id int, v string")
-        watch.consume_outbox(changes, out, str(tmp_path / f"cp{run}")).awaitTermination(120)
-        assert spark.read.parquet(out).count() == 2
-    emitted = []
-    q = watch.watch(watch.read_changes(spark, src, "event_id int, v string", files_per_batch=1), lambda df: df.select("v").distinct().limit(0), lambda df, e: emitted.append(e), str(tmp_path / "cw"))
-    q.awaitTermination(120)
-    assert len(emitted) == 1
-
-
 def test_sources(spark, tmp_path):
     (tmp_path / "t" / "build").mkdir(parents=True)
     (tmp_path / "t" / "a.py").write_text("x = 1\n")
