@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .publish import work_folder
+
 #: Relationships that watch or govern and carry no load.
 CONTROL = ["observes", "monitors", "scales_on", "governed_by", "policy_for"]
 MAX_DEPTH = 24
@@ -17,14 +16,10 @@ def _cut(df: DataFrame) -> DataFrame:
     """Cut a loop's lineage: write df in the folder that the cluster names, and read it again.
 
     A table that is read carries no inferred constraints, which would pile up over the rounds.
+    It stays until publish.clean(), or until the session ends.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='rounds')}"
-    path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-{uuid4().hex}"
+    path = f"{work_folder(spark)}/rows"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

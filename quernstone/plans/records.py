@@ -206,8 +206,7 @@ def compacted_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x.rlike("^[a-z][a-z0-9]*$"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", words.alias("tokens"))
-    profile, items = analysis.gram_profile(docs, "lang", "tokens"), analysis.gram_profile(docs, "doc_id", "tokens")
-    scores = analysis.profile_scores(items, profile, "doc_id", "lang").withColumn("score", F.col("score").cast("double"))
+    scores = analysis.label_scores(docs, "doc_id", "lang", "tokens").withColumn("score", F.col("score").cast("double"))
     return analysis.top_labels(scores, "doc_id", "lang")
 
 

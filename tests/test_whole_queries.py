@@ -1,7 +1,9 @@
 import random
 from collections import Counter, defaultdict
 
-from quernstone.operators import graph
+from pyspark.sql import functions as F
+
+from quernstone.operators import analysis, graph
 from quernstone.plans import QUERIES
 
 R = random.Random(3)
@@ -20,6 +22,15 @@ def test_profiles_take_all_words_of_all_documents(spark, tmp_path):
     assert got == {k: v for k, v in want.items() if v >= 6}
 
 
+def test_scores_of_items_in_several_rows(spark):
+    rows = [(1, "a", ["x", "y", "x"]), (2, "b", ["x", "y"]), (3, None, []), (4, "b", None), (5, None, ["y", "x", "y"])]
+    once = spark.createDataFrame(rows, "item int, label string, words array<string>")
+    general = lambda df: analysis.profile_scores(analysis.gram_profile(df, "item", "words"), analysis.gram_profile(df, "label", "words"), "item", "label")
+    for df in (once, once.unionByName(once.where("item = 1").withColumn("label", F.lit("b")))):
+        assert {tuple(r) for r in analysis.label_scores(df, "item", "label", "words").collect()} == {tuple(r) for r in general(df).collect()}
+    assert analysis.label_scores(once.limit(0), "item", "label", "words").count() == 0
+
+
 def test_similar_outcomes_look_at_every_unit(spark, tmp_path):
     rows = [(i, u, a, v) for i, (u, a, v) in enumerate([(1, "x", 3.5), (2, "x", 3.1), (3, "x", 3.9), (4, "x", 4.0)] * 4 + [(u, "y", 7.0) for u in range(30)] + [(5, "x", 4.2), (6, "x", None)])]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
