@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 
 from quernstone.llm.queries import QUERIES
-from quernstone.llm.secrets import PATTERNS, Forest, candidates, covered, dictionary, features, find_secrets, labelled_findings, train
+from quernstone.llm.secrets import PATTERNS, Forest, candidates, covered, dictionary, features, find_secrets, held_out, labelled_findings, quality, train, trained
 from quernstone.llm.topk import exact_top_k
 
 
@@ -140,3 +140,48 @@ def walk(tree, x):
     while tree[at, 0] >= 0:
         at = int(tree[at, 2] if x[int(tree[at, 0])] <= tree[at, 1] else tree[at, 3])
     return tree[at, 4]
+
+
+FINDING = "value string, before string, after string, path string, kind string, label int"
+
+
+def test_a_forest_learns_from_the_labels_that_are_given(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = labelled_findings(1200, seed=21, words=dictionary(path))
+    odd = [("v", None, "a", "p", "assignment", 1), ("v", "b", "a", "p", "other", 1), ("v", "b", "a", "p", "assignment", 7)]
+    forest, judged = trained(spark.createDataFrame(rows + odd, FINDING), path)
+    assert 200 < judged["n"] < 400 and judged["precision"] > 0.95 and judged["recall"] > 0.95
+    turned = spark.createDataFrame([(*r[:5], 1 - r[5]) for r in rows], FINDING)
+    upside_down, _ = trained(turned, path)
+    docs = spark.createDataFrame([(1, "s", "password=b7db7aa4a5fcc78305 and so on"), (2, "s", "password=changeme and so on")], "doc_id long, source string, text string")
+    for model, want in ((forest, {1: True, 2: False}), (upside_down, {1: False, 2: True})):
+        assert {r.doc_id: r.is_secret for r in find_secrets(docs, model, path).collect()} == want
+    with pytest.raises(ValueError, match="labelled"):
+        trained(spark.createDataFrame([r for r in rows if r[5]], FINDING))
+
+
+def test_quality_and_the_part_held_out():
+    rows = labelled_findings(900, seed=33)
+    learns, judges = held_out(rows)
+    assert len(learns) + len(judges) == 900 and 150 < len(judges) < 300 and not {r[:5] for r in judges} & {r[:5] for r in learns}
+    never, always = (Forest([np.array([[-1, 0.0, 0, 0, share]])]) for share in (0.0, 1.0))
+    secrets = sum(r[5] for r in judges)
+    assert quality(never, judges) == {"n": len(judges), "secrets": secrets, "precision": 1.0, "recall": 0.0}
+    assert quality(always, judges) == {"n": len(judges), "secrets": secrets, "precision": secrets / len(judges), "recall": 1.0}
+
+
+def test_look_alikes_in_prose_are_rejected(spark):
+    """Values that the default forest has not seen, in sentences: placeholders, words and code, and drawn credentials."""
+    r = random.Random(77)
+    draw = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    hexa, alnum = "0123456789abcdef", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    words = ["river", "garden", "mountain", "window", "silver", "morning", "market", "harbour"]
+    fake = [f"{r.choice(words)}{r.choice(words).title()}" for _ in range(40)] + [f"your-{r.choice(words)}-here" for _ in range(20)] + ["x" * n for n in range(8, 18)] + ["0" * n for n in range(8, 18)]
+    real = [draw(hexa, r.randint(20, 40)) for _ in range(40)] + [draw(alnum, r.randint(16, 32)) for _ in range(40)]
+    rows = [(i, "src3", f"The page tells of the {r.choice(words)}. {r.choice(['password=', 'token = ', 'api_key: '])}{v} and the {r.choice(words)} goes on.") for i, v in enumerate(fake + real)]
+    found = find_secrets(spark.createDataFrame(rows, "doc_id long, source string, text string"), vocabulary=public_tokenizers.path("byte_bpe_50k.json")).collect()
+    said = {x.doc_id: x.is_secret for x in found}
+    assert len(said) == len(rows)
+    false_alarms, caught = sum(said[i] for i in range(len(fake))), sum(said[i] for i in range(len(fake), len(rows)))
+    print("look-alikes rejected", 1 - false_alarms / len(fake), "credentials caught", caught / len(real))
+    assert false_alarms <= 0.05 * len(fake) and caught >= 0.95 * len(real)
