@@ -43,9 +43,24 @@ def shared_base(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Folders of intermediate tables, by application.
+_MADE: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path for intermediate tables that all executors share."""
-    return f"{shared_base(spark)}/{spark.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 62):x}"
+    """A new folder's path for intermediate tables that all executors share; it stays until clean()."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_base(spark)}/{app}-{np.random.default_rng().integers(1 << 62):x}"
+    _MADE.setdefault(app, []).append(folder)
+    return folder
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete what the operators of this session still keep, results included, and tell how many folders; results must be written elsewhere before."""
+    folders = _MADE.pop(spark.sparkContext.applicationId, [])
+    for f in folders:
+        remove_folder(spark, f)
+    return len(folders)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

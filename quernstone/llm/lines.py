@@ -44,9 +44,10 @@ def boilerplate_keys(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     sure = F.col("estimate") > min_sites * (1 + MARGIN)
     near = spread.where(~sure).select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("site"), F.lit(SALTS)).cast("int"))
-    pairs = salted.select("k1", "k2", "salt", "site").distinct()
-    exact = pairs.join(near, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")) & (pairs["salt"] == near["salt"]), "left_semi")
-    exact = exact.groupBy("k1", "k2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    # lines near the threshold alone are made distinct by site
+    near = near.withColumnRenamed("salt", "near_salt")
+    pairs = salted.select("k1", "k2", "salt", "site").join(near, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")) & (F.col("salt") == F.col("near_salt")), "left_semi")
+    exact = pairs.distinct().groupBy("k1", "k2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     return spread.where(sure).select("k1", "k2").unionByName(exact.select("k1", "k2"))
 
 

@@ -7,7 +7,7 @@ pytest.importorskip("tokenizers")
 import corpus_pipeline  # noqa: E402
 import public_tokenizers  # noqa: E402
 
-from quernstone.llm import bpe, decontaminate, jaccard, language, licenses, lines, secrets, substrings, tokenfile, topk  # noqa: E402
+from quernstone.llm import bpe, common, decontaminate, fim, jaccard, language, licenses, lines, manifest, secrets, simhash, substrings, tokenfile, topk  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 #: Columns of documents, and beside them names that operators use inside or give.
@@ -30,6 +30,9 @@ OPERATORS = {
     "clean": lambda docs: decontaminate.clean(docs, bench(docs.sparkSession)),
     "contaminated": lambda docs: decontaminate.contaminated(docs, bench(docs.sparkSession)),
     "secrets": lambda docs: secrets.find_secrets(docs),
+    "manifest": lambda docs: manifest.verified_manifest(docs),
+    "simhash": lambda docs: simhash.simhash_components(docs),
+    "fill_in_middle": lambda docs: fim.fill_in_middle(docs),
 }
 LONG = [" ".join(f"word{i * 7919 % 100_003}" for i in range(140_000)), "x" * 1_300_000, "ab \n" * 400_000]
 
@@ -66,6 +69,15 @@ def test_very_long_texts(spark, name):
     assert n == (0 if name in ("contaminated", "secrets") else 4)
 
 
+def test_clean_deletes_what_operators_keep(spark):
+    docs = spark.createDataFrame(rows(["a b c d e f", "a b c d e f"]), SCHEMA)
+    n = jaccard.jaccard_components(docs).count()
+    folders = list(common._MADE[spark.sparkContext.applicationId])
+    assert n == 2 and folders and common.clean(spark) == len(folders) and common.clean(spark) == 0
+    at = spark._jvm.org.apache.hadoop.fs.Path(folders[-1])
+    assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def test_vectors_of_no_table_and_of_none(spark):
     schema = "vec_id long, embedding array<float>, rank string, score string"
     assert topk.exact_top_k(spark.createDataFrame([], schema)).count() == 0
