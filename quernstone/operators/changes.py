@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.scalars import canonical_json
 
+from . import digest as tree
+from .ordering import placed
+
 #: Sources of requests that need no person if the evidence is mechanical, and parts of that evidence.
 MECHANICAL_SOURCES = ["safe_mechanical_update", "controlled_refactor"]
 EVIDENCE = {"exact_content_match": True, "one_to_one_match": True, "symbol_kind_matches": True, "purpose_preserved": True, "dangerous_capability_added": False}
@@ -101,8 +104,9 @@ def intent_digests(blocks: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def intent_fingerprint(digests: DataFrame) -> DataFrame:
-    """One row: the fingerprint of all blocks' intents."""
-    return digests.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "digest"))), lambda x: F.concat_ws(":", x.id.cast("string"), x.digest)), "\n"), 256).alias("fingerprint"))
+    """One row: the fingerprint of all blocks' intents, the root of a tree over their digests in order of id; null without any."""
+    rows = placed(digests, [], ["id"], "place").select((F.col("place") - 1).alias("ordinal"), F.col("id").cast("string").alias("uid"), "digest")
+    return tree.tree(rows).where(F.col("level") == tree.HEIGHT).agg(F.max("digest").alias("fingerprint"))
 
 
 def accepted_differences(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ class Store:
     def state_at(self, revision: int) -> dict:
         """The last state of a revision, which a compaction may have made."""
         at = self.journal.last_with("revision", revision)
-        if not at or (state := self.journal.get(at))["revision"] != revision:
+        if not at or (state := self.journal.get(at))["revision"] != revision or revision < self.state().get("oldest", 1):
             raise ValueError(f"no revision {revision}")
         return state
 
@@ -347,20 +347,43 @@ class Store:
             publish.remove(self.spark, self._place(x))
         return lost
 
+    def vacuum(self, keep: int) -> list[str]:
+        """Give up all revisions but the newest `keep`, with their logs; the names of the tables that went.
+
+        What the kept revisions read stays, also where it was written before. Run
+        compact() first, so that they need no old base.
+        """
+        state = self.state()
+        oldest = max(state["revision"] - keep + 1, state.get("oldest", 1))
+        if oldest > state.get("oldest", 1):
+            state = self._publish(state, oldest=oldest)
+        kept: set[str] = set()
+        lost: set[str] = set()
+        for n in range(1, state["entry"] + 1):
+            entry = self.journal.get(n)
+            (kept if entry["revision"] >= oldest else lost).update(self._named(entry))
+        gone = [x for x in sorted(lost - kept) if publish.exists(self.spark, self._place(x))]
+        for x in gone:
+            publish.remove(self.spark, self._place(x))
+        return gone
+
     def doctor(self) -> dict[str, bool]:
         """Whether uids and ordinals are distinct, the log tells every record's last content, the stored digests are those of the records, and nothing is left over."""
         state = self.state()
         records = self._records(state)
         n = records.agg(F.count("*").alias("n"), F.countDistinct("uid").alias("u"), F.countDistinct("ordinal").alias("o")).first()
+        oldest = state.get("oldest", 1)
         told = self.log().where("uid is not null").groupBy("uid").agg(F.max_by("after", "operation").alias("after"), F.max_by("kind", "operation").alias("kind"))
         entries = lambda c: F.array_sort(F.map_entries(c))
-        apart = records.join(told.where("kind <> 'record.delete'").withColumnRenamed("uid", "of"), F.col("uid") == F.col("of"), "full_outer").where(F.col("uid").isNull() | F.col("of").isNull() | ~entries("fields").eqNullSafe(entries("after")))
+        untold = F.col("of").isNull() if oldest == 1 else F.lit(False)  # a log that has been cut does not tell of all
+        apart = records.join(told.where("kind <> 'record.delete'").withColumnRenamed("uid", "of"), F.col("uid") == F.col("of"), "full_outer").where(F.col("uid").isNull() | untold | (F.col("of").isNotNull() & ~entries("fields").eqNullSafe(entries("after"))))
         fresh = tree.tree(records.select("ordinal", "uid", tree.record_digest(F.col("uid"), F.col("fields")).alias("digest")))
         kept = self._nodes(state).where("digest is not null").select("level", "idx", "digest")
         same = fresh.exceptAll(kept).isEmpty() and kept.exceptAll(fresh).isEmpty()
         named = {x for k in range(1, state["entry"] + 1) for x in self._named(self.journal.get(k))}
         there = {f"{kind}/{name}" for kind in ("base", "delta", "log") for name in publish.children(self.spark, self._place(kind))}
-        return {"distinct": n.n == n.u == n.o, "log": apart.isEmpty(), "digest": same and tree.root(fresh) == state["digest"], "places": named == there}
+        places = there <= named and (oldest > 1 or named == there) and self._named(state) <= there
+        return {"distinct": n.n == n.u == n.o, "log": apart.isEmpty(), "digest": same and tree.root(fresh) == state["digest"], "places": places}
 
 
 def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:

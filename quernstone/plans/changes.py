@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.operators import changes as ch
+from quernstone.operators import digest as tree
 from quernstone.operators import invariants as inv
 
 from .registry import query, table
+from .stores import tree_sql
 
 K = "p_partkey"
 
@@ -106,7 +108,7 @@ def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.intent_digests(blocks, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), item.alias("item")))
 
 
-@query(f"WITH {_INTENT} SELECT sha256(string_agg(id || ':' || digest, chr(10) ORDER BY id)) AS fingerprint FROM d")
+@query(f"WITH {_INTENT}, r AS (SELECT row_number() OVER (ORDER BY id) - 1 AS ordinal, digest FROM d), {tree_sql('r')} SELECT digest AS fingerprint FROM n{tree.HEIGHT}")
 def intent_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.intent_fingerprint(_digests(spark, sf_dir))
 

@@ -27,7 +27,7 @@ def _record_sql(uid: str, brand: str, name: str, size: str) -> str:
     return f"sha256({_bytes_sql(uid)} || {fields})"
 
 
-def _tree_sql(records: str) -> str:
+def tree_sql(records: str) -> str:
     """All nodes over records (ordinal, digest)."""
     levels = [f"n0 AS (SELECT 0 AS level, ordinal // {tree.LEAF} AS idx, sha256(string_agg(ordinal || ':' || digest, ',' ORDER BY ordinal)) AS digest FROM {records} GROUP BY ordinal // {tree.LEAF})"]
     levels += [f"n{k} AS (SELECT {k} AS level, idx // {tree.FANOUT} AS idx, sha256(string_agg(idx || ':' || digest, ',' ORDER BY idx)) AS digest FROM n{k - 1} GROUP BY idx // {tree.FANOUT})" for k in range(1, tree.HEIGHT + 1)]
@@ -39,7 +39,7 @@ _EVERY_NODE = " UNION ALL ".join(f"SELECT * FROM n{k}" for k in range(tree.HEIGH
 
 @query(f"""
     WITH r AS (SELECT o_orderkey AS ordinal, sha256({_bytes_sql("'order ' || o_orderkey")} || '6:status' || {_bytes_sql("o_orderstatus")}) AS digest FROM orders),
-    {_tree_sql("r")}
+    {tree_sql("r")}
     {_EVERY_NODE}
 """)
 def document_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def document_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edited(spark: SparkSession, sf_dir: str) -> Store:
     """A store of part after two patches, whose edits come from the lines of two suppliers, and a replacement without the parts of size 9."""
-    store = Store(spark, f"{work_folder(spark)}/store")
+    store = Store(spark, f"{work_folder(spark)}/store", buckets=4)
     store.import_records(_parts(spark, sf_dir), actor="query")
     edit = lambda seq, op, field, value: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(field).alias("field"), value.cast("string").alias("value"))
     sold = table(spark, sf_dir, "lineitem").where("l_suppkey = 1").groupBy("l_partkey").agg(F.sum("l_linenumber").alias("n"))
@@ -101,7 +101,7 @@ def store_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     WITH {_STORE_SQL},
     r AS (SELECT p_partkey AS ordinal, {_record_sql("uid", "brand", "name", "size")} AS digest FROM c WHERE size <> '9'),
-    {_tree_sql("r")}
+    {tree_sql("r")}
     SELECT digest FROM n{tree.HEIGHT}
 """)
 def store_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions.scalars import spreadsheet_safe, under_path
+from quernstone.operators import publish
+from quernstone.operators.publish import Journal
 
 #: Languages by file suffix, and directories that a scan leaves out.
 LANGUAGES = {"py": "python", "go": "go", "rs": "rust", "html": "html", "htm": "html", "css": "css"}
@@ -117,22 +120,34 @@ def append_journal(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def backup(spark: SparkSession, source: str, target: str) -> None:
+def backup(spark: SparkSession, source: str, target: str, *, form: str = "parquet") -> None:
     """A copy of a table at a new place alone."""
-    spark.read.parquet(source).write.mode("errorifexists").parquet(target)
+    spark.read.format(form).load(source).write.mode("errorifexists").format(form).save(target)
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Put rows in place of a table: written beside it, then renamed, the old one last."""
-    spark = rows.sparkSession
-    rows.write.mode("overwrite").parquet(f"{path}.new")
-    at, new, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}{x}") for x in ("", ".new", ".old"))
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(new, at)
-    fs.delete(old, True)
+    """Make rows the table at path: written as a version beside the others, which an entry of its journal then names at once.
+
+    A crash leaves the old version or the new one, and of two writers one is
+    refused. The version before the last stays for its readers; older ones go.
+    """
+    spark, journal = rows.sparkSession, Journal(rows.sparkSession, f"{path}/journal")
+    last, name = journal.last(), uuid4().hex
+    rows.write.parquet(f"{path}/versions/{name}")
+    before = journal.get(last)["version"] if last else None
+    journal.append(last + 1, {"version": name, "before": before})
+    for old in publish.children(spark, f"{path}/versions"):
+        if old not in (name, before):
+            publish.remove(spark, f"{path}/versions/{old}")
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that replace_table() has last published at path."""
+    journal = Journal(spark, f"{path}/journal")
+    last = journal.last()
+    if not last:
+        raise ValueError(f"no table at {path}")
+    return spark.read.parquet(f"{path}/versions/{journal.get(last)['version']}")
 
 
 def sharded(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:

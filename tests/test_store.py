@@ -16,7 +16,7 @@ def rows(spark, n, **changed):
 
 
 def content(df):
-    return {r.uid: (r.ordinal, r.revision, r.fields["a"]) for r in df.collect()}
+    return {r.uid: (r.ordinal, r.revision, r.fields.get("a")) for r in df.collect()}
 
 
 def whole_digest(records):
@@ -71,6 +71,13 @@ def test_compaction_keeps_content_digest_and_history(spark, edited):
         assert content(store.read(rev)) == want[rev]
     assert store.apply_patches(spark.createDataFrame([("fresh", 1, "clear", "a", None)], EDITS), actor="t", reason="r", expected=4) == 5
     assert store.digest() == whole_digest(store.read()) and store.doctor()["digest"]
+    held = content(store.read())
+    gone = store.vacuum(2)
+    assert [x.split("/")[0] for x in gone] == ["base", "delta", "delta", "log", "log", "log"] or len(gone) >= 5
+    assert content(store.read()) == held and content(store.read(4)) == want[4] and all(store.doctor().values())
+    with pytest.raises(ValueError, match="no revision"):
+        store.read(3)
+    assert {r.operation for r in store.log().select("operation").distinct().collect()} == {4, 5} and store.vacuum(2) == []
 
 
 def test_random_changes_bring_the_digest_along(spark):
