@@ -357,12 +357,12 @@ class Store:
         oldest = max(state["revision"] - keep + 1, state.get("oldest", 1))
         if oldest > state.get("oldest", 1):
             state = self._publish(state, oldest=oldest)
-        kept: set[str] = set()
-        lost: set[str] = set()
-        for n in range(1, state["entry"] + 1):
-            entry = self.journal.get(n)
-            (kept if entry["revision"] >= oldest else lost).update(self._named(entry))
-        gone = [x for x in sorted(lost - kept) if publish.exists(self.spark, self._place(x))]
+        entries = [self.journal.get(n) for n in range(1, state["entry"] + 1)]
+        # of each kept revision what its last state names
+        last = {e["revision"]: e for e in entries if e["revision"] >= oldest}
+        kept = {x for e in last.values() for x in self._named(e)}
+        lost = {x for e in entries for x in self._named(e)} - kept
+        gone = [x for x in sorted(lost) if publish.exists(self.spark, self._place(x))]
         for x in gone:
             publish.remove(self.spark, self._place(x))
         return gone
