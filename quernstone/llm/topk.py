@@ -2,30 +2,38 @@
 
 Vectors become integers, floor(256 * x). A block of candidates keeps, per
 dimension, its rows sorted by value. A query reads each list from the end that
-suits its own component's sign. After each round, what has been read of a row,
-with the worst values of the unread lists, bounds its score from below, and with
-the next values of the unread lists from above. Rows whose upper bound falls
-below the k-th best lower bound leave; reading stops once few rows are left, and
+suits its own component's sign, in rounds: round p reads on until what is left of
+a list lies within p / 16 of its span from its worst value. What was read of a row,
+above the worst values, raises its lower bound; its upper bound is that and p / 16
+of the spans of the lists in which it was not met yet. Both are running sums to
+which each entry is added once, when it is read. Rows whose upper bound falls below
+the k-th best lower bound leave; a query stops reading once few rows are left, and
 only those get their scores resolved in full.
 
-A round is done for all queries of a block at once: reading to some depth is a
-product of the queries' positive (negative) parts with the entries that stand so
-high (low) in their lists. Sums are of integers, in doubles as long as these hold
-them exactly, else in 64-bit integers.
+Queries of a batch read together: what a round reads is laid out row by row, and its
+share of the sums is a product with the queries; rows that left for all queries of
+the batch are no longer part of it. Sums are of integers, in floats as long as
+these hold them exactly, else in 64-bit integers.
 
-Queries are dealt in blocks against blocks of candidates; each pair of blocks
-gives at most k rows per query, which a last top-k merges.
+Candidates are dealt to blocks once and sorted once; the queries, distinct by
+vec_id, are sent to every block and stream past its lists. A task holds one block
+and a batch of queries. Each block gives at most k rows per query, which a last
+top-k merges.
 
 A null vector, or one with a null or non-finite component, takes no part; nor do
 a null vec_id and an empty vector. Vectors of another length than a query's are no
 candidates for it. Ties go to the smaller vec_id. Repeated vec_ids are candidates
-on their own; a repeated query row changes nothing. Extra columns are ignored. An
-empty table gives no row. Components and scores that need more than 62 bits are an
-error.
+on their own; a repeated query row changes nothing, and of several vectors under a
+query's vec_id the smallest, component by component, is the query. Extra columns
+are ignored. An empty table gives no row. Components and scores that need more than
+62 bits are an error.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,10 +45,13 @@ K = 5
 SCALE = 256
 #: Every vec_id that this divides is a query.
 QUERY_STEP = 50
-#: Queries and candidates of a pair of blocks, and queries of one product.
-QUERY_BLOCK, LIST_BLOCK, BATCH = 1024, 4096, 128
-#: Shares of each list that the rounds read.
-DEPTHS = (0.1, 0.2, 0.35, 0.55, 0.8)
+#: Components of a block of candidates at most, on average; fewer where a small
+#: table is to reach all cores, but LEAST rows at least.
+BLOCK_CELLS, LEAST = 1 << 21, 2048
+#: Queries that read a block together.
+BATCH = 128
+#: Rounds, as sixteenths of a list's span that stay unread.
+ROUNDS = (8, 6, 5, 4, 3, 2, 0)
 #: Reading stops when at most this many rows per query are left.
 FEW = 48
 
@@ -58,54 +69,96 @@ def quantized(vectors: DataFrame) -> DataFrame:
 class SortedLists:
     """A block of candidates with one sorted list per dimension."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, kind: type) -> None:
+    def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
         self.ids, self.x = ids, x
-        n = len(x)
-        rank = np.empty(x.shape, np.int32)
-        order = np.argsort(x, axis=0, kind="stable")
-        np.put_along_axis(rank, order, np.broadcast_to(np.arange(n, dtype=np.int32)[:, None], x.shape), axis=0)
-        ranked = np.take_along_axis(x, order, axis=0)
-        self.rounds = []
-        for depth in DEPTHS:
-            m = min(n, max(1, int(np.ceil(depth * n))))
-            part = []
-            for read, following, worst in ((rank >= n - m, ranked[max(n - m - 1, 0)], ranked[0]), (rank < m, ranked[min(m, n - 1)], ranked[-1])):
-                if m == n:
-                    following = worst
-                got = np.where(read, x, 0)
-                # read value, less what the bound would have assumed for it
-                part.append([(got - read * b).astype(kind).T.copy() for b in (worst, following)] + [worst.astype(kind), following.astype(kind)])
-            self.rounds.append(part)
+        self.largest = float(np.abs(x.astype(float)).max())
+        if self.largest >= 2**60:
+            raise OverflowError("scores do not fit 62 bits")
+        self.order = np.argsort(x, axis=0, kind="stable").T.astype(np.int32)
+        self.values = np.take_along_axis(x.T, self.order, axis=1)
+        self.least, self.most = self.values[:, 0], self.values[:, -1]
+        self.span = self.most - self.least
+        #: Entries read so far, one for each query that reads them.
+        self.reads = 0
+        self.ends = []
+        for p in ROUNDS:
+            step = self.span // 16 * p + self.span % 16 * p // 16
+            down = [np.searchsorted(v, at, "right") for v, at in zip(self.values, self.least + step, strict=True)]
+            up = [np.searchsorted(v, at, "left") for v, at in zip(self.values, self.most - step, strict=True)]
+            self.ends.append((p, down, up))
 
     def top(self, ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (rows, scores) of the block's best, best first."""
-        out: list = [None] * len(q)
-        left = np.arange(len(q))
-        alive = self.ids[None, :] != ids[:, None]
-        for top, bottom in self.rounds:
-            qs = q[left]
-            pos, neg = np.maximum(qs, 0).astype(top[0].dtype), np.minimum(qs, 0).astype(top[0].dtype)
-            low = pos @ top[0] + neg @ bottom[0] + (pos @ top[2] + neg @ bottom[2])[:, None]
-            high = pos @ top[1] + neg @ bottom[1] + (pos @ top[3] + neg @ bottom[3])[:, None]
-            low[~alive] = -np.inf if low.dtype.kind == "f" else np.iinfo(np.int64).min
-            n = low.shape[1]
-            if n > k:
-                alive &= high >= np.partition(low, n - k, axis=1)[:, n - k][:, None]
-            few = alive.sum(1) <= FEW
-            for i in np.flatnonzero(few):
-                out[left[i]] = np.flatnonzero(alive[i])
-            left, alive = left[~few], alive[~few]
-            if not len(left):
-                break
-        for i, rows in zip(left, alive, strict=True):
-            out[i] = np.flatnonzero(rows)
+        size = self.largest * max(float(np.abs(q.astype(float)).max()), 1.0) * q.shape[1] * 4
+        if size >= 2**62:
+            raise OverflowError("scores do not fit 62 bits")
+        kind = np.float32 if size < 2**24 else np.float64 if size < 2**53 else np.int64
         best = []
-        for rows, query in zip(out, q, strict=True):
+        for rows, query in zip(self._outlast(ids, q.astype(kind), k), q, strict=True):
             score = self.x[rows] @ query
             keep = np.lexsort((self.ids[rows], -score))[:k]
             best.append((rows[keep], score[keep]))
         return best
 
+    def _outlast(self, ids: np.ndarray, q: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query the rows whose bounds leave them a place among its best k."""
+        n, kind, out = len(self.ids), q.dtype, [np.zeros(0, np.int64)] * len(q)
+        rows, place, left = np.arange(n), None, np.arange(len(q))
+        span, dims = self.span.astype(kind), range(q.shape[1])
+        sides = [(np.maximum(q, 0), self.least), (np.minimum(q, 0), self.most)]
+        low = np.zeros((len(q), n), kind)
+        unmet = np.repeat((np.abs(q) @ span)[:, None], n, axis=1)
+        alive = ids[:, None] != self.ids[None, :]
+        read = [([n] * len(span), [0] * len(span))]
+        for p, down, up in self.ends:
+            read.append((down, up))
+            before = read[-2]
+            for (part, worst), first, last in zip(sides, (down, before[1]), (before[0], up), strict=True):
+                # what this round reads of the lists; nothing of a row that left
+                fresh, met = np.zeros((q.shape[1], len(rows)), kind), np.zeros((q.shape[1], len(rows)), kind)
+                for d in dims:
+                    at, value = self.order[d, first[d]:last[d]], self.values[d, first[d]:last[d]]
+                    if place is not None:
+                        at = place[at]
+                        at, value = at[at >= 0], value[at >= 0]
+                    fresh[d, at], met[d, at] = value - worst[d], span[d]
+                    self.reads += len(at) * int(np.count_nonzero(part[:, d]))
+                low += part @ fresh
+                unmet -= np.abs(part) @ met
+            alive &= self._high(low, unmet, p) >= self._kth(low, alive, k)
+            stop = alive.sum(1) <= FEW
+            for i in np.flatnonzero(stop):
+                out[left[i]] = rows[alive[i]]
+            if stop.all():
+                return out
+            keep = alive[~stop].any(0)
+            if stop.any() or keep.sum() < 0.9 * len(rows):
+                low, unmet, alive = (m[~stop][:, keep] for m in (low, unmet, alive))
+                sides, left, rows = [(part[~stop], worst) for part, worst in sides], left[~stop], rows[keep]
+                place = np.full(n, -1, np.int32)
+                place[rows] = np.arange(len(rows))
+        for i, own in zip(left, alive, strict=True):
+            out[i] = rows[own]
+        return out
+
+    @staticmethod
+    def _high(low: np.ndarray, unmet: np.ndarray, p: int) -> np.ndarray:
+        """Upper bounds, rounded up."""
+        return low + (unmet * low.dtype.type(p / 16) + 1 if low.dtype.kind == "f" else (unmet // 16 + 1) * p)
+
+    @staticmethod
+    def _kth(low: np.ndarray, alive: np.ndarray, k: int) -> np.ndarray:
+        """For each query a lower bound that k rows reach: the k-th best of the maxima of groups of rows, neighbours apart."""
+        least = -np.inf if low.dtype.kind == "f" else np.iinfo(np.int64).min
+        n = low.shape[1]
+        if n < k:
+            return np.full((len(low), 1), least)
+        shown, g = np.where(alive, low, least), min(n, 64 * k)
+        whole = n - n % g
+        best = shown[:, :whole].reshape(len(low), -1, g).max(1)
+        best[:, : n - whole] = np.maximum(best[:, : n - whole], shown[:, whole:])
+        return np.partition(best, g - k, axis=1)[:, g - k][:, None]
+
 
 def _matrix(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Length -> (ids, vectors)."""
@@ -115,42 +168,53 @@ def _matrix(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {int(d): (ids[size == d], flat[at[size == d][:, None] + np.arange(d)]) for d in np.unique(size)}
 
 
+def _answers(lists: dict[int, SortedLists], queries: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+    for d, (qid, q) in _matrix(queries).items():
+        if d not in lists:
+            continue
+        for a in range(0, len(q), BATCH):
+            best = lists[d].top(qid[a:a + BATCH], q[a:a + BATCH], k)
+            cols = [np.repeat(qid[a:a + BATCH], [len(r) for r, _ in best]), lists[d].ids[np.concatenate([r for r, _ in best])], np.concatenate([s for _, s in best])]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["query_id", "vec_id", "score"])
+
+
 def _search(k: int):
-    def run(lists: pa.Table, queries: pa.Table) -> pa.Table:
-        cols: list[list] = [[], [], []]
-        if lists.num_rows and queries.num_rows:
-            theirs, mine = _matrix(lists), _matrix(queries)
-            for d, (qid, q) in mine.items():
-                if d not in theirs:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come by block, the candidates of each before its queries
+        block, parts, lists = None, [], None
+        for batch in batches:
+            b, asks = np.asarray(batch.column("b")), np.asarray(batch.column("asks"))
+            cuts = np.flatnonzero((b[1:] != b[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in pairwise([0, *cuts.tolist(), len(b)]):
+                if lo == hi:
+                    continue
+                if block != b[lo]:
+                    block, parts, lists = b[lo], [], None
+                piece = pa.Table.from_batches([batch.slice(lo, hi - lo).select(["vec_id", "x"])])
+                if not asks[lo]:
+                    parts.append(piece)
                     continue
-                ids, x = theirs[d]
-                most = float(np.abs(x.astype(float)).max()) * float(np.abs(q.astype(float)).max()) * d * 4
-                if most >= 2**62:
-                    raise OverflowError("scores do not fit 62 bits")
-                exact = most < 2**53
-                block = SortedLists(ids, x, np.float64 if exact else np.int64)
-                for a in range(0, len(q), BATCH):
-                    for own, (rows, score) in zip(qid[a:a + BATCH], block.top(qid[a:a + BATCH], q[a:a + BATCH], k), strict=True):
-                        cols[0].append(np.full(len(rows), own))
-                        cols[1].append(ids[rows])
-                        cols[2].append(score)
-        data = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in cols]
-        return pa.table({"query_id": data[0], "vec_id": data[1], "score": data[2]})
+                if lists is None:
+                    lists = {d: SortedLists(*m) for d, m in _matrix(pa.concat_tables(parts)).items()} if parts else {}
+                    parts = []
+                yield from _answers(lists, piece, k)
 
     return run
 
 
 def exact_top_k(vectors: DataFrame, *, k: int = K, step: int = QUERY_STEP) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other vectors."""
-    tune(vectors.sparkSession)
+    spark = vectors.sparkSession
+    tune(spark)
     x = quantized(vectors)
-    sizes = x.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % step == 0, 1)).alias("q")).first()
-    n_lists, n_queries = max(1, -(-sizes.n // LIST_BLOCK)), max(1, -(-sizes.q // QUERY_BLOCK))
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    lists = x.select("vec_id", "x", dealt(n_lists).alias("b"), each(n_queries).alias("a"))
-    queries = x.where(F.col("vec_id") % step == 0).select("vec_id", "x", dealt(n_queries).alias("a"), each(n_lists).alias("b"))
-    queries = queries.dropDuplicates(["vec_id", "a", "b"])
-    found = lists.groupBy("a", "b").cogroup(queries.groupBy("a", "b")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    size = x.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("x")), F.lit(0)).alias("cells")).first()
+    blocks = max(1, -(-size.cells // BLOCK_CELLS), min(spark.sparkContext.defaultParallelism, size.n // LEAST))
+    # repeated rows of one input partition meet in a block; those of others do not
+    dealt = F.pmod(F.xxhash64("vec_id", "x", F.spark_partition_id()), F.lit(blocks)).cast("int")
+    lists = x.select("vec_id", "x", dealt.alias("b"), F.lit(0).alias("asks"))
+    queries = x.where(F.col("vec_id") % step == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
+    queries = queries.select("vec_id", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(1).alias("asks"))
+    met = lists.unionByName(queries).repartition(blocks, "b").sortWithinPartitions("b", "asks")
+    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

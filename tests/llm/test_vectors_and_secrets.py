@@ -10,7 +10,8 @@ import pytest
 
 from quernstone.llm.queries import QUERIES
 from quernstone.llm.secrets import PATTERNS, Forest, candidates, covered, dictionary, features, find_secrets, held_out, labelled_findings, quality, train, trained
-from quernstone.llm.topk import exact_top_k
+from quernstone.llm import topk
+from quernstone.llm.topk import SortedLists, exact_top_k
 
 
 def test_top_k_equals_brute_force(spark):
@@ -28,6 +29,55 @@ def test_top_k_equals_brute_force(spark):
     assert exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("scale", [3, 200, 100_000, 30_000_000])  # floats, doubles, 64-bit integers
+def test_bounds_keep_the_best_whatever_the_kind_of_sum(scale):
+    r = np.random.default_rng(scale)
+    for n, d in ((1, 1), (4, 3), (90, 2), (3000, 10)):
+        x = (r.normal(size=(n, d)) * scale).astype(np.int64)
+        x[n // 2:] = x[: n - n // 2] if n < 100 else x[n // 2:]  # repeated vectors: ties go to the smaller id
+        ids = r.permutation(n).astype(np.int64)
+        block = SortedLists(ids, x)
+        for own, query, (rows, score) in zip(ids[:70], x[:70], block.top(ids[:70], x[:70], 5), strict=True):
+            want = sorted((-int(query @ v), int(i)) for i, v in zip(ids, x, strict=True) if i != own)[:5]
+            assert [(-int(s), int(ids[j])) for j, s in zip(rows, score, strict=True)] == want
+        assert block.reads <= x.size * min(n, 70)
+
+
+def test_lists_are_not_read_to_the_end_where_few_rows_are_near():
+    r = np.random.default_rng(0)
+    x = np.abs(r.normal(size=(5000, 6)) * 20).astype(np.int64)
+    x[:30] += 400
+    block = SortedLists(np.arange(5000), x)
+    block.top(np.arange(30), x[:30], 5)
+    assert block.reads < 0.05 * x.size * 30
+
+
+def test_queries_stream_past_blocks_that_span_batches(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_CELLS", 1200)
+    r = np.random.default_rng(3)
+    x = r.integers(-9, 9, size=(900, 4)).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[0].tolist())] * 3 + [(50, x[50].tolist())] * 400
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = set()
+    for i in range(0, 900, 50):
+        best = sorted((-int(256 * 256 * (x[i] @ np.array(v))), j) for j, v in rows if j != i)[:5]
+        want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+    assert {tuple(g) for g in got} == want and len(got) == 5 * 18
+
+
+def test_candidates_are_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_CELLS", 1000)
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(2000)], "vec_id long, embedding array<double>")
+    text = exact_top_k(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("RepartitionByExpression") == 1 and "CoGroup" not in text
+    assert text.count("Generate explode") == 1 and text.index("Generate explode") < text.index("Aggregate [vec_id")  # the copies are made of the distinct queries
+
+
 def test_scores_that_do_not_fit_are_an_error(spark):
     for big in (3e38, 1e12):
         with pytest.raises(Exception, match="62 bits"):
