@@ -214,7 +214,7 @@ def exact_top_k(vectors: DataFrame, *, k: int = K, step: int = QUERY_STEP) -> Da
     lists = x.select("vec_id", "x", dealt.alias("b"), F.lit(0).alias("asks"))
     queries = x.where(F.col("vec_id") % step == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
     queries = queries.select("vec_id", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(1).alias("asks"))
-    met = lists.unionByName(queries).repartition(blocks, "b").sortWithinPartitions("b", "asks")
+    met = lists.unionByName(queries).repartitionById(blocks, F.col("b")).sortWithinPartitions("b", "asks")
     found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
