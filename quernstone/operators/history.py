@@ -59,6 +59,21 @@ def ledger(events: DataFrame, target: str, identity: list[str], *, types: list[s
     return hit if limit is None else hit.limit(limit)
 
 
+def entity_history(deltas: DataFrame, log: DataFrame, entity: str, *, uid: str, operation: str, revision: str, most: int = 30) -> DataFrame:
+    """The operations that changed one entity, newest first: the columns of log, once for each of its deltas."""
+    hit = deltas.where(F.col(uid) == entity).select(operation)
+    return hit.join(log, operation).orderBy(F.desc(revision), operation).limit(most)
+
+
+def entity_histories(deltas: DataFrame, log: DataFrame, *, uid: str, operation: str, revision: str, most: int = 30) -> DataFrame:
+    """As entity_history for every entity of deltas, with its uid and seq, the place from 1.
+
+    The ranks are cut by partition before the rows of a hot entity meet.
+    """
+    met = deltas.select(uid, operation).join(log, operation)
+    return met.withColumn("seq", F.row_number().over(Window.partitionBy(uid).orderBy(F.desc(revision), operation))).where(F.col("seq") <= most)
+
+
 def search(events: DataFrame, text: str, column: str, limit: int | None = None) -> DataFrame:
     """Payload search in which % and _ of the text keep their wildcard meaning."""
     hit = events.where(F.col(column).ilike(f"%{text}%")).orderBy(F.desc("ts"), F.desc("event_id"))
@@ -108,6 +123,25 @@ def sizes(deltas: DataFrame, before: str, after: str) -> DataFrame:
     return deltas.agg(F.count("*").alias("n"), F.coalesce(total, F.lit(0)).cast("long").alias("n_bytes"))
 
 
+def size_report(records: DataFrame, kind: str, raw: str, deltas: DataFrame, before: str, after: str, operations: DataFrame, outbox: DataFrame, published: str) -> DataFrame:
+    """(section, name, n, n_bytes) of a catalogue: its records in all and by kind, changes, operations, and events that wait.
+
+    Bytes are those of the texts in UTF-8, 0 where a section has none; a null kind
+    is called None. Empty tables give zeros, and no kinds.
+    """
+    size = lambda *c: F.coalesce(F.sum(sum((F.coalesce(F.octet_length(x), F.lit(0)) for x in c[1:]), F.coalesce(F.octet_length(c[0]), F.lit(0)))), F.lit(0)).cast("long")
+    none = F.lit(0).cast("long")
+    row = lambda section, name, n, n_bytes: [F.lit(section).alias("section"), name.alias("name"), n.alias("n"), n_bytes.alias("n_bytes")]
+    kinds = records.groupBy(F.coalesce(F.col(kind).cast("string"), F.lit("None")).alias("name")).agg(F.count("*").alias("n"), size(raw).alias("n_bytes"))
+    total = kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"))
+    changes = deltas.agg(F.count("*").alias("n"), size(before, after).alias("n_bytes"))
+    every = F.lit("all")
+    out = kinds.select(*row("kind", F.col("name"), F.col("n"), F.col("n_bytes"))).unionByName(total.select(*row("records", every, F.col("n"), F.col("n_bytes"))))
+    out = out.unionByName(changes.select(*row("changes", every, F.col("n"), F.col("n_bytes"))))
+    out = out.unionByName(operations.agg(F.count("*").alias("n")).select(*row("operations", every, F.col("n"), none)))
+    return out.unionByName(outbox.where(F.col(published).isNull()).agg(F.count("*").alias("n")).select(*row("pending", every, F.col("n"), none)))
+
+
 def freshness(required: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
     """State of each required key: missing, stale (not passed, or for another fingerprint) or fresh."""
     e = evidence.select(F.col(key).alias("_k"), F.col("status").alias("_s"), F.col("fingerprint").alias("_f"))

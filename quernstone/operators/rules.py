@@ -101,10 +101,38 @@ def projection_mismatch(df: DataFrame, raw: str, columns: list[str], key: str) -
     return df.select(key, pairs.alias("p")).where(~F.col("p.stored").eqNullSafe(F.col("p.raw"))).select(key, "p.field", "p.stored", "p.raw")
 
 
-def same_sets(groups: DataFrame, others: DataFrame, members: str) -> DataFrame:
-    """Groups whose set of members no other grouping has."""
-    mark = F.array_join(F.array_sort(F.array_distinct(members)), "\u001f")
-    return groups.withColumn("_s", mark).join(others.select(mark.alias("_s")).distinct(), "_s", "left_anti").drop("_s")
+def without_same_sets(groups: DataFrame, others: DataFrame, group: str, member: str) -> DataFrame:
+    """(group, n) of the groups whose set of members is the set of no other grouping; n is its size.
+
+    Both frames have a row for each group and member; repeated rows and null members
+    add nothing, and a group of null members alone has the empty set. A set meets the
+    others of its size and digest (two exclusive ors of hashes, so that partial
+    aggregates suffice and no set is ever in one place); whether all its members are in
+    the least of them is then looked up.
+    """
+    sets = [df.select(F.col(group).alias("_g"), F.col(member).alias("_m")).distinct() for df in (groups, others)]
+    digest = [F.coalesce(F.bit_xor(F.when(F.col("_m").isNotNull(), F.xxhash64("_m", F.lit(salt)))), F.lit(0)).alias(f"_h{salt}") for salt in (1, 2)]
+    own, theirs = (d.groupBy("_g").agg(F.count("_m").alias("n"), *digest) for d in sets)
+    least = theirs.groupBy("n", "_h1", "_h2").agg(F.min("_g").alias("_o"))
+    met = own.join(least, ["n", "_h1", "_h2"]).select("_g", "_o")
+    inside = sets[1].select(F.col("_g").alias("_o"), "_m")
+    differ = met.join(sets[0].where("_m is not null"), "_g").join(inside, ["_o", "_m"], "left_anti").select("_g").distinct()
+    same = met.select("_g").join(differ, "_g", "left_anti")
+    return own.join(same, "_g", "left_anti").select(F.col("_g").alias(group), "n")
+
+
+def incomplete_by_kind(df: DataFrame, kind: str, required: dict[str, list[str]], *, default: str, always: list[str]) -> DataFrame:
+    """df with `missing`, the fields that a record of its kind needs and that are null or '', for the records that lack any.
+
+    The kind is compared without outer blanks and case; null and '' count as default.
+    Kinds that are not listed need the fields of `always` alone. Fields may be paths
+    into structs; a null struct lacks all of its own.
+    """
+    name = F.coalesce(F.nullif(F.lower(F.trim(kind)), F.lit("")), F.lit(default))
+    lacks = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
+    asked = [F.when(lacks(c), F.lit(c)) for c in always]
+    asked += [F.when((name == k) & lacks(c), F.lit(c)) for k, columns in required.items() for c in columns if c not in always]
+    return df.withColumn("missing", F.array_compact(F.array(*asked))).where(F.size("missing") > 0)
 
 
 def plan_errors(nodes: DataFrame, edges: DataFrame, known: list[str]) -> DataFrame:
