@@ -148,9 +148,9 @@ def resolve(refs: DataFrame, nodes: DataFrame, literal: str, uid: str, external:
     return out.withColumn("resolved", F.coalesce("_u", "_x")).drop("_u", "_e", "_x")
 
 
-def bounded(df: DataFrame, most: int = SELECTION_LIMIT) -> DataFrame:
-    """df, or an error if it has more rows than a selection may hold."""
-    if df.limit(most + 1).count() > most:
+def bounded(df: DataFrame, most: int | None = SELECTION_LIMIT) -> DataFrame:
+    """df, or an error if it has more rows than a selection that a caller holds may have; with most=None all of it, for a caller that reads it as a table."""
+    if most is not None and df.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} rows match")
     return df
 

@@ -106,7 +106,7 @@ def resolve_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bounded_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer")
     segment = customers.where("c_custkey = 1").select("c_mktsegment")
-    return c.bounded(customers.join(segment, "c_mktsegment", "left_semi").select("c_custkey"))
+    return c.bounded(customers.join(segment, "c_mktsegment", "left_semi").select("c_custkey"), most=None)
 
 
 @query("""

@@ -46,3 +46,11 @@ def test_shortest_paths_have_no_depth_bound(spark):
     edges = spark.createDataFrame([(i, i + 1, i) for i in range(29)], "source int, target int, ord int")
     got = {r.node: r.path for r in graph.shortest_paths(edges, spark.createDataFrame([(0,)], "id int")).collect()}
     assert got == {n: list(range(n + 1)) for n in range(1, 30)}
+
+
+def test_selections_of_any_size_are_whole(spark, tmp_path):
+    from quernstone.operators.catalogue import SELECTION_LIMIT
+
+    n = 2 * SELECTION_LIMIT + 3
+    spark.range(n).select(F.col("id").alias("c_custkey"), F.when(F.col("id") % 2 == 1, "A").otherwise("B").alias("c_mktsegment")).write.parquet(f"{tmp_path}/customer.parquet")
+    assert QUERIES["bounded_selection"](spark, str(tmp_path)).count() == n // 2 > SELECTION_LIMIT
