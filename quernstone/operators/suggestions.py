@@ -121,15 +121,22 @@ def distinct_slots(slots: DataFrame) -> DataFrame:
 
 
 def existing_purpose(units: DataFrame, known: DataFrame, lookups: list[str]) -> DataFrame:
-    """(id, text): for units (id, action, object) the first known purpose (ord, action, object, text) of the same action and object, else, among lookups, the one that shares most words with the object, two at least."""
-    k = known.select("ord", F.col("action").alias("ka"), F.col("object").alias("ko"), "text")
-    exact = units.join(k, (F.col("action") == F.col("ka")) & (F.col("object") == F.col("ko"))).groupBy("id").agg(F.min_by("text", "ord").alias("exact"))
-    words = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
-    mine = units.where(F.col("action").isin(lookups)).select("id", words("object").alias("w"))
-    theirs = k.where(F.col("ka").isin(lookups)).select("ord", "text", words("ko").alias("kw"))
-    shared = mine.join(theirs, F.col("w") == F.col("kw")).groupBy("id", "ord", "text").agg(F.count("*").alias("n")).where("n > 1")
-    near = shared.groupBy("id").agg(F.max_by("text", F.struct("n", -F.col("ord"))).alias("near"))
-    return units.select("id").join(exact, "id", "left").join(near, "id", "left").select("id", F.coalesce("exact", "near").alias("text")).where("text is not null")
+    """(id, text): for units (id, action, object) the first known purpose (ord, action, object, text) of the same action and object, else, among lookups, the one that shares most words with the object, two at least.
+
+    Objects are compared once for each set of words: of known purposes with the same
+    words only the first can be chosen, and units with the same words get the same one.
+    """
+    first = F.min_by(F.struct("ord", "text"), F.struct(F.col("ord").isNull(), "ord")).alias("p")
+    words = lambda c: F.array_sort(F.array_distinct(F.split(c, " ")))
+    exact = known.groupBy(F.col("action").alias("ka"), F.col("object").alias("ko")).agg(first).select("ka", "ko", F.col("p.text").alias("exact"))
+    mine = units.withColumn("words", F.when(F.col("action").isin(lookups), words("object")))
+    theirs = known.where(F.col("action").isin(lookups)).groupBy(words("object").alias("kw")).agg(first)
+    left = mine.select("words").where("words is not null").distinct().select("words", F.explode("words").alias("w"))
+    right = theirs.select("kw", "p", F.explode("kw").alias("w"))
+    shared = left.join(right, "w").groupBy("words", "kw").agg(F.count("*").alias("n"), F.first("p").alias("p")).where("n > 1")
+    near = shared.groupBy("words").agg(F.max_by("p.text", F.struct("n", -F.col("p.ord"))).alias("near")).withColumnRenamed("words", "met")
+    found = mine.join(exact, (F.col("action") == F.col("ka")) & (F.col("object") == F.col("ko")), "left").join(near, F.col("words") == F.col("met"), "left")
+    return found.select("id", F.coalesce("exact", "near").alias("text")).where("text is not null")
 
 
 def purpose_facts(rows: DataFrame, key: str, symbol: Column, docstring: Column, actions: dict[str, str]) -> DataFrame:

@@ -1,9 +1,10 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from quernstone.operators import analysis, graph
+from quernstone.operators import analysis, graph, suggestions
 from quernstone.plans import QUERIES
 
 R = random.Random(3)
@@ -54,3 +55,24 @@ def test_selections_of_any_size_are_whole(spark, tmp_path):
     n = 2 * SELECTION_LIMIT + 3
     spark.range(n).select(F.col("id").alias("c_custkey"), F.when(F.col("id") % 2 == 1, "A").otherwise("B").alias("c_mktsegment")).write.parquet(f"{tmp_path}/customer.parquet")
     assert QUERIES["bounded_selection"](spark, str(tmp_path)).count() == n // 2 > SELECTION_LIMIT
+
+
+def test_purposes_of_many_units_are_compared_by_their_words(spark):
+    objects = ["part list", "part 1 list", "part list part 2", "list", "", None, "part 3 list now", "2 part"]
+    units = [(i, R.choice(["find", "get", "build", None]), R.choice(objects)) for i in range(60)]
+    known = [(i, R.choice(["find", "get", "send", "build"]), R.choice(objects), f"P{i}") for i in range(1, 40, 2)]
+    want = {}
+    for i, action, thing in units:
+        exact = [t for _, a, o, t in known if a == action and o == thing and None not in (a, o)]
+        near = [(-len(set(o.split(" ")) & set(thing.split(" "))), n, t) for n, a, o, t in known if o is not None and thing is not None and action in ("find", "get") and a in ("find", "get")]
+        near = [t for n, _, t in sorted(near) if n <= -2]
+        if exact or near:
+            want[i] = (exact or near)[0]
+    schema = "action string, object string"
+    got = suggestions.existing_purpose(spark.createDataFrame(units, f"id int, {schema}"), spark.createDataFrame(known, f"ord int, {schema}, text string"), ["find", "get"])
+    assert {r.id: r.text for r in got.collect()} == want
+    many = spark.range(30_000).select("id", F.lit("find").alias("action"), F.concat(F.lit("part "), F.col("id") % 7, F.lit(" list")).alias("object"))
+    theirs = many.select(F.col("id").alias("ord"), "action", F.lit("part list now").alias("object"), F.concat(F.lit("P"), "id").alias("text"))
+    began = time.monotonic()
+    assert suggestions.existing_purpose(many, theirs, ["find"]).where("text = 'P0'").count() == 30_000
+    assert time.monotonic() - began < 60  # 900 million pairs otherwise
