@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,13 +19,13 @@ def _joined(rows: DataFrame, key: str, name: str) -> DataFrame:
 def sections(rows: DataFrame, key: str, heading: str) -> DataFrame:
     """(key, section): from a heading, found without regard to case, to before the next of the same level or above; texts where the heading is missing or not unique give nothing."""
     level, title = F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1)), F.trim(F.regexp_replace("line", r"^#{1,6}\s+|\s+#*$", ""))
-    heads = rows.withColumn("level", level).where("level > 0").withColumn("title", F.lower(title))
-    wanted = F.col("title") == heading.lower()
-    start = heads.where(wanted).groupBy(key).agg(F.count("*").alias("n"), F.min("no").alias("first"), F.min("level").alias("depth")).where("n = 1")
-    after = heads.select(F.col(key).alias("k"), F.col("no").alias("next"), F.col("level").alias("other"))
-    stop = start.join(after, (F.col(key) == F.col("k")) & (F.col("next") > F.col("first")) & (F.col("other") <= F.col("depth")), "left")
-    bounds = stop.groupBy(F.col(key).alias("bk"), "first").agg(F.min("next").alias("end"))
-    inside = rows.join(bounds, (F.col(key) == F.col("bk")) & (F.col("no") >= F.col("first")) & (F.col("end").isNull() | (F.col("no") < F.col("end"))))
+    wanted = (F.col("_level") > 0) & (F.lower(title) == heading.lower())
+    text = Window.partitionBy(key)
+    # a text's lines are shuffled once: bounds stand beside them, and are not joined to them
+    starts = rows.where(F.col(key).isNotNull()).withColumn("_level", level).withColumn("_start", F.when(wanted, F.struct("no", "_level")))
+    starts = starts.withColumn("_n", F.count("_start").over(text)).withColumn("_first", F.min("_start").over(text)).where("_n = 1 and no >= _first.no")
+    ends = F.when((F.col("_level") > 0) & (F.col("no") > F.col("_first.no")) & (F.col("_level") <= F.col("_first._level")), F.col("no"))
+    inside = starts.withColumn("_end", F.min(ends).over(text)).where("_end is null or no < _end")
     return _joined(inside, key, "section")
 
 
