@@ -31,8 +31,7 @@ def sections(rows: DataFrame, key: str, heading: str) -> DataFrame:
 
 def marked(rows: DataFrame, key: str, begin: str, end: str) -> DataFrame:
     """(key, region): the lines between the first line that holds begin and the next that holds end."""
-    start = rows.where(F.col("line").contains(begin)).groupBy(F.col(key).alias("sk")).agg(F.min("no").alias("first"))
-    stops = rows.where(F.col("line").contains(end)).join(start, F.col(key) == F.col("sk")).where("no > first")
-    bounds = stops.groupBy(F.col(key).alias("bk"), "first").agg(F.min("no").alias("end"))
-    inside = rows.join(bounds, (F.col(key) == F.col("bk")) & (F.col("no") > F.col("first")) & (F.col("no") < F.col("end")))
+    text = Window.partitionBy(key)
+    starts = rows.where(F.col(key).isNotNull()).withColumn("_first", F.min(F.when(F.col("line").contains(begin), F.col("no"))).over(text)).where("no > _first")
+    inside = starts.withColumn("_end", F.min(F.when(F.col("line").contains(end), F.col("no"))).over(text)).where("no < _end")
     return _joined(inside, key, "region")

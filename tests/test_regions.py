@@ -10,6 +10,7 @@ TEXTS = [
 
 @pytest.mark.parametrize(("cut", "name", "want"), [
     (lambda rows: regions.sections(rows, "k", "SUB"), "section", {1: "## Sub ##\nb\n### deep\nc", 5: "### Sub\nlast", 6: "# Sub\nx\n## other\ny"}),
+    (lambda rows: regions.marked(rows, "k", "begin", "end"), "region", {7: "r\nbegin 2\nq", 9: "k"}),
 ])
 def test_bounds_of_regions_are_not_a_table_of_their_own(spark, cut, name, want):
     got = cut(regions.lines(spark.createDataFrame(TEXTS, "k int, text string"), "k", "text"))
