@@ -60,6 +60,20 @@ def profile_scores(items: DataFrame, profile: DataFrame, item: str, label: str)
 
 #: Grams that are broadcast to those who count them, 16 bytes each; more are joined.
 FEW_GRAMS = 1_000_000
+#: Rows of an Arrow batch, and words that are counted at once (a longer row makes its own slice); bound a worker's memory.
+ARROW_ROWS, WORDS = 1000, 1 << 18
+
+
+def _slices(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches of at most so many words in column `words`, or of one row."""
+    for b in batches:
+        ends = np.cumsum(np.nan_to_num(b.column(words).value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+        first = 0
+        while first < b.num_rows:
+            before = ends[first - 1] if first else 0
+            last = max(int(np.searchsorted(ends, before + WORDS, side="right")), first + 1)
+            yield b.slice(first, last - first)
+            first = last
 
 
 def _grams(lists: pa.ListArray, sizes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
@@ -101,7 +115,7 @@ def _of_labels(sizes: tuple[int, ...]):
     """(label, size, h1, h2) of the distinct grams of each label in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, 1):
             codes = b.column(0).dictionary_encode(null_encoding="encode")
             row, size, h1, h2 = _grams(b.column(1), sizes)
             code, size, h1, h2, _ = _counted(codes.indices.to_numpy()[row], size, h1, h2)
@@ -114,7 +128,7 @@ def _of_items(sizes: tuple[int, ...], wanted=None):
     """(item, label, size, h1, h2, weight) of each row's distinct grams; of wanted ones, sorted by h1, alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, 2):
             row, size, h1, h2 = _grams(b.column(2), sizes)
             if wanted is not None:
                 known = wanted.value
@@ -139,6 +153,7 @@ def label_scores(rows: DataFrame, item: str, label: str, tokens: str, sizes: tup
     if not rows.groupBy(item).count().where("count > 1").isEmpty():
         return profile_scores(gram_profile(rows, item, tokens, sizes), gram_profile(rows, label, tokens, sizes), item, label)
     spark, n_tokens = rows.sparkSession, F.coalesce(F.size(tokens), F.lit(0))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     own = rows.select(item, label, sum(F.greatest(n_tokens - (n - 1), F.lit(0)) * F.lit(GRAM_WEIGHTS[n]) for n in sizes).alias("score"))
     given = rows.select(F.col(item).alias("item"), F.col(label).alias("label"), F.col(tokens).alias("tokens"))
     kinds, gram = dict(given.dtypes), ["size", "h1", "h2"]

@@ -2,6 +2,7 @@ import random
 import time
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quernstone.operators import analysis, graph, inference, suggestions
@@ -106,3 +107,16 @@ def test_connections_of_modules_need_no_shuffle_of_pairs(spark):
     assert pairs.count() == 9_000_000
     plan = pairs._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert plan[0].startswith("Union") and not any("Aggregate" in line for line in plan[1:next(i for i, line in enumerate(plan) if "Join" in line)])
+
+
+def test_grams_are_counted_in_slices_of_a_batch():
+    lists = pa.array([[f"w{R.randrange(50)}" for _ in range(n)] for n in [3000] * 200 + [0, 300_000, 5]] + [None], pa.list_(pa.string()))
+    ids = pa.array(range(len(lists)))
+    batch = pa.RecordBatch.from_arrays([ids, ids, lists], names=["item", "label", "tokens"])
+    got = list(analysis._of_items((1, 2))(iter([batch])))
+    total = Counter()
+    for b in got:
+        assert len(set(b.column(0).to_pylist())) <= 88  # 2**18 words
+        for i, w in zip(b.column(0).to_pylist(), b.column(5).to_pylist(), strict=True):
+            total[i] += w
+    assert total == Counter({i: 2 * len(x) - 1 for i, x in enumerate(lists.to_pylist()) if x})
