@@ -53,6 +53,8 @@ VECTOR, LEAF = 2048, 16
 ROWS = 4096
 #: Members of a tile that search its tree at once.
 QUERIES = 64
+#: Bytes of minima that a search holds at once: they stay in a core's cache.
+BLOCK = 1 << 20
 #: Weight of one task's group: shingles of a cluster's sets, bytes of a tile's vectors. Larger ones are dealt in blocks of half of it.
 LIMIT = 2 << 20
 #: Sets whose places may be broadcast to fetch them; more are joined by a shuffle.
@@ -289,6 +291,24 @@ def _bounded(num: int, den: int):
     return run
 
 
+def _overlaps(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bounds of the overlaps of points x[i] and y[j], a cache's worth at a time."""
+    out = np.empty(len(i), np.uint32)
+    step = max(1, BLOCK // (x.shape[1] * x.itemsize))
+    for a in range(0, len(i), step):
+        out[a:a + step] = np.minimum(x[i[a:a + step]], y[j[a:a + step]]).sum(1, dtype=np.uint32)
+    return out
+
+
+def _all_overlaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bounds of the overlaps of all points x with all points y, a cache's worth at a time."""
+    out = np.empty((len(x), len(y)), np.uint32)
+    step = max(1, BLOCK // (x.size * x.itemsize))
+    for a in range(0, len(y), step):
+        out[:, a:a + step] = np.minimum(x[:, None], y[None, a:a + step]).sum(2, dtype=np.uint32)
+    return out
+
+
 class CountTree:
     """A packed R-tree over count vectors; its nodes keep upper corners and sizes."""
 
@@ -328,7 +348,7 @@ class CountTree:
             node = np.arange(len(i)) % top
             for depth in range(len(self.levels) - 1, -1, -1):
                 upper, least = self.levels[depth]
-                keep = np.minimum(upper[node], q[i]).sum(1, dtype=np.uint32) >= least_overlap(n[i], least[node], num, den)
+                keep = _overlaps(upper, node, q, i) >= least_overlap(n[i], least[node], num, den)
                 i, node = i[keep], node[keep]
                 if depth:
                     i, node = np.repeat(i, LEAF), (node[:, None] * LEAF + np.arange(LEAF)).ravel()
@@ -338,7 +358,7 @@ class CountTree:
             rows = order[np.repeat(start[met] - np.cumsum(size[met]) + size[met], size[met]) + np.arange(int(size[met].sum()))]
             mine = np.arange(a, min(a + QUERIES, len(q)))
             for part in np.array_split(rows, -(-len(rows) // 4096)) if len(rows) else ():
-                overlap = np.minimum(q[mine][:, None], self.points[part][None]).sum(2, dtype=np.uint32)
+                overlap = _all_overlaps(q[mine], self.points[part])
                 x, y = np.nonzero(overlap >= least_overlap(n[mine][:, None], self.sizes[part][None], num, den))
                 yield mine[x], part[y]
 
