@@ -8,18 +8,24 @@ logistic domain, with weights that learn on every id, into the probability that
 the better prediction holds. After a miss the id is coded with order-0 counts,
 which start from the segment's and take in the block's own from time to time.
 
-All blocks of a segment are coded side by side, a few numpy steps per position.
-All arithmetic is on integers, so that decoding repeats encoding exactly. The
-coder keeps a window of 60 bits and gives words of 20; carries stay in the words
-until the end of a segment.
-
-A segment stands alone. Little-endian: b"QSG3", ids (u64), distinct ids (u32), ids
-of a block (u32), bytes of the table (u32), crc32 of the packed table (u32), the
-table (zlib: the distinct ids in ascending order as u32, their order-0 frequencies
-as u32, the number of each one's commonest follower as u32, that follower's first
-confidence as u8), then blocks: b"QRC1", ids (u32), crc32 of the ids as u32 (u32),
-payload bytes (u32), payload (five bytes for two words). Only the last block may
-hold fewer ids; it is padded with the first distinct id inside.
+A block is cut into streams of equal length that are coded side by side: they
+share the block's tables and counts, while hit rates, weights and the range coder
+are each stream's own. All streams of all blocks of a segment advance together, a
+few numpy steps per position; of two streams that write to one entry at a
+position, the later one stays. All arithmetic is on integers, so that decoding
+repeats encoding exactly. The coder keeps a window of 60 bits and gives words of
+20; carries stay in the words until the end of a segment. Behind its last word a
+stream goes on with zeros.
+
+A segment stands alone. Little-endian: b"QSG4", ids (u64), distinct ids (u32),
+streams of a block (u32), ids of a stream (u32), bytes of the table (u32), crc32 of
+all these and the packed table (u32), the table (zlib: the distinct ids in
+ascending order as u32, their order-0 frequencies as u32, the number of each one's
+commonest follower as u32, that follower's first confidence as u8), then blocks:
+b"QRC2", ids (u32), crc32 of the ids as u32 (u32), payload bytes (u32), words of
+each stream (u16, or u32 where u16 can't hold twice a stream's ids and one), their
+words (five bytes for two). Only the last block may hold fewer ids; it is padded
+with the first distinct id inside.
 """
 
 from __future__ import annotations
@@ -29,12 +35,12 @@ import zlib
 
 import numpy as np
 
-MAGIC, BLOCK_MAGIC = b"QSG3", b"QRC1"
-_HEAD, _BLOCK = struct.Struct("<4sQIIII"), struct.Struct("<4sIII")
-#: Blocks side by side at most, and ids of a block at least.
-LANES, LEAST = 768, 4096
-#: Slots of an order-2 table, and cells of all order-0 tables of a segment.
-SLOTS, CELLS = 1 << 14, 1 << 24
+MAGIC, BLOCK_MAGIC = b"QSG4", b"QRC2"
+_HEAD, _BLOCK = struct.Struct("<4sQIIIII"), struct.Struct("<4sIII")
+#: Streams of a block at most, and ids of a stream at least where a block has several.
+STREAMS, LEAST = 16, 1024
+#: Streams of a segment at most, slots of a block's order-2 table, and cells of all order-0 tables of a segment.
+LANES, SLOTS, CELLS = 1 << 12, 1 << 14, 1 << 24
 _BITS = 12
 _WINDOW, _WORD = 60, 20
 _LEFT = 1 << (_WINDOW - _WORD)
@@ -55,6 +61,8 @@ _SQUASH, _STRETCH = _logistic()
 #: By confidence (8: empty), for misses and, from 16 on, for hits: whether the entry is replaced, and else the change of its confidence.
 _REPLACED = np.array([1, 1, 0, 0, 0, 0, 0, 0, 1, *[0] * 23], bool)
 _CHANGE = np.array([0, 0, -1, -2, -2, -3, -3, -4, 0, *[0] * 7, 1, 1, 1, 1, 1, 1, 1, 0, 0, *[0] * 7], np.int32)
+#: A block's own counts are taken in after so many positions, and whenever these have doubled.
+FIRST = 16
 #: Weights are kept in bounds after so many ids; between, they can't overflow.
 _BOUND = 16
 
@@ -74,7 +82,9 @@ class _Table:
         cum = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=n))]) * (total - n) // len(x) + np.arange(n + 1)
         follower, sure = np.zeros(n, np.int64), np.full(n, 8, np.uint8)
         if len(x) > 1:
-            pairs, count = np.unique(x[:-1].astype(np.int64) * n + x[1:], return_counts=True)
+            kind = np.uint32 if n < 1 << 16 else np.int64
+            pairs, count = np.unique(x[:-1].astype(kind) * kind(n) + x[1:].astype(kind), return_counts=True)
+            pairs = pairs.astype(np.int64)
             before = pairs // n
             order = np.lexsort((-count, before))
             first = np.flatnonzero(np.diff(before[order], prepend=-1))
@@ -96,19 +106,23 @@ class _Table:
 
 
 class _Model:
-    """Predictions of all lanes for the next id; orders 1 and 2 stand one after the other in each array."""
+    """Predictions of all streams for the next id; orders 1 and 2 stand one after the other in each array.
+
+    Streams are numbered so that the first of each block come first.
+    """
 
-    def __init__(self, table: _Table, lanes: int, capacity: int, inverse: bool) -> None:
-        n = lanes
-        self.lanes, self.table, self.capacity, self.inverse = lanes, table, capacity, inverse
+    def __init__(self, table: _Table, streams: int, blocks: int, capacity: int, inverse: bool) -> None:
+        n = streams * blocks
+        self.lanes, self.blocks, self.table, self.capacity, self.inverse = n, blocks, table, capacity, inverse
         self.names = len(table.names)
         slots = 1 << int(self.names - 1).bit_length()
-        both = np.arange(n, dtype=np.int64)
-        self.base1, self.base2 = both * slots, n * slots + both * SLOTS
+        #: Each stream's block.
+        self.block = np.tile(np.arange(blocks, dtype=np.int64), streams)
+        self.base1, self.base2 = self.block * slots, blocks * slots + self.block * SLOTS
         first = np.full(slots, _EMPTY, np.int32)
         known = table.sure < 8
         first[: self.names] = np.where(known, table.follower << 4 | table.sure, _EMPTY)
-        self.entry = np.concatenate([np.tile(first, n), np.full(n * SLOTS, _EMPTY, np.int32)])
+        self.entry = np.concatenate([np.tile(first, blocks), np.full(blocks * SLOTS, _EMPTY, np.int32)])
         rate = np.zeros(16, np.int32)
         rate[:8] = np.round(65536 * (np.arange(8) + 1) / (np.arange(8) + 4))
         self.rate = np.tile(rate, 2 * n)
@@ -119,7 +133,7 @@ class _Model:
         self.prev = np.zeros(n, np.int64)
         self.prev2 = np.zeros(n, np.int64)
         self.hash = np.empty(2 * n, np.int64)
-        self.step, self.rebuild_at = 0, 256
+        self.step, self.rebuild_at = 0, FIRST
         self.count = None
         self.seen: list[np.ndarray] = []
         self._rebuild()
@@ -130,10 +144,10 @@ class _Model:
             cum = np.concatenate([[0], np.cumsum(self.table.freq)])[None]
         else:
             if self.count is None:
-                self.count = np.tile(self.table.freq.astype(np.int32), (self.lanes, 1))
-            np.add.at(self.count.reshape(-1), np.concatenate(self.seen) if self.seen else np.zeros(0, np.int32), np.int32(OWN))
+                self.count = np.tile(self.table.freq, (self.blocks, 1))
+            self.count += np.bincount(np.concatenate(self.seen), minlength=self.count.size).reshape(self.count.shape) * OWN
             self.seen.clear()
-            cum = np.zeros((self.lanes, n + 1), np.int64)
+            cum = np.zeros((self.blocks, n + 1), np.int64)
             np.cumsum(self.count, axis=1, out=cum[:, 1:])
             whole = cum[:, -1:].copy()
             cum *= total - n
@@ -143,18 +157,18 @@ class _Model:
         if self.inverse:
             symbols = np.tile(np.arange(n, dtype=np.uint16 if n < 1 << 16 else np.int32), len(cum))
             back = np.repeat(symbols, np.diff(cum, axis=1).ravel())
-        if len(cum) < self.lanes:
-            cum = np.tile(cum, (self.lanes, 1))
-            back = np.tile(back, self.lanes) if self.inverse else None
+        if len(cum) < self.blocks:
+            cum = np.tile(cum, (self.blocks, 1))
+            back = np.tile(back, self.blocks) if self.inverse else None
         self.cum = cum.astype(np.int64).ravel()
         if self.inverse:
             self.back = back
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """(predicted number or -1, probability of a hit out of 2**12) per lane."""
+        """(predicted number or -1, probability of a hit out of 2**12) per stream."""
         if self.step == self.rebuild_at:
             self._rebuild()
-            self.rebuild_at *= 4
+            self.rebuild_at *= 2
         n = self.lanes
         np.add(self.prev, self.base1, out=self.hash[:n])
         h = self.prev * 40503
@@ -186,7 +200,7 @@ class _Model:
         return self.cand, self.mixed
 
     def update(self, ids: np.ndarray, hit: np.ndarray, cells: np.ndarray) -> None:
-        """Learn the ids, whose order-0 counts are at cells; hit: lanes where the prediction held."""
+        """Learn the ids, whose order-0 counts are at cells; hit: streams where the prediction held."""
         if self.rebuild_at < self.capacity:
             self.seen.append(cells)
         twice = np.concatenate([ids, ids])
@@ -212,11 +226,17 @@ class _Model:
         self.step += 1
 
 
-def _shape(n: int, names: int) -> tuple[int, int]:
-    """(lanes, ids of a block) for n ids of so many distinct ones."""
+def _shape(n: int, names: int) -> tuple[int, int, int]:
+    """(streams of a block, blocks, ids of a stream) for n ids of so many distinct ones."""
     bits = max(14, int(names - 1).bit_length() + 2)
-    lanes = max(1, min(LANES, n // LEAST, CELLS >> bits))
-    return lanes, -(-n // lanes)
+    streams = max(1, min(STREAMS, n // LEAST))
+    blocks = max(1, min(LANES // streams, n // (LEAST * streams), CELLS >> bits))
+    capacity = -(-n // (streams * blocks))
+    return streams, -(-n // (streams * capacity)), capacity
+
+
+def _counts(capacity: int) -> str:
+    return "<u2" if 2 * capacity + 1 < 1 << 16 else "<u4"
 
 
 def encode_segment(ids: np.ndarray) -> bytes:
@@ -234,18 +254,18 @@ def encode_segment(ids: np.ndarray) -> bytes:
         x = np.searchsorted(known, ids)
     table = _Table.of(known, x)
     names, bits = len(known), table.bits
-    lanes, capacity = _shape(n, names)
-    lanes = -(-n // capacity)
+    streams, blocks, capacity = _shape(n, names)
+    lanes, whole = streams * blocks, streams * capacity
     grid = np.zeros(lanes * capacity, np.int32)
     grid[:n] = x
-    grid = np.ascontiguousarray(grid.reshape(lanes, capacity).T)
-    model = _Model(table, lanes, capacity, False)
+    grid = np.ascontiguousarray(grid.reshape(blocks, streams, capacity).transpose(2, 1, 0)).reshape(capacity, lanes)
+    model = _Model(table, streams, blocks, capacity, False)
     low = np.zeros(lanes, np.int64)
     size = np.full(lanes, (1 << _WINDOW) - 1, np.int64)
     width = capacity * 2 + 16
     out = np.zeros(lanes * width, np.int32)
-    gaps = np.arange(lanes, dtype=np.int64)
-    own, to = gaps * names, gaps * width
+    gaps = model.block
+    own, to = gaps * names, np.arange(lanes, dtype=np.int64) * width
     for t in range(capacity):
         now = grid[t]
         cand, p = model.predict()
@@ -275,70 +295,79 @@ def encode_segment(ids: np.ndarray) -> bytes:
             size[at] = s
             at = at[s < _LEFT]
         model.update(now, hit, cells)
-    for _ in range(_WINDOW // _WORD):
-        out[to] = low >> (_WINDOW - _WORD)
-        to += 1
-        low = (low & (_LEFT - 1)) << _WORD
-    out = out.reshape(lanes, width)
-    used = to - np.arange(lanes) * width
-    words = np.ascontiguousarray(out[:, : used.max()].T)
+    # sizes are 2**40 at least, so that one word more is enough
+    out[to] = (low + (_LEFT - 1)) >> (_WINDOW - _WORD)
+    used = to + 1 - np.arange(lanes) * width
+    words = np.ascontiguousarray(out.reshape(lanes, width)[:, : used.max()].T)
     for k in range(len(words) - 1, 0, -1):
         words[k - 1] += words[k] >> _WORD
         words[k] &= (1 << _WORD) - 1
-    words = np.concatenate([words, np.zeros((len(words) % 2, lanes), np.int32)])
-    a, b = words[0::2].T, words[1::2].T
-    packed = np.stack([a >> 12, a >> 4 & 255, (a & 15) << 4 | b >> 16, b >> 8 & 255, b & 255], axis=-1).astype(np.uint8).reshape(lanes, -1)
+    words, used = words.reshape(-1, streams, blocks).transpose(2, 1, 0), used.reshape(streams, blocks).T
+    kept = np.arange(words.shape[2]) < used[..., None]
     body = table.pack()
-    frames = [_HEAD.pack(MAGIC, n, names, capacity, len(body), zlib.crc32(body)), body]
-    for i in range(lanes):
-        block = ids[i * capacity:(i + 1) * capacity]
-        payload = packed[i, : -(-int(used[i]) * 5 // 2)].tobytes()
+    fields = _HEAD.pack(MAGIC, n, names, streams, capacity, len(body), 0)[:-4]
+    frames = [fields, struct.pack("<I", zlib.crc32(body, zlib.crc32(fields))), body]
+    for i in range(blocks):
+        block = ids[i * whole:(i + 1) * whole]
+        payload = used[i].astype(_counts(capacity)).tobytes() + _packed(words[i][kept[i]])
         frames += [_BLOCK.pack(BLOCK_MAGIC, len(block), zlib.crc32(block.astype("<u4").tobytes()), len(payload)), payload]
     return b"".join(frames)
 
 
+def _packed(words: np.ndarray) -> bytes:
+    """Five bytes for two words."""
+    a, b = np.append(words, np.zeros(len(words) % 2, np.int32)).reshape(-1, 2).T
+    packed = np.stack([a >> 12, a >> 4 & 255, (a & 15) << 4 | b >> 16, b >> 8 & 255, b & 255], axis=-1).astype(np.uint8)
+    return packed.tobytes()[: -(-len(words) * 5 // 2)]
+
+
+def _unpacked(data: bytes, count: int) -> np.ndarray:
+    if len(data) != -(-count * 5 // 2):
+        raise ValueError("damaged block")
+    five = np.frombuffer(data + bytes(-len(data) % 5), np.uint8).reshape(-1, 5).astype(np.int32).T
+    return np.stack([five[0] << 12 | five[1] << 4 | five[2] >> 4, (five[2] & 15) << 16 | five[3] << 8 | five[4]], axis=-1).reshape(-1)[:count]
+
+
 def decode_segment(data: bytes) -> np.ndarray:
     """Ids of a segment; ValueError if a block or the table is damaged."""
     if not data:
         return np.zeros(0, np.int32)
     if len(data) < _HEAD.size or data[:4] != MAGIC:
         raise ValueError("not a segment")
-    _, count, names, capacity, length, crc = _HEAD.unpack_from(data)
+    _, count, names, streams, capacity, length, crc = _HEAD.unpack_from(data)
     at = _HEAD.size + length
     body = data[_HEAD.size:at]
-    if zlib.crc32(body) != crc:
+    if zlib.crc32(body, zlib.crc32(data[: _HEAD.size - 4])) != crc:
         raise ValueError("damaged table")
     table = _Table.unpack(body, names)
     bits, total = table.bits, 1 << table.bits
-    sizes, sums, bodies = [], [], []
+    kind = np.dtype(_counts(capacity))
+    sizes, sums, used, words = [], [], [], []
     while at < len(data):
         if data[at:at + 4] != BLOCK_MAGIC or at + _BLOCK.size > len(data):
             raise ValueError("damaged block")
         _, n, crc, length = _BLOCK.unpack_from(data, at)
         at += _BLOCK.size
-        if n > capacity or at + length > len(data):
+        if n > streams * capacity or at + length > len(data) or length < streams * kind.itemsize:
             raise ValueError("damaged block")
         sizes.append(n)
         sums.append(crc)
-        bodies.append(data[at:at + length])
+        used.append(np.frombuffer(data, kind, streams, at).astype(np.int64))
+        words.append(_unpacked(data[at + streams * kind.itemsize:at + length], int(used[-1].sum())))
         at += length
     if sum(sizes) != count:
         raise ValueError("a block is missing")
-    lanes = len(sizes)
-    width = -(-max(map(len, bodies)) // 5) * 5 + 40
-    packed = np.zeros((lanes, width), np.uint8)
-    for i, body in enumerate(bodies):
-        packed[i, : len(body)] = np.frombuffer(body, np.uint8)
-    five = packed.reshape(lanes, -1, 5).astype(np.int32)
-    row = width // 5 * 2
-    words = np.empty((lanes, row // 2, 2), np.int32)
-    words[..., 0] = five[..., 0] << 12 | five[..., 1] << 4 | five[..., 2] >> 4
-    words[..., 1] = (five[..., 2] & 15) << 16 | five[..., 3] << 8 | five[..., 4]
-    words = words.reshape(-1)
-    model = _Model(table, lanes, capacity, True)
-    gaps = np.arange(lanes, dtype=np.int64)
-    own, rows, to = gaps * names, gaps << bits, gaps * row
-    last = to + row - 1
+    blocks = len(sizes)
+    lanes = streams * blocks
+    used = np.stack(used)
+    row = int(used.max()) + _WINDOW // _WORD
+    # one row a stream, in the model's order, and zeros behind its words
+    padded = np.zeros((blocks, streams, row), np.int32)
+    padded[np.arange(row) < used[..., None]] = np.concatenate(words)
+    words = padded.transpose(1, 0, 2).reshape(-1)
+    model = _Model(table, streams, blocks, capacity, True)
+    gaps = model.block
+    own, rows, to = gaps * names, gaps << bits, np.arange(lanes, dtype=np.int64) * row
     size = np.full(lanes, (1 << _WINDOW) - 1, np.int64)
     diff = np.zeros(lanes, np.int64)
     for _ in range(_WINDOW // _WORD):
@@ -371,16 +400,16 @@ def decode_segment(data: bytes) -> np.ndarray:
         at = np.flatnonzero(size < _LEFT)
         while len(at):
             place = to.take(at)
-            diff[at] = (diff.take(at) << _WORD) | words.take(np.minimum(place, last.take(at)))
+            diff[at] = (diff.take(at) << _WORD) | words.take(place, mode="clip")
             to[at] = place + 1
             s = size.take(at) << _WORD
             size[at] = s
             at = at[s < _LEFT]
         model.update(now, hit, cells)
         grid[t] = now
-    full = table.names.astype(np.int32)[np.ascontiguousarray(grid.T)]
+    full = table.names.astype(np.int32)[grid.reshape(capacity, streams, blocks).transpose(2, 1, 0)].reshape(blocks, -1)
     parts = []
-    for i in range(lanes):
+    for i in range(blocks):
         block = full[i, : sizes[i]]
         if zlib.crc32(block.astype("<u4").tobytes()) != sums[i]:
             raise ValueError(f"checksum of block {i} does not match")
