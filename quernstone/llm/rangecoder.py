@@ -86,11 +86,12 @@ class _Table:
             pairs, count = np.unique(x[:-1].astype(kind) * kind(n) + x[1:].astype(kind), return_counts=True)
             pairs = pairs.astype(np.int64)
             before = pairs // n
-            order = np.lexsort((-count, before))
-            first = np.flatnonzero(np.diff(before[order], prepend=-1))
-            share = count[order[first]] * 8 // np.add.reduceat(count[order], first)
-            follower[before[order[first]]] = (pairs % n)[order[first]]
-            sure[before[order[first]]] = np.minimum(share, 7)
+            first = np.flatnonzero(np.diff(before, prepend=-1))
+            most = np.maximum.reduceat(count, first)
+            best = np.flatnonzero(count == np.repeat(most, np.diff(first, append=len(pairs))))
+            best = best[np.flatnonzero(np.diff(before[best], prepend=-1))]
+            follower[before[best]] = pairs[best] % n
+            sure[before[best]] = np.minimum(most * 8 // np.add.reduceat(count, first), 7)
         return _Table(names, np.diff(cum), follower, sure)
 
     def pack(self) -> bytes:
@@ -149,9 +150,10 @@ class _Model:
             self.seen.clear()
             cum = np.zeros((self.blocks, n + 1), np.int64)
             np.cumsum(self.count, axis=1, out=cum[:, 1:])
-            whole = cum[:, -1:].copy()
+            whole = cum[:, -1].tolist()
             cum *= total - n
-            cum //= whole
+            for row, w in zip(cum, whole, strict=True):
+                row //= w  # by one number at a time, which numpy does several times as fast
             cum += np.arange(n + 1)
         cum = cum.astype(np.int32)
         if self.inverse:
@@ -262,10 +264,10 @@ def encode_segment(ids: np.ndarray) -> bytes:
     model = _Model(table, streams, blocks, capacity, False)
     low = np.zeros(lanes, np.int64)
     size = np.full(lanes, (1 << _WINDOW) - 1, np.int64)
-    width = capacity * 2 + 16
-    out = np.zeros(lanes * width, np.int32)
+    # words stand by their place in a stream first, so that those written together lie together
+    out = np.zeros((capacity * 2 + 16) * lanes, np.int32)
     gaps = model.block
-    own, to = gaps * names, np.arange(lanes, dtype=np.int64) * width
+    own, to = gaps * names, np.arange(lanes, dtype=np.int64)
     for t in range(capacity):
         now = grid[t]
         cand, p = model.predict()
@@ -289,7 +291,7 @@ def encode_segment(ids: np.ndarray) -> bytes:
             lo = low.take(at)
             place = to.take(at)
             out[place] = lo >> (_WINDOW - _WORD)
-            to[at] = place + 1
+            to[at] = place + lanes
             low[at] = (lo & (_LEFT - 1)) << _WORD
             s = size.take(at) << _WORD
             size[at] = s
@@ -297,8 +299,8 @@ def encode_segment(ids: np.ndarray) -> bytes:
         model.update(now, hit, cells)
     # sizes are 2**40 at least, so that one word more is enough
     out[to] = (low + (_LEFT - 1)) >> (_WINDOW - _WORD)
-    used = to + 1 - np.arange(lanes) * width
-    words = np.ascontiguousarray(out.reshape(lanes, width)[:, : used.max()].T)
+    used = to // lanes + 1
+    words = out.reshape(-1, lanes)[: used.max()]
     for k in range(len(words) - 1, 0, -1):
         words[k - 1] += words[k] >> _WORD
         words[k] &= (1 << _WORD) - 1
@@ -361,18 +363,18 @@ def decode_segment(data: bytes) -> np.ndarray:
     lanes = streams * blocks
     used = np.stack(used)
     row = int(used.max()) + _WINDOW // _WORD
-    # one row a stream, in the model's order, and zeros behind its words
+    # by place in a stream first, as in encoding, and zeros behind a stream's words
     padded = np.zeros((blocks, streams, row), np.int32)
     padded[np.arange(row) < used[..., None]] = np.concatenate(words)
-    words = padded.transpose(1, 0, 2).reshape(-1)
+    words = padded.transpose(2, 1, 0).reshape(-1)
     model = _Model(table, streams, blocks, capacity, True)
     gaps = model.block
-    own, rows, to = gaps * names, gaps << bits, np.arange(lanes, dtype=np.int64) * row
+    own, rows, to = gaps * names, gaps << bits, np.arange(lanes, dtype=np.int64)
     size = np.full(lanes, (1 << _WINDOW) - 1, np.int64)
     diff = np.zeros(lanes, np.int64)
     for _ in range(_WINDOW // _WORD):
         diff = (diff << _WORD) | words.take(to)
-        to += 1
+        to += lanes
     grid = np.zeros((capacity, lanes), np.int32)
     for t in range(capacity):
         cand, p = model.predict()
@@ -401,7 +403,7 @@ def decode_segment(data: bytes) -> np.ndarray:
         while len(at):
             place = to.take(at)
             diff[at] = (diff.take(at) << _WORD) | words.take(place, mode="clip")
-            to[at] = place + 1
+            to[at] = place + lanes
             s = size.take(at) << _WORD
             size[at] = s
             at = at[s < _LEFT]
